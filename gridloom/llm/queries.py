@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import html, langid, mixing, packing, sketch, tokens, topk
+from gridloom.llm import html, jaccard, langid, mixing, packing, sketch, tokens, topk
 from gridloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1024, 2)
 
@@ -47,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql()}
+    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL}
