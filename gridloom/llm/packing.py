@@ -26,7 +26,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 @lru_cache(maxsize=4)
 def encoding(path: str) -> Paths:
     library = Tokenizer.from_file(path)
-    return Paths(lambda unit: np.asarray(library.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes(), 300_000)
+    return Paths(lambda unit: np.asarray(library.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes())
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -28,6 +28,8 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Paths kept in each of two generations; older ones are compiled again when they come up.
 PATHS = 400_000
 CHUNK = 1 << 16
+#: Letters below this code point are letters in every version of Unicode.
+LATER = chr(0x250)
 
 
 class Paths(dict):
@@ -39,7 +41,11 @@ class Paths(dict):
 
     def __missing__(self, unit: str):
         if (out := self.old.get(unit)) is None:
-            out = self.emit(unit)
+            # A letter and a full stop or comma after it never belong to one pre-token, so their paths can be joined.
+            if unit[-1] in ".," and unit[-2:-1].isalpha() and unit[-2] < LATER:
+                out = self[unit[:-1]] + self[unit[-1]]
+            else:
+                out = self.emit(unit)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
