@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_ranks, require
+from gridloom.llm.common import id_ranks, materialize, require
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +51,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     """
     require(docs, "doc_id", "text", "source")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"))
+    sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumnRenamed("source", "_source")
     first = id_ranks(sized, ["source", "size"], ["doc_id"], "_nth")
