@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html, jaccard, langid, mixing, packing, sketch, suffix, tokens, topk
+from gridloom.llm import html, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens, topk
 from gridloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
