@@ -145,9 +145,9 @@ def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_ME
     is_seed[seeds] = True
     ordered = first[is_seed[first]]
     # Two seeds get one name if they agree up to the next seed, including it.
-    stop = np.full(n, n - 1, np.int64)
+    stop = np.full(n, n - 1, np.int32)
     stop[seeds[:-1]] = seeds[1:]
-    a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
+    a, b = ordered[:-1], ordered[1:]
     length = stop[a] - a
     alike = length == stop[b] - b
     at = np.flatnonzero(alike)
@@ -160,7 +160,7 @@ def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_ME
     names = np.cumsum(np.r_[0, ~alike])
     count = int(names[-1]) + 1
     if count < len(seeds):
-        name_of = np.empty(n, np.int64)
+        name_of = np.empty(n, np.int32)
         name_of[ordered] = names
         reduced = name_of[seeds]
         if count < FEW:

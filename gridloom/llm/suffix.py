@@ -19,7 +19,7 @@ from gridloom.llm.common import batch, blocks_for, require, scan_parts, spread
 from gridloom.llm.induced import IN_MEMORY, suffix_array
 
 GRAM = 20
-BLOCK_CHARS, SHARD_CHARS = 4_000_000, 16_000_000
+BLOCK_CHARS, SHARD_CHARS = 4_000_000, 4_000_000
 LAST = 2**63 - 1
 MAIL = "block int, kind int, rid long, x binary, y binary"
 MAIL_SCHEMA = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("rid", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
@@ -238,9 +238,9 @@ def smallest_elsewhere(strings: list[bytes], orders: np.ndarray, width: int, in_
     text[ends] = 1
     text = np.concatenate([text, np.array([1] * (width + 1) + [0], np.int16)])
     starts = np.r_[0, ends + 1]
-    array = suffix_array(text, 258, width + 14, in_memory).astype(np.int64)
-    owner = np.full(len(text), -1, np.int64)
-    offset = np.zeros(len(text), np.int64)
+    array = suffix_array(text, 258, width + 14, in_memory)
+    owner = np.full(len(text), -1, np.int32)
+    offset = np.zeros(len(text), np.int16)
     counts = lengths - width + 1
     flat = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     owner[flat] = np.repeat(np.arange(len(strings)), counts)
