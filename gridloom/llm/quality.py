@@ -1,9 +1,10 @@
 """Quality classification by perplexity under a modified Kneser-Ney model of trusted text.
 
 The model is over characters: n-grams of `order` symbols, counted in all trusted texts. Its tables stay distributed, sharded by
-n-gram. Documents are dealt to blocks; a block asks for each of its distinct n-grams once, equal requests of
-blocks are put together, and joins with the counts, order by order, give the probabilities that go back to the
-blocks. A document's perplexity is compared with a quantile of the trusted texts' perplexities in its language.
+n-gram. Tasks cut the documents that they read into blocks; a block asks for each of its distinct n-grams once,
+in packed form, by shards of the n-grams. A shard puts equal requests together; joins with the counts, order by
+order, give their probabilities, which go back to the blocks. A document's perplexity is compared with a quantile of the
+trusted texts' perplexities in its language.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +22,36 @@ from gridloom.llm.common import batch, blocks_for, materialize, require, scan_pa
 
 #: Bits of a symbol; code points from PLAIN on share the symbols above it, and the last symbol stands before a text.
 BITS, PLAIN, PAD = 12, 3072, 4095
-ORDER, BLOCK_CHARS, SPAN = 5, 8_000_000, 1 << 20
-#: Trusted ids that may be broadcast (16 MB); beyond that they are joined by a shuffle.
-SMALL = 2_000_000
+ORDER, BLOCK_CHARS, BLOCK_ROWS, SPAN = 5, 8_000_000, 8192, 1 << 20
+#: N-grams of a shard of requests.
+SHARD = 4_000_000
+#: Trusted ids that may be broadcast (some 20 MB); beyond that they are joined by a shuffle.
+SMALL = 500_000
 
 
 def codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that end at each character of texts, as numbers, and each text's length."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    gap = chr(PLAIN) * (order - 1)
+    points = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     symbols = np.where(points < PLAIN, points, PLAIN + (points * 2654435761 >> 7) % (PAD - PLAIN))
-    gaps = order - 1
-    total = np.full(len(points) + gaps * len(texts), PAD, np.int64)
-    starts = np.cumsum(lengths + gaps) - lengths
-    at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(len(points))
-    total[at] = symbols
-    out = np.zeros(len(points), np.int64)
-    for k in range(gaps, -1, -1):
-        out = out << BITS | total[at - k]
-    return out, lengths
+    starts = np.cumsum(lengths + order - 1) - lengths
+    for k in range(1, order):
+        symbols[starts - k] = PAD
+    out = symbols.copy()
+    for k in range(1, order):
+        out[k:] |= symbols[:-k] << (BITS * k)
+    inside = np.ones(len(out), dtype=bool)
+    for k in range(1, order):
+        inside[starts - k] = False
+    return out[inside], lengths
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    return values[first], np.diff(np.r_[first, len(values)])
 
 
 def spans(texts: list[str]) -> Iterator[list[int]]:
@@ -62,7 +76,7 @@ def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
         for rows in batches:
             texts = rows.column(0).to_pylist()
             for span in spans(texts):
-                new, n = np.unique(codes([texts[i] for i in span], order)[0], return_counts=True)
+                new, n = distinct(codes([texts[i] for i in span], order)[0])
                 both = np.concatenate([found, new])
                 found, at = np.unique(both, return_inverse=True)
                 counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
@@ -107,12 +121,15 @@ class Model:
         """Adds p to wanted(code, ...), whose codes differ."""
         n = n or self.order
         seen = self.tables[n].select(F.col("code").alias("_code"), "c")
-        rows = wanted.withColumn("_rest", F.col("code").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).withColumn("_h", F.shiftright("code", BITS))
-        rows = rows.join(seen, rows["code"] == seen["_code"], "left").drop("_code")
-        rows = rows.join(self.contexts(n).select(F.col("h").alias("_ctx"), "total", "back"), F.col("_h") == F.col("_ctx"), "left").drop("_ctx")
+        end = lambda k: F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        # Join keys are expressions of the code, so that no exchange carries them.
+        rows = wanted.join(seen, F.col("code") == F.col("_code"), "left").drop("_code")
+        context = self.contexts(n).select(F.col("h").alias("_ctx"), "total", "back")
+        rows = rows.join(context, F.shiftright("code", BITS) == F.col("_ctx"), "left").drop("_ctx")
         if n > 1:
-            lower = self.probabilities(rows_of(wanted, n - 1), n - 1).select(F.col("code").alias("_low"), F.col("p").alias("_p"))
-            rows = rows.join(lower, F.col("_rest") == F.col("_low")).drop("_low")
+            ends = wanted.select(end(n - 1).alias("code")).distinct()
+            lower = self.probabilities(ends, n - 1).select(F.col("code").alias("_low"), F.col("p").alias("_p"))
+            rows = rows.join(lower, end(n - 1) == F.col("_low")).drop("_low")
         else:
             rows = rows.withColumn("_p", F.lit(1.0 / self.symbols))
         c = F.coalesce(F.col("c").cast("double"), F.lit(0.0))
@@ -121,49 +138,118 @@ class Model:
         return rows.withColumn("p", p).select(*wanted.columns, "p")
 
 
-def rows_of(wanted: DataFrame, n: int) -> DataFrame:
-    """The distinct ends of n symbols of wanted's codes. It looks at all of wanted's columns, so that both uses of wanted
-    share one exchange."""
-    rows = wanted.filter(F.size("blocks") > 0) if "blocks" in wanted.columns else wanted
-    return rows.select(F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("code")).distinct()
+def blocks(batches: Iterator[pa.RecordBatch], text: int, chars: int, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, pa.Table]]:
+    """Cuts what a task reads into blocks of about so many characters, whatever batches it comes in, with their numbers."""
+    held: list[pa.RecordBatch] = []
+    size = count = number = 0
+    base = TaskContext.get().partitionId() << 24
+    for part in batches:
+        lengths = np.array([len(t) if t else 0 for t in part.column(text).to_pylist()], dtype=np.int64)
+        start = 0
+        while start < part.num_rows:
+            ahead = np.cumsum(lengths[start:])
+            stop = start + min(int(np.searchsorted(ahead, chars - size)) + 1, rows - count, part.num_rows - start)
+            held.append(part.slice(start, stop - start))
+            size, count, start = size + int(ahead[stop - start - 1]), count + stop - start, stop
+            if size >= chars or count >= rows:
+                yield base | number, pa.Table.from_batches(held)
+                held, size, count, number = [], 0, 0, number + 1
+    if held:
+        yield base | number, pa.Table.from_batches(held)
+
+
+def by_shard(names: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted names by shard, each part sorted still."""
+    shard = (names * np.int64(-7046029254386353131) >> np.int64(20)) % shards
+    order = np.argsort(shard.astype(np.int32), kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[p[0]]), names[p]) for p in np.split(order, cuts) if len(p)]
+
+
+def squeeze(names: np.ndarray) -> bytes:
+    """Ascending numbers, as differences whose bytes of equal weight stand together, compressed."""
+    steps = np.diff(names, prepend=0).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def names_of(texts: list[str], order: int) -> np.ndarray:
+    """The sorted distinct n-grams of a block."""
+    found = np.empty(0, np.int64)
+    for span in spans(texts):
+        found = distinct(np.concatenate([found, distinct(codes([texts[i] for i in span], order)[0])[0]]))[0]
+    return found
 
 
 def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) without their texts, with perplexity; null for a null or empty text."""
-    n_blocks = blocks_for(docs, "text", block_chars, 2 * scan_parts(docs.sparkSession))
-    order = model.order
+    """The rows of docs(text, ...) without their texts, with perplexity; null for a null or empty text.
+
+    docs is read twice and must give each task the same rows both times, as files do; a difference is an error.
+    """
+    spark, order = docs.sparkSession, model.order
+    shards = max(scan_parts(spark), blocks_for(docs, "text", block_chars) * 200_000 // SHARD)
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
-    base = docs.select(place.alias("block"), *[F.col(f.name) for f in kept], "text")
-    ask_schema = pa.schema([("code", pa.int64()), ("block", pa.int32())])
+    ask_schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("names", pa.binary())])
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        texts = [t or "" for t in table.column("text").to_pylist()]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in blocks(batches, 0, block_chars):
+            parts = by_shard(names_of([t or "" for t in table.column(0).to_pylist()], order), shards)
+            yield batch(ask_schema, shard=[s for s, _ in parts], block=[block] * len(parts), names=[squeeze(n) for _, n in parts])
+
+    def unite(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = np.empty(0, np.int64)
-        for span in spans(texts):
-            found = np.union1d(found, codes([texts[i] for i in span], order)[0])
-        return pa.table([pa.array(found), pa.array(np.full(len(found), key[0].as_py(), np.int32))], schema=ask_schema)
+        for names in table.column("names").to_pylist():
+            found = distinct(np.concatenate([found, unsqueeze(names)]))[0]
+        return pa.table({"code": found, "shard": pa.array(np.full(len(found), key[0].as_py(), np.int32))})
+
+    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
+        names, p = known.column("code").to_numpy(), known.column("p").to_numpy()
+        by_name = np.argsort(names)
+        names, logs = names[by_name], np.log(p[by_name]).astype("<f2")
+        out = [logs[np.searchsorted(names, unsqueeze(x))].tobytes() for x in asked.column("names").to_pylist()]
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "logs"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+        for block, table in blocks(batches, len(kept), block_chars):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as to:
+                to.write_table(table)
+            yield batch(schema, block=[block], rows=[zstandard.ZstdCompressor(level=7).compress(sink.getvalue().to_pybytes())])
 
-    def score(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
-        names, logs = told.column("code").to_numpy(), told.column("log_p").to_numpy().astype(np.float64)
-        order_ = np.argsort(names)
-        names, logs = names[order_], logs[order_]
+    def score(key: tuple[pa.Scalar, ...], packed: pa.Table, told: pa.Table) -> pa.Table:
+        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.column("rows")[0].as_py())).read_all()
         texts = [t or "" for t in table.column("text").to_pylist()]
+        names = names_of(texts, order)
+        logs = dict(zip(told.column("shard").to_pylist(), told.column("logs").to_pylist(), strict=True))
+        parts = [(n, np.frombuffer(logs[s], "<f2")) for s, n in by_shard(names, shards)]
+        if any(len(n) != len(v) for n, v in parts) or len(parts) != len(logs):
+            raise RuntimeError("the documents came in another order than before")
+        values = np.concatenate([v for _, v in parts]) if parts else np.empty(0, np.float16)
+        values = values[np.argsort(np.concatenate([n for n, _ in parts]))].astype(np.float64) if parts else values
         out = np.full(len(texts), np.nan)
         for span in spans(texts):
             found, lengths = codes([texts[i] for i in span], order)
-            sums = np.add.reduceat(np.r_[logs[np.searchsorted(names, found)], 0.0], np.minimum(np.cumsum(lengths) - lengths, len(found))) if len(found) else np.zeros(len(span))
+            if not len(found):
+                continue
+            own, at = np.unique(found, return_inverse=True)
+            each = np.r_[values[np.searchsorted(names, own)][at], 0.0]
+            sums = np.add.reduceat(each, np.minimum(np.cumsum(lengths) - lengths, len(found)))
             real = lengths > 0
             out[np.array(span)[real]] = np.exp(-sums[real] / lengths[real])
-        values = pa.array(out, mask=np.isnan(out))
-        return pa.table([*[table.column(f.name) for f in kept], values], names=[*[f.name for f in kept], "perplexity"])
+        return pa.table([*[table.column(f.name) for f in kept], pa.array(out, mask=np.isnan(out))], names=[*[f.name for f in kept], "perplexity"])
 
-    asked = base.select("block", "text").groupBy("block").applyInArrow(ask, "code long, block int")
-    wanted = asked.groupBy("code").agg(F.collect_list("block").alias("blocks"))
+    asked = materialize(docs.select("text").mapInArrow(ask, "shard int, block long, names binary"), "requests")
+    wanted = materialize(asked.groupBy("shard").applyInArrow(unite, "code long, shard int"), "wanted")
     known = model.probabilities(wanted)
-    told = known.select(F.explode("blocks").alias("block"), "code", F.log("p").cast("float").alias("log_p"))
+    told = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, logs binary")
+    packed = docs.select(*[f.name for f in kept], "text").mapInArrow(pack, "block long, rows binary")
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "perplexity double"])
-    return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 1.12, folds: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -183,10 +269,11 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
         ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     sets_limit = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
+    learned = rows.filter(~sets_limit & (F.col("text") != "")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    model = Model(ngram_counts(learned, order), order)
+    scored = perplexities(rows.select("doc_id", "lang", F.length("text").alias("chars"), "text"), model, block_chars)
     role = F.when(F.col("_id").isNull(), 0).when(sets_limit, 2).otherwise(1)
-    marked = rows.join(ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "lang", role.alias("role"), F.length("text").alias("chars"), "text")
-    model = Model(ngram_counts(marked.filter("role = 1 AND text <> ''"), order), order)
-    scored = materialize(perplexities(marked, model, block_chars), "perplexities")
+    scored = materialize(scored.join(ids, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
     allowed = F.exp(F.lit(1.0) / F.sqrt(F.col("chars").cast("double")))
     sure = scored.filter("role = 2 AND perplexity IS NOT NULL").withColumn("even", F.col("perplexity") / allowed)
     limits = sure.groupBy("lang").agg(F.percentile_approx("even", quantile, 10000).alias("own"))
