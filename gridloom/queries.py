@@ -42,6 +42,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*BOX.coords(F.col("o_orderkey")), v.alias("v"), w.alias("w"))
 
 
+def tower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders on planes of 5 x 5 cells."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    v, w = F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_custkey").cast("long")
+    return rows.select(*GridSpec(5, 5).coords(F.col("o_orderkey")), v.alias("v"), w.alias("w"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return rows.select(*RAGGED.coords(F.col("p_partkey")), F.col("p_size").cast("long").alias("v"))
@@ -54,6 +61,7 @@ def height(field: DataFrame) -> int:
 G = """g AS (SELECT CAST(o_orderkey % 25 AS INTEGER) AS x, CAST(o_orderkey // 25 % 25 AS INTEGER) AS y, CAST(o_orderkey // 625 AS INTEGER) AS z,
  CAST(round(o_totalprice * 100) AS BIGINT) AS v, CAST(o_custkey AS BIGINT) AS w FROM orders)"""
 SPARSE = f"{G}, s AS (SELECT * FROM g WHERE v % 3 <> 0)"
+TALL = G.replace("% 25", "% 5").replace("// 25", "// 5").replace("// 625", "// 25")
 PART = """p AS (SELECT CAST(p_partkey % 16 AS INTEGER) AS x, CAST(p_partkey // 16 % 16 AS INTEGER) AS y, CAST(p_partkey // 256 AS INTEGER) AS z, CAST(p_size AS BIGINT) AS v FROM part)"""
 
 
@@ -355,12 +363,12 @@ def _(spark, sf_dir):
 
 
 _VIEW = "CASE WHEN (k > 0 AND z < lo + 1) OR (k < 2 AND z >= hi - 1) THEN 'BOUNDARY' ELSE 'INTERNAL' END"
-_SLABS = f"{G}, h AS (SELECT max(z) + 1 AS n FROM g), b AS (SELECT k, k * (n // 3) + least(k, n % 3) AS lo, (k + 1) * (n // 3) + least(k + 1, n % 3) AS hi FROM h, range(3) t(k)), q AS (SELECT g.*, CAST(k AS INTEGER) AS slab, lo, hi, k FROM g JOIN b ON z >= lo AND z < hi)"
+_SLABS = f"{TALL}, h AS (SELECT max(z) + 1 AS n FROM g), b AS (SELECT k, k * (n // 3) + least(k, n % 3) AS lo, (k + 1) * (n // 3) + least(k + 1, n % 3) AS hi FROM h, range(3) t(k)), q AS (SELECT g.*, CAST(k AS INTEGER) AS slab, lo, hi, k FROM g JOIN b ON z >= lo AND z < hi)"
 
 
 @register("g066_dot_by_view", f"WITH {_SLABS}, e AS (SELECT {_VIEW} AS data_view, v * w AS t FROM q) SELECT data_view, CAST(sum(t) AS BIGINT) AS total FROM e GROUP BY data_view UNION ALL SELECT 'STANDARD', CAST(sum(t) AS BIGINT) FROM e")
 def _(spark, sf_dir):
-    g = orders(spark, sf_dir)
+    g = tower(spark, sf_dir)
     viewed = g.withColumn("data_view", partitions.data_view(partitions.slab_bounds(height(g), 3)))
     return reductions.by_view(viewed, F.col("v") * F.col("w"))
 
@@ -426,25 +434,25 @@ map_query("g082_bit_flags", {"m": "CAST(((x % 2) | ((y % 2) << 1) | ((z % 2) <<
 
 @register("g083_dense_slabs", f"WITH {_SLABS} SELECT x, y, z, slab FROM q")
 def _(spark, sf_dir):
-    g = orders(spark, sf_dir)
+    g = tower(spark, sf_dir)
     return g.select(*COORDS, partitions.dense_slab(height(g), 3).alias("slab"))
 
 
 @register("g084_sparse_slabs")
 def _(spark, sf_dir):
-    s = sparse(spark, sf_dir)
+    s = tower(spark, sf_dir).filter("v % 3 <> 0")
     return s.select(*COORDS, partitions.slab_of(partitions.sparse_bounds(s, 3)).alias("slab"))
 
 
 @register("g085_cell_properties", f"WITH {_SLABS} SELECT x, y, z, slab, {_VIEW} AS data_view, CASE WHEN k < 2 AND z >= hi - 1 THEN 'UP' WHEN k > 0 AND z < lo + 1 THEN 'DOWN' END AS side FROM q")
 def _(spark, sf_dir):
-    g = orders(spark, sf_dir)
+    g = tower(spark, sf_dir)
     return partitions.properties(g, partitions.slab_bounds(height(g), 3))
 
 
 @register("g086_boundary_span", f"WITH {_SLABS} SELECT x, y, z FROM q WHERE {_VIEW} = 'BOUNDARY'")
 def _(spark, sf_dir):
-    g = orders(spark, sf_dir)
+    g = tower(spark, sf_dir)
     return partitions.properties(g, partitions.slab_bounds(height(g), 3)).filter("data_view = 'BOUNDARY'").select(*COORDS)
 
 
@@ -562,7 +570,7 @@ def _(spark, sf_dir):
 
 @register("g109_lbm_step", f"WITH {_CAV} SELECT x, y, z, q, round((1 - o) * g + o * rho * wt * (1 + 3 * cu + 4.5 * cu * cu - 1.5 * (ux * ux + uy * uy + uz * uz)), 9) AS f FROM (SELECT p.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu, {CAVITY.omega!r}::DOUBLE AS o FROM pulled p JOIN mom USING (x, y, z))")
 def _(spark, sf_dir):
-    rows = uniform.step(uniform.cavity(spark, CAVITY), CAVITY.omega).filter("kind = 0")
+    rows = uniform.run(uniform.cavity(spark, CAVITY), CAVITY.omega, 1, cut_every=1).filter("kind = 0")
     return rows.select(*COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
 
 

@@ -1 +1 @@
-
+"""The reference computes no streams, so nothing is here."""
