@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Ids per bucket when ranks are built in two levels.
 ID_BUCKET = 1024
+#: Rows of a block at most, whatever their sizes.
+BLOCK_ROWS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +69,62 @@ def id_ranks(df: DataFrame, keys: list[str], order: list[str], out: str, bucket:
     return joined.withColumn(out, F.col("_base") + F.col("_place") - 1).select(*df.columns, out)
 
 
-def spread(n: int) -> Column:
-    """A block number in 0..n-1 that depends only on a row's place in the input, so no content can crowd a block."""
-    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+def weights(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Characters of texts, elements of lists; 0 for null."""
+    count = pc.list_value_length if pa.types.is_list(column.type) else pc.utf8_length
+    return pc.fill_null(count(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], by: str, size: int, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, pa.Table]]:
+    """Cuts what a task reads into numbered blocks of about so many characters, whatever batches it comes in.
+
+    A block depends on the order of a task's rows alone, so no content can crowd one.
+    """
+    held: list[pa.RecordBatch] = []
+    total = count = number = 0
+    base = TaskContext.get().partitionId() << 24
+    for part in batches:
+        each, start = weights(part.column(by)), 0
+        while start < part.num_rows:
+            ahead = np.cumsum(each[start:])
+            stop = start + min(int(np.searchsorted(ahead, size - total)) + 1, rows - count, part.num_rows - start)
+            held.append(part.slice(start, stop - start))
+            total, count, start = total + int(ahead[stop - start - 1]), count + stop - start, stop
+            if total >= size or count >= rows:
+                yield base | number, pa.Table.from_batches(held)
+                held, total, count, number = [], 0, 0, number + 1
+    if held:
+        yield base | number, pa.Table.from_batches(held)
+
+
+def packed(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """block, rows: the blocks of a frame, each one compressed row. They are what an exchange moves instead of the texts."""
+    schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in blocks(batches, by, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as to:
+                to.write_table(table)
+            data = zstandard.ZstdCompressor(level=7).compress(memoryview(sink.getvalue()))
+            yield batch(schema, block=[block], rows=[data])
+
+    return rows.mapInArrow(pack, "block long, rows binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a block, from its one packed row."""
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(table.column("rows")[0].as_buffer())).read_all()
+
+
+def tidy(out):
+    """Passes out on and gives memory that a finished block used back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+    return out
 
 
 def blocks_for(df: DataFrame, text: str, chars: int, least: int = 12) -> int:

@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch, blocks_for, materialize, require, scan_parts, spread
+from gridloom.llm.common import batch, blocks_for, materialize, packed, require, scan_parts, tidy, unpacked
 from gridloom.llm.components import components
 
 #: Characters of a block, shingles of a shard, sets of a block of a candidate group.
-BLOCK_CHARS, SHARD_SHINGLES, GROUP = 4_000_000, 8_000_000, 256
+BLOCK_CHARS, SHARD_SHINGLES, GROUP = 4_000_000, 3_000_000, 256
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-MAIL = "block int, kind int, x binary, y binary"
-MAIL_SCHEMA = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+MAIL = "block long, kind int, x binary, y binary"
+MAIL_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
 SHARD_SCHEMA = pa.schema([("shard", pa.int32()), *MAIL_SCHEMA])
 
 
@@ -33,7 +33,7 @@ class Words(dict):
     """word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -73,6 +73,17 @@ def large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
 
 
+def short(hashes: np.ndarray) -> bytes:
+    """Three bytes of each hash. In a shard a few of them are equal by chance, which only counts more shingles as shared."""
+    return np.ascontiguousarray((hashes >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def runs(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each key with the places where it stands, in ascending order."""
     order = np.argsort(keys, kind="stable")
@@ -99,10 +110,10 @@ def count_messages(block: int, sets: list[np.ndarray], shards: int) -> pa.Table:
     solo = np.flatnonzero(~same)
     for shard, at in runs((flat[solo] % np.uint64(shards)).astype(np.int32)):
         pick = solo[at]
-        rows.append((shard, block, 0, (flat[pick] >> np.uint64(32)).astype("<u4").tobytes(), small(owner[pick])))
+        rows.append((shard, block, 0, short(flat[pick]), small(owner[pick])))
     several = np.unique(flat[same])
     for shard, at in runs((several % np.uint64(shards)).astype(np.int32)):
-        rows.append((shard, block, 1, (several[at] >> np.uint64(32)).astype("<u4").tobytes(), b""))
+        rows.append((shard, block, 1, short(np.unique(several[at] >> np.uint64(32) & np.uint64(0xFFFFFF)) << np.uint64(32)), b""))
     own = np.bincount(owner[same], minlength=len(sets)).astype("<i4")
     rows.append((block % shards, block, 2, sizes.astype("<i4").tobytes(), own.tobytes()))
     return pa.Table.from_batches([batch(SHARD_SCHEMA, **dict(zip(SHARD_SCHEMA.names, zip(*rows), strict=True)))])
@@ -118,7 +129,7 @@ def count_shard(rows: pa.Table) -> pa.Table:
         if k == 2:
             out.append((b, 2, x.as_py(), y.as_py()))
             continue
-        fps = np.frombuffer(x.as_py(), "<u4")
+        fps = long(x.as_py())
         parts.append(fps)
         owners.append(large(y.as_py()) if k == 0 else np.full(len(fps), -1, np.int64))
         sources.append(np.full(len(fps), b, np.int64))
@@ -151,25 +162,24 @@ def shared(mail: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return sizes, counts
 
 
-def peel(rows: DataFrame, payload: str, to_set, shards: int, percent: int, out: str, emit) -> DataFrame:
-    """Counts each row's shingles that other rows of rows(block, rid, ...) have; emit makes the output of a block.
+def peel(rows: DataFrame, payload: str, size: int, to_set, shards: int, percent: int, out: str, emit) -> DataFrame:
+    """Counts each row's shingles that other rows have; emit makes the output of a block of rows.
 
-    to_set(value of payload) gives a row's hashes. Rows of a block are put in the order of rid, which both passes share.
+    to_set(value of payload) gives a row's hashes; size: of a block, in characters or elements of payload.
     """
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
-        return count_messages(key[0].as_py(), [to_set(x) for x in table.column(payload).to_pylist()], shards)
+    def ask(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        values = unpacked(block).column(payload)
+        return tidy(count_messages(key[0].as_py(), [to_set(x.as_py()) for x in values], shards))
 
-    def answer(key: tuple[pa.Scalar, ...], table: pa.Table, mail: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return emit(table, np.empty(0, np.int64), np.empty(0, bool))
+    def answer(key: tuple[pa.Scalar, ...], block: pa.Table, mail: pa.Table) -> pa.Table:
         sizes, counts = shared(mail)
-        return emit(table.sort_by("rid"), sizes, (sizes > 0) & (100 * counts >= percent * sizes))
+        return tidy(emit(unpacked(block), sizes, (sizes > 0) & (100 * counts >= percent * sizes)))
 
-    asked = rows.select("block", "rid", payload).groupBy("block").applyInArrow(ask, "shard int, " + MAIL)
+    dealt = packed(rows, payload, size)
+    asked = dealt.groupBy("block").applyInArrow(ask, "shard int, " + MAIL)
     told = asked.groupBy("shard").applyInArrow(count_shard, MAIL)
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, out)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, out)
 
 
 class Trie:
@@ -306,9 +316,8 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, block
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
     least = 2 * scan_parts(spark)
-    n_blocks = blocks_for(docs, "text", block_chars, least)
-    shards = max(scan_parts(spark), n_blocks * block_chars // 6 // shard_size)
-    rows = docs.select(spread(n_blocks).alias("block"), F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = max(scan_parts(spark), blocks_for(docs, "text", block_chars) * block_chars // 6 // shard_size)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def kept(table: pa.Table, sizes: np.ndarray, alive: np.ndarray) -> pa.Table:
@@ -319,21 +328,21 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, block
         lists = pa.array([s.view(np.int64) if s is not None else None for s in sets], type=pa.list_(pa.int64()))
         return pa.table([table.column("doc_id"), pa.array(sizes), pa.array(half(0), pa.int64()), pa.array(half(8), pa.int64()), lists], schema=found)
 
-    first = peel(rows, "text", lambda t: shingles(t, width), shards, percent, "doc_id long, n long, k1 long, k2 long, hashes array<long>", kept)
+    first = peel(rows, "text", block_chars, lambda t: shingles(t, width), shards, percent, "doc_id long, n long, k1 long, k2 long, hashes array<long>", kept)
     marked = materialize(first, "sets")
     sets = marked.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    sets = materialize(sets.repartition(scan_parts(spark), "k1", "k2"), "classes").withColumn("rid", F.monotonically_increasing_id()).withColumn("block", spread(least))
+    sets = materialize(sets.repartition(scan_parts(spark), "k1", "k2"), "classes").withColumn("rid", F.monotonically_increasing_id())
     again = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def left(table: pa.Table, sizes: np.ndarray, alive: np.ndarray) -> pa.Table:
         return table.select(["rid", "n", "hashes"]).filter(pa.array(alive)).cast(again)
 
     to_set = lambda v: np.asarray(v, dtype=np.int64).view(np.uint64)
-    live = materialize(peel(sets, "hashes", to_set, shards, percent, "rid long, n long, hashes array<long>", left), "live")
-    each = live.select("rid", "n", F.explode("hashes").alias("h"))
+    live = materialize(peel(sets.select("rid", "n", "hashes"), "hashes", block_chars // 6, to_set, shards, percent, "rid long, n long, hashes array<long>", left), "live")
+    each = live.select("rid", F.explode("hashes").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    ordered = each.join(often, "h").groupBy("rid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("e"))
-    ordered = materialize(ordered.select("rid", "n", F.col("e.c").alias("counts"), F.col("e.h").alias("hashes")), "ordered")
+    ordered = each.join(often, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("e"))
+    ordered = materialize(ordered.join(live.select("rid", "n"), "rid").select("rid", "n", F.col("e.c").alias("counts"), F.col("e.h").alias("hashes")), "ordered")
     # Shingles that only one set has come first in the order and are left out; the rest of the prefix is what can be shared.
     lead = (prefix(F.col("n"), percent) - (F.col("n") - F.size("hashes"))).cast("int")
     leading = ordered.filter(lead > 0).select("rid", F.explode(F.slice("hashes", F.lit(1), lead)).alias("h"))

@@ -73,9 +73,10 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 def emit(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """The rows of docs, each as often as copies(doc_id, copies) says; ids must be unique in copies."""
-    counted = docs.join(copies.select(F.col("doc_id").alias("_id"), "copies"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    times = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<int>"))
-    return counted.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    wanted = copies.select(F.struct(F.col("doc_id").alias("id"), F.col("copies").alias("n")).alias("copy"))
+    joined = rows.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("copy.id"))).filter("copy.n > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copy.n"))).alias("nth")).select("row.*")
 
 
 def mix_sql(seed: str = "mix", weights: tuple[int, ...] = WEIGHTS) -> str:

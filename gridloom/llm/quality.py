@@ -9,20 +9,20 @@ trusted texts' perplexities in its language.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch, blocks_for, materialize, require, scan_parts
+from gridloom.llm.common import batch, blocks, blocks_for, materialize, packed, require, scan_parts, tidy, unpacked
 
 #: Bits of a symbol; code points from PLAIN on share the symbols above it, and the last symbol stands before a text.
 BITS, PLAIN, PAD = 12, 3072, 4095
-ORDER, BLOCK_CHARS, BLOCK_ROWS, SPAN = 5, 8_000_000, 8192, 1 << 20
+ORDER, BLOCK_CHARS, SPAN = 5, 8_000_000, 1 << 20
 #: N-grams of a shard of requests.
 SHARD = 4_000_000
 #: Trusted ids that may be broadcast (some 20 MB); beyond that they are joined by a shuffle.
@@ -138,26 +138,6 @@ class Model:
         return rows.withColumn("p", p).select(*wanted.columns, "p")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int, chars: int, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, pa.Table]]:
-    """Cuts what a task reads into blocks of about so many characters, whatever batches it comes in, with their numbers."""
-    held: list[pa.RecordBatch] = []
-    size = count = number = 0
-    base = TaskContext.get().partitionId() << 24
-    for part in batches:
-        lengths = np.array([len(t) if t else 0 for t in part.column(text).to_pylist()], dtype=np.int64)
-        start = 0
-        while start < part.num_rows:
-            ahead = np.cumsum(lengths[start:])
-            stop = start + min(int(np.searchsorted(ahead, chars - size)) + 1, rows - count, part.num_rows - start)
-            held.append(part.slice(start, stop - start))
-            size, count, start = size + int(ahead[stop - start - 1]), count + stop - start, stop
-            if size >= chars or count >= rows:
-                yield base | number, pa.Table.from_batches(held)
-                held, size, count, number = [], 0, 0, number + 1
-    if held:
-        yield base | number, pa.Table.from_batches(held)
-
-
 def by_shard(names: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     """Sorted names by shard, each part sorted still."""
     shard = (names * np.int64(-7046029254386353131) >> np.int64(20)) % shards
@@ -188,15 +168,18 @@ def names_of(texts: list[str], order: int) -> np.ndarray:
 def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs(text, ...) without their texts, with perplexity; null for a null or empty text.
 
-    docs is read twice and must give each task the same rows both times, as files do; a difference is an error.
+    docs is read twice and must give each task the same rows both times, as files do; anything but a projection of a scan
+    is written as a table first, and a difference is an error.
     """
+    if re.search(r"Repartition|Join|Aggregate|Window|Sort|Limit|Sample|Union|MapIn|FlatMap|Generate", docs._jdf.queryExecution().optimizedPlan().toString()):
+        docs = materialize(docs, "documents")
     spark, order = docs.sparkSession, model.order
     shards = max(scan_parts(spark), blocks_for(docs, "text", block_chars) * 200_000 // SHARD)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     ask_schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("names", pa.binary())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in blocks(batches, 0, block_chars):
+        for block, table in blocks(batches, "text", block_chars):
             parts = by_shard(names_of([t or "" for t in table.column(0).to_pylist()], order), shards)
             yield batch(ask_schema, shard=[s for s, _ in parts], block=[block] * len(parts), names=[squeeze(n) for _, n in parts])
 
@@ -213,16 +196,8 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
         out = [logs[np.searchsorted(names, unsqueeze(x))].tobytes() for x in asked.column("names").to_pylist()]
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "logs"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
-        for block, table in blocks(batches, len(kept), block_chars):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as to:
-                to.write_table(table)
-            yield batch(schema, block=[block], rows=[zstandard.ZstdCompressor(level=7).compress(sink.getvalue().to_pybytes())])
-
-    def score(key: tuple[pa.Scalar, ...], packed: pa.Table, told: pa.Table) -> pa.Table:
-        table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.column("rows")[0].as_py())).read_all()
+    def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        table = unpacked(rows)
         texts = [t or "" for t in table.column("text").to_pylist()]
         names = names_of(texts, order)
         logs = dict(zip(told.column("shard").to_pylist(), told.column("logs").to_pylist(), strict=True))
@@ -241,15 +216,15 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
             sums = np.add.reduceat(each, np.minimum(np.cumsum(lengths) - lengths, len(found)))
             real = lengths > 0
             out[np.array(span)[real]] = np.exp(-sums[real] / lengths[real])
-        return pa.table([*[table.column(f.name) for f in kept], pa.array(out, mask=np.isnan(out))], names=[*[f.name for f in kept], "perplexity"])
+        return tidy(pa.table([*[table.column(f.name) for f in kept], pa.array(out, mask=np.isnan(out))], names=[*[f.name for f in kept], "perplexity"]))
 
     asked = materialize(docs.select("text").mapInArrow(ask, "shard int, block long, names binary"), "requests")
     wanted = materialize(asked.groupBy("shard").applyInArrow(unite, "code long, shard int"), "wanted")
     known = model.probabilities(wanted)
     told = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, logs binary")
-    packed = docs.select(*[f.name for f in kept], "text").mapInArrow(pack, "block long, rows binary")
+    dealt = packed(docs.select(*[f.name for f in kept], "text"), "text", block_chars)
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "perplexity double"])
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 1.12, folds: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -273,8 +248,9 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     model = Model(ngram_counts(learned, order), order)
     scored = perplexities(rows.select("doc_id", "lang", F.length("text").alias("chars"), "text"), model, block_chars)
     role = F.when(F.col("_id").isNull(), 0).when(sets_limit, 2).otherwise(1)
-    scored = materialize(scored.join(ids, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
-    allowed = F.exp(F.lit(1.0) / F.sqrt(F.col("chars").cast("double")))
+    named = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
+    scored = materialize(scored.join(named, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
+    allowed = F.exp(F.lit(1.0) / F.sqrt(F.greatest(F.col("chars"), F.lit(1)).cast("double")))
     sure = scored.filter("role = 2 AND perplexity IS NOT NULL").withColumn("even", F.col("perplexity") / allowed)
     limits = sure.groupBy("lang").agg(F.percentile_approx("even", quantile, 10000).alias("own"))
     overall = sure.agg(F.percentile_approx("even", quantile, 10000).alias("every")).first()["every"]

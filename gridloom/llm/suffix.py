@@ -12,24 +12,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch, blocks_for, require, scan_parts, spread
+from gridloom.llm.common import batch, blocks_for, packed, require, scan_parts, tidy, unpacked
 from gridloom.llm.induced import IN_MEMORY, suffix_array
 
 GRAM = 20
-BLOCK_CHARS, SHARD_CHARS = 4_000_000, 4_000_000
+BLOCK_CHARS, SHARD_CHARS = 4_000_000, 2_000_000
 LAST = 2**63 - 1
-MAIL = "block int, kind int, rid long, x binary, y binary"
-MAIL_SCHEMA = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("rid", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
-ASK = "shard int, block int, kind int, x binary, y binary"
-ASK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
-SEND = "shard int, block int, kind int, x binary, y binary, ords binary, texts binary"
+MAIL = "block long, kind int, rid long, x binary, y binary"
+MAIL_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("rid", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+ASK = "shard int, block long, kind int, x binary, y binary"
+ASK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+SEND = "shard int, block long, kind int, x binary, y binary, ords binary, texts binary"
 SEND_SCHEMA = pa.schema([*ASK_SCHEMA, ("ords", pa.binary()), ("texts", pa.binary())])
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: Kinds of mail: copies (rid), anchors that others have too (row, place), starts to remove (row, place, bits).
+#: Kinds of mail: copies (rid, the row in its block), anchors that others have too (row, place), starts to remove (row, place, bits).
 COPY, HOT, REMOVE = 0, 1, 2
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
 
 
@@ -95,9 +97,10 @@ def places(row: np.ndarray, at: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def first_of_copies(table: pa.Table, mail: pa.Table) -> np.ndarray:
-    copies = [r for r, k in zip(mail.column("rid").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == COPY]
-    return ~np.isin(table.column("rid").to_numpy(), np.array(copies, dtype=np.int64))
+def first_of_copies(n: int, mail: pa.Table) -> np.ndarray:
+    own = np.ones(n, dtype=bool)
+    own[[r for r, k in zip(mail.column("rid").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == COPY]] = False
+    return own
 
 
 def ask_anchors(block: int, texts: list[str], own: np.ndarray, ords: np.ndarray, shards: int, width: int) -> pa.Table:
@@ -305,45 +308,55 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
     A byte of a text's UTF-8 goes if it lies in a string of `width` bytes (32 bits of starts allow GRAM < width < 52) that
     also starts in a text of a smaller doc_id, judged on the input. A null text counts as empty, a null id as larger than
     all others; rows of equal ids don't remove each other's bytes. Repeated rows with different ids are copies: all
-    but the first lose everything. An empty table gives no rows. Other columns are kept; they must not be named as the four.
+    but the first lose everything. An empty table gives no rows. Other columns are kept, but for those named as the four.
     """
     require(docs, "doc_id", "text")
     if not GRAM < width <= GRAM + 31:
         raise ValueError("width must be above 20 and at most 51")
-    if taken := {"n_bytes", "n_removed", "n_spans", "kept"} & set(docs.columns):
-        raise ValueError(f"columns with names of results: {sorted(taken)}")
+    docs = docs.select(*[c for c in docs.columns if c not in RESULTS])
     spark = docs.sparkSession
-    least = 2 * scan_parts(spark)
-    n_blocks = blocks_for(docs, "text", block_chars, least)
-    shards = max(scan_parts(spark), n_blocks * block_chars // shard_chars)
+    shards = max(scan_parts(spark), blocks_for(docs, "text", block_chars) * block_chars // shard_chars)
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
-    at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
-    base = docs.toDF(*names).select(spread(n_blocks).alias("block"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(LAST)).alias("ord"), *names)
-    text = f"c{at_text}"
-    keyed = base.select("block", "rid", "ord", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.octet_length(text).alias("n")).filter(F.col("n") >= width)
+    at_id, text = docs.columns.index("doc_id"), f"c{docs.columns.index('text')}"
+    base = docs.toDF(*names).withColumn("ord", F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(LAST)))
+    key_schema = pa.schema([("block", pa.int64()), ("rid", pa.int64()), ("ord", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+
+    def keys(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        table = unpacked(block)
+        data = [(t.as_py() or "").encode("utf-8", "replace") for t in table.column(text)]
+        at = [i for i, d in enumerate(data) if len(d) >= width]
+        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i]) for i in at), "<i8").reshape(-1, 2)
+        found = batch(key_schema, block=[key[0].as_py()] * len(at), rid=at, ord=table.column("ord").to_numpy()[at], k1=both[:, 0], k2=both[:, 1])
+        return tidy(pa.Table.from_batches([found]))
+
+    slim = packed(base, text, block_chars)
+    keyed = slim.groupBy("block").applyInArrow(keys, "block long, rid long, ord long, k1 long, k2 long")
     firsts = keyed.groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     none = F.lit(None).cast("binary")
     copies = keyed.join(firsts, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).filter("ord > first")
     copies = copies.select(F.col("block").alias("block"), F.lit(COPY).alias("kind"), F.col("rid").alias("rid"), none.alias("x"), none.alias("y"))
 
-    def ask(key: tuple[pa.Scalar, ...], table: pa.Table, mail: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
-        return ask_anchors(key[0].as_py(), table.column(text).to_pylist(), first_of_copies(table, mail), table.column("ord").to_numpy(), shards, width)
+    def texts_of(table: pa.Table) -> list[str]:
+        return table.column(text).to_pylist()
 
-    def send(key: tuple[pa.Scalar, ...], table: pa.Table, mail: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
-        return send_strings(key[0].as_py(), table.column(text).to_pylist(), table.column("ord").to_numpy(), mail, shards, width)
+    def ask(key: tuple[pa.Scalar, ...], block: pa.Table, mail: pa.Table) -> pa.Table:
+        table = unpacked(block)
+        return tidy(ask_anchors(key[0].as_py(), texts_of(table), first_of_copies(table.num_rows, mail), table.column("ord").to_numpy(), shards, width))
+
+    def send(key: tuple[pa.Scalar, ...], block: pa.Table, mail: pa.Table) -> pa.Table:
+        table = unpacked(block)
+        return tidy(send_strings(key[0].as_py(), texts_of(table), table.column("ord").to_numpy(), mail, shards, width))
 
     def sort(rows: pa.Table) -> pa.Table:
-        return sort_shard(rows, width)
+        return tidy(sort_shard(rows, width))
 
     results = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)] + results)
 
-    def finish(key: tuple[pa.Scalar, ...], table: pa.Table, mail: pa.Table) -> pa.Table:
-        table = table.sort_by("rid")
-        own = first_of_copies(table, mail)
+    def finish(key: tuple[pa.Scalar, ...], block: pa.Table, mail: pa.Table) -> pa.Table:
+        table = unpacked(block)
+        own = first_of_copies(table.num_rows, mail)
         gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         hits = [(np.frombuffer(x, PLACE), np.frombuffer(y, "<u4")) for k, x, y in zip(*(mail.column(c).to_pylist() for c in ("kind", "x", "y")), strict=True) if k == REMOVE]
         if hits:
@@ -362,9 +375,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
             removed.append(rest[1])
             spans.append(rest[2])
         long = pa.int64()
-        return pa.table([*table.select(names).columns, pa.array(sizes, long), pa.array(removed, long), pa.array(spans, long), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        return tidy(pa.table([*table.select(names).columns, pa.array(sizes, long), pa.array(removed, long), pa.array(spans, long), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"]))
 
-    slim = base.select("block", "rid", "ord", *names)
     asked = slim.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(ask, ASK)
     hot = asked.groupBy("shard").applyInArrow(answer_anchors, MAIL)
     sent = slim.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(send, SEND)

@@ -26,7 +26,7 @@ from gridloom.llm.common import batch, require
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Paths kept in each of two generations; older ones are compiled again when they come up.
-PATHS = 400_000
+PATHS = 320_000
 CHUNK = 1 << 16
 #: Letters below this code point are letters in every version of Unicode.
 LATER = chr(0x250)
