@@ -20,7 +20,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose perplexity is above the limit of their language."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
+    judged = quality.classify(docs, table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0"))
     return without(docs, judged.filter("NOT keep"))
 
 

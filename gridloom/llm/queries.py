@@ -27,7 +27,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0")
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
 
 
