@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors as V
-from gridloom.lbm import uniform
-from gridloom.lbm.lattice import C19, OPPOSITE_19, W19, Cavity
+from gridloom.lbm import boundaries, uniform, verify
+from gridloom.lbm import multires as level_flow
+from gridloom.lbm.lattice import C19, C27, OPPOSITE_19, W19, W27, Cavity
 from gridloom.operators import maps, multires, partitions, reductions, staggered, stencils, subsets
+from gridloom.plans.checkpoint import cut
 from gridloom.solver import cg
 from gridloom.sources import cells as source
 from gridloom.spec import COORDS, S6, S7, S19, S27, GridSpec, Stencil
@@ -157,8 +159,6 @@ def _(spark, sf_dir):
 
 # Maps.
 
-PI = "3.0"
-
 
 def map_query(name: str, columns: dict[str, str], make: Callable[[DataFrame], DataFrame]) -> None:
     """A projection of the orders grid: SQL expressions against what make returns."""
@@ -604,6 +604,169 @@ def _(spark, sf_dir):
     return solved.select(*COORDS, (F.round("u", 4) + 0.0).alias("u"))
 
 
+# Further rows: levels, verification, boundaries.
+
+
+@register("g046_neighbour_index", f"WITH {SPARSE}, {around(Stencil(((-1, 0, 1),)), 's')} SELECT x, y, z, CAST(CASE WHEN ok THEN x - 1 ELSE -1 END AS INTEGER) AS ix, CAST(CASE WHEN ok THEN y ELSE -1 END AS INTEGER) AS iy, CAST(CASE WHEN ok THEN z + 1 ELSE -1 END AS INTEGER) AS iz FROM nb")
+def _(spark, sf_dir):
+    own = sparse(spark, sf_dir).select(*COORDS, *[F.col(c).alias(f"i{c}") for c in COORDS])
+    got = stencils.gather(own, Stencil(((-1, 0, 1),)), ["ix", "iy", "iz"])
+    return got.select(*COORDS, *[F.when(F.col("valid0"), F.col(f"n0_i{c}")).otherwise(-1).alias(f"i{c}") for c in COORDS])
+
+
+@register("g020_mesh_inside", f"WITH c AS ({CELLS.format(12, 12, 144, 1728)}) SELECT x, y, z, abs(x - 5.6) < 3 AND abs(y - 5.6) < 3 AND abs(z - 5.6) < 3 AS inside FROM c")
+def _(spark, sf_dir):
+    import numpy as np
+
+    from gridloom.sources import mesh
+
+    corners = np.array([[a, b, c] for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)], float)
+    quads = ((0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3))
+    faces = np.array([t for a, b, c, d in quads for t in ((a, b, c), (a, c, d))])
+    placed = mesh.fit(corners, (5.6, 5.6, 5.6), 6.0)
+    return mesh.with_mesh(source.dense(spark, GridSpec(12, 12, 12)), placed, faces).select(*COORDS, "inside")
+
+
+@register("g094_has_children", f"WITH {_ML} SELECT level, count(*) AS cells, count(*) FILTER (refined) AS refined FROM r GROUP BY level")
+def _(spark, sf_dir):
+    return levels(spark).groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("refined"), 1)).alias("refined"))
+
+
+@register("g092_balanced")
+def _(spark, sf_dir):
+    return multires.build(spark, GridSpec(32, 8, 8), [F.col("x") < 2, F.lit(False), F.lit(True)], True)
+
+
+@register("g098_uncle_offset", "SELECT CAST(i AS INTEGER) AS i, CAST(q AS INTEGER) AS q, CAST(CASE WHEN i + q <= 0 THEN i + q ELSE i + q - 1 END AS INTEGER) AS off FROM range(2) a(i), range(-1, 2) b(q)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(i, q, multires.uncle_offset(i, q)) for i in (0, 1) for q in (-1, 0, 1)], "i int, q int, off int")
+
+
+@register("g099_level_omega", "SELECT CAST(l AS INTEGER) AS level, 2 * 1.7::DOUBLE / (pow(2, 4 - l) + (1 - pow(2, 3 - l)) * 1.7::DOUBLE) AS omega FROM range(4) t(l)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(lv, multires.omega(1.7, lv, 4)) for lv in range(4)], "level int, omega double")
+
+
+@register("g145_parents_downward", f"WITH {_ML} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(c.w, b.w, a.w) AS INTEGER) AS w FROM (SELECT *, level * 100 + x // 4 AS w FROM m) a LEFT JOIN (SELECT *, level * 100 + x // 4 AS w FROM m) b ON b.level = a.level + 1 AND b.x = a.x - a.x % (2 << a.level) AND b.y = a.y - a.y % (2 << a.level) AND b.z = a.z - a.z % (2 << a.level) LEFT JOIN (SELECT *, level * 100 + x // 4 AS w FROM m) c ON c.level = b.level + 1 AND c.x = b.x - b.x % (2 << b.level) AND c.y = b.y - b.y % (2 << b.level) AND c.z = b.z - b.z % (2 << b.level)")
+def _(spark, sf_dir):
+    m = levels(spark).drop("refined").withColumn("w", (F.col("level") * 100 + F.floor(F.col("x") / 4)).cast("int"))
+    return multires.write_children(multires.write_children(m, "w"), "w")
+
+
+@register("g152_hexahedra", f"WITH {_ML}, k(corner, dx, dy, dz) AS (VALUES (0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 0), (3, 0, 1, 0), (4, 0, 0, 1), (5, 1, 0, 1), (6, 1, 1, 1), (7, 0, 1, 1)) SELECT level, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, corner, CAST(x + dx * (1 << level) AS INTEGER) AS px, CAST(y + dy * (1 << level) AS INTEGER) AS py, CAST(z + dz * (1 << level) AS INTEGER) AS pz FROM r, k WHERE NOT refined")
+def _(spark, sf_dir):
+    from gridloom.sources import sinks
+
+    return sinks.hexahedra(levels(spark))
+
+
+def _fluid(spark: SparkSession, sf_dir: str, c, w) -> DataFrame:
+    """part's cells with populations near the weights, disturbed by the key."""
+    p = parts(spark, sf_dir)
+    k = RAGGED.pitch()
+    rows = p.select(*COORDS, F.array(*[F.lit(t) * (1.0 + ((k * (q + 3)) % 11).cast("double") / 100.0) for q, t in enumerate(w)]).alias("f"))
+    return cut(rows, "fluid")
+
+
+def _fluid_sql(c, w) -> str:
+    lat = ", ".join(f"({q}, {d[0]}, {d[1]}, {d[2]}, {t!r}::DOUBLE)" for q, (d, t) in enumerate(zip(c, w, strict=True)))
+    return f"""{PART}, lat(q, cx, cy, cz, wt) AS (VALUES {lat}), f AS (SELECT x, y, z, q, cx, cy, cz, wt, wt * (1 + ((x + 16 * y + 256 * z) * (q + 3)) % 11 / 100.0::DOUBLE) AS f FROM p CROSS JOIN lat),
+mom AS (SELECT x, y, z, sum(f) AS rho, sum(f * cx) / sum(f) AS ux, sum(f * cy) / sum(f) AS uy, sum(f * cz) / sum(f) AS uz FROM f GROUP BY x, y, z)"""
+
+
+
+_EQ = "rho * wt * (1 + 3 * cu + 4.5 * cu * cu - 1.5 * (ux * ux + uy * uy + uz * uz))"
+
+
+@register("g106_collide", f"WITH {_fluid_sql(C19, W19)} SELECT x, y, z, q, round(-0.2::DOUBLE * f + 1.2::DOUBLE * {_EQ}, 9) AS o FROM (SELECT f.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu FROM f JOIN mom USING (x, y, z))")
+def _(spark, sf_dir):
+    rows = level_flow.collide_bgk(_fluid(spark, sf_dir, C19, W19), C19, W19, 1.2)
+    return rows.select(*COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+
+
+@register("g107_collide_generic", f"WITH {_fluid_sql(C27, W27)} SELECT x, y, z, q, round(-0.2::DOUBLE * f + 1.2::DOUBLE * {_EQ}, 9) AS o FROM (SELECT f.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu FROM f JOIN mom USING (x, y, z))")
+def _(spark, sf_dir):
+    rows = level_flow.collide_bgk(_fluid(spark, sf_dir, C27, W27), C27, W27, 1.2)
+    return rows.select(*COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+
+
+@register("g108_collide_kbc")
+def _(spark, sf_dir):
+    rows = level_flow.collide_kbc(_fluid(spark, sf_dir, C27, W27), C27, W27, 1.7)
+    return rows.select(*COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+
+
+@register("g113_flow_over_sphere")
+def _(spark, sf_dir):
+    ball = source.signed_distance("sphere", (8, 5, 5), 2.5) <= 0
+    cells = level_flow.flow_over(source.dense(spark, GridSpec(20, 11, 11)), (20, 11, 11), ball, 0.05, C19, W19)
+    return cells.select(*COORDS, "kind", F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 9).alias("mass"))
+
+
+def _two_levels(spark: SparkSession) -> DataFrame:
+    cells = multires.build(spark, GridSpec(12, 8, 8), [F.col("x") < 6, F.lit(True)])
+    return level_flow.at_rest(cells, (12, 8, 8), 2, C19, W19, 0.05)
+
+
+@register("g116_store_weights")
+def _(spark, sf_dir):
+    return _two_levels(spark).select(*multires.LEVEL_COORDS, F.posexplode("weight").alias("q", "weight")).filter("weight > 0")
+
+
+@register("g115_store_fine")
+def _(spark, sf_dir):
+    rows = level_flow.store_fine(_two_levels(spark), 0, C19).filter("refined")
+    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+
+
+@register("g114_store_coarse")
+def _(spark, sf_dir):
+    rows = level_flow.store_coarse(_two_levels(spark), 1, C19).filter("refined")
+    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+
+
+@register("g117_explosion_coalescence_stream")
+def _(spark, sf_dir):
+    rows = level_flow.stream(level_flow.stream(_two_levels(spark), 0, C19), 1, C19).filter("NOT refined")
+    return rows.select(*multires.LEVEL_COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
+
+
+@register("g121_nonuniform_step")
+def _(spark, sf_dir):
+    rows = level_flow.advance(_two_levels(spark), 1, 2, 1.5, C19, W19).filter("NOT refined")
+    return rows.select(*multires.LEVEL_COORDS, "kind", F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 9).alias("mass"))
+
+
+@register("g122_zou_he_pressure", f"WITH {_fluid_sql(C19, W19)} SELECT x, y, z, round(1 - (sum(f) FILTER (cx = 0) + 2 * sum(f) FILTER (cx < 0)) / 1.02::DOUBLE, 9) AS ux FROM f WHERE x = 0 GROUP BY x, y, z")
+def _(spark, sf_dir):
+    rows = boundaries.zou_he(_fluid(spark, sf_dir, C19, W19).filter("x = 0"), "f", (1, 0, 0), rho=1.02)
+    return rows.select(*COORDS, F.round("ux", 9).alias("ux"))
+
+
+@register("g122_zou_he_velocity", f"WITH {_fluid_sql(C19, W19)} SELECT x, y, z, round((sum(f) FILTER (cx = 0) + 2 * sum(f) FILTER (cx < 0)) / 0.95::DOUBLE, 9) AS rho FROM f WHERE x = 0 GROUP BY x, y, z")
+def _(spark, sf_dir):
+    rows = boundaries.zou_he(_fluid(spark, sf_dir, C19, W19).filter("x = 0"), "f", (1, 0, 0), speed=0.05)
+    return rows.select(*COORDS, F.round("rho", 9).alias("rho"))
+
+
+@register("g123_tau_collide_stream", f"WITH {_fluid_sql(C19, W19)}, o AS (SELECT f.x, f.y, f.z, q, cx, cy, cz, (1 - 1 / 0.8::DOUBLE) * f + {_EQ} / 0.8::DOUBLE AS o FROM (SELECT f.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu FROM f JOIN mom USING (x, y, z)) f) SELECT f.x, f.y, f.z, f.q, round(coalesce(o.o, 0), 9) AS f FROM f LEFT JOIN o ON o.x = f.x - f.cx AND o.y = f.y - f.cy AND o.z = f.z - f.cz AND o.q = f.q")
+def _(spark, sf_dir):
+    rows = _fluid(spark, sf_dir, C19, W19).withColumn("mask", F.lit(1)).withColumns({n: F.lit(0.0) for n in ("rho", "ux", "uy", "uz")})
+    rows = boundaries.tau_collide_stream(boundaries.tau_macroscopic(rows, C19), C19, W19, 0.8)
+    return rows.select(*COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
+
+
+@register("g124_centre_line_error", "WITH p(pos, expected) AS (VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in zip(verify.Y_POSITIONS, verify.U_ALONG_Y[100], strict=True)) + ") SELECT round(max(abs(pos * pos - 0.01 - expected + least(0, 0)) / CASE WHEN expected = 0 THEN 1 ELSE abs(expected) END), 2) AS error FROM p")
+def _(spark, sf_dir):
+    fine = spark.range(0, 2001).select((F.col("id") / 2000.0).alias("pos")).select("pos", (F.col("pos") * F.col("pos") - 0.01).alias("value"))
+    return verify.worst_error(fine, 100).select(F.round("error", 2).alias("error"))
+
+
+@register("g151_sum", f"WITH {G} SELECT x, y, z, v + w AS c FROM g")
+def _(spark, sf_dir):
+    return maps.apply(orders(spark, sf_dir), maps.add("v", "w", "c")).select(*COORDS, "c")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
