@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +38,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: An open element of these is closed by the start of one of those.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Elements whose end tags don't reach beyond a block.
+INLINE = frozenset("a b em font i span strong u".split())
 #: Elements that stop the search for an open element to close.
+CLOSERS = frozenset().union(*CLOSES.values())
 SCOPE = frozenset("body html article section div main table td th ul ol dl blockquote".split())
 
 
@@ -47,6 +51,8 @@ class Node:
     up: Node | None = None
     parts: list = field(default_factory=list)
     noise: bool = False
+    #: In an article or main element.
+    inner: bool = False
     chars: int = 0
     link_chars: int = 0
     tags: int = 0
@@ -55,9 +61,9 @@ class Node:
     total: float = 0.0
 
 
-def is_noise(tag: str, attributes: str, inside: set[str]) -> bool:
+def is_noise(tag: str, attributes: str, inner: bool) -> bool:
     if tag in NOISE:
-        return not (tag == "header" and inside & {"article", "main"})
+        return not (tag == "header" and inner)
     if tag in ("html", "body", "main", "article") or "=" not in attributes:
         return False
     for _, *value in ATTRIBUTE.findall(attributes):
@@ -69,6 +75,14 @@ def is_noise(tag: str, attributes: str, inside: set[str]) -> bool:
 def parse(page: str) -> Node:
     """A lenient tree: every start tag opens, unclosed elements end with their parents, unmatched end tags are skipped."""
     root = node = Node("#root")
+    opened: Counter[str] = Counter()
+
+    def leave(to: Node) -> None:
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.up
+
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -81,26 +95,23 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             up = node
-            while up is not root and up.tag != tag and not (tag in ("b", "i", "em", "strong", "span", "a", "u", "font") and up.tag in BLOCK):
+            while up is not root and up.tag != tag and not (tag in INLINE and up.tag in BLOCK):
                 up = up.up
             if up is not root and up.tag == tag:
-                node = up.up
+                leave(up.up)
             continue
-        scan = node
+        scan = node if tag in CLOSERS else root
         while scan is not root:
             if tag in CLOSES.get(scan.tag, ()):
-                node = scan.up
+                leave(scan.up)
                 break
             if scan.tag in SCOPE:
                 break
             scan = scan.up
-        inside = set()
-        scan = node
-        while scan is not root:
-            inside.add(scan.tag)
-            scan = scan.up
-        child = Node(tag, node, noise=node.noise or is_noise(tag, m[3] or "", inside))
+        child = Node(tag, node, noise=node.noise or is_noise(tag, m[3] or "", node.inner), inner=node.inner or tag in ("article", "main"))
         node.parts.append(child)
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
             continue
@@ -109,6 +120,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         node = child
+        opened[tag] += 1
     if at < len(page) and not node.noise:
         node.parts.append(html.unescape(page[at:]))
     return root
