@@ -266,3 +266,25 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(str(tmp_path / "r.json"), {"a": 1, "b": {"c": [2]}})
     assert '"c"' in (tmp_path / "r.json").read_text()
     assert [z for z, _ in sinks.planes(field, ["v"])] == [0, 1]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    assert main([]) == 0 and "g049_laplace_count" in capsys.readouterr().out
+    assert main(["nothing"]) == 2
+    assert main(["g001_dense_grid", "--report", str(tmp_path / "r.json"), "--show", "1"]) == 0
+    assert '"rows": 2210' in (tmp_path / "r.json").read_text()
+
+
+def test_scans_read_only_what_they_need(spark):
+    from gridloom import queries
+
+    plan = queries.QUERIES["g049_laplace_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan and plan.count("Exchange ") == 1
+
+
+def test_box_predicate(spark):
+    grid = GridSpec(3, 4, 5)
+    rows = spark.range(-2, 8).select(F.col("id").cast("int").alias("x"), F.lit(3).alias("y"), F.lit(4).alias("z"))
+    assert [r.x for r in rows.filter(grid.inside(*map(F.col, COORDS))).collect()] == [0, 1, 2]
