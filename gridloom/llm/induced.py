@@ -167,6 +167,6 @@ def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_ME
             reduced = np.r_[reduced + 1, 0]
             inner = suffix_array(reduced.astype(np.int32), count + 1, depth, in_memory)[1:]
         else:
-            inner = doubled(reduced, depth)
+            inner = doubled(reduced, (depth + 1) // 2)  # a name stands for two symbols at least
         ordered = seeds[inner]
     return induce(text, keys, rises, ordered.astype(np.int32), in_memory)

@@ -220,15 +220,13 @@ def gram_hashes_of(grams: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def common_prefix_at_least(text: np.ndarray, array: np.ndarray, width: int) -> np.ndarray:
-    """For each suffix but the first in order, whether it shares its first `width` symbols with the one before."""
+def common_prefix_at_least(data: bytes, array: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix but the first in order, whether it shares its first `width` bytes with the one before; all have so many."""
+    words = words_at(data)
     alike = np.ones(len(array) - 1, dtype=bool)
-    at = np.arange(len(array) - 1)
-    k = 0
-    while len(at) and k < width:
-        same = text[array[at] + k] == text[array[at + 1] + k]
-        alike[at[~same]] = False
-        at, k = at[same], k + 1
+    for k in [*range(0, width - 8, 8), width - 8]:
+        at = words[array + k]
+        alike &= at[1:] == at[:-1]
     return alike
 
 
@@ -236,7 +234,8 @@ def smallest_elsewhere(strings: list[bytes], orders: np.ndarray, width: int, in_
     """strings x starts: the smallest order of all strings that hold the `width` bytes from there on, LAST past the end."""
     lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
     # Symbols: 0 ends the text, 1 ends a string, a byte counts 2 more.
-    text = np.frombuffer(b"\0".join(strings), np.uint8).astype(np.int16) + 2
+    data = b"\0".join(strings)
+    text = np.frombuffer(data, np.uint8).astype(np.int16) + 2
     ends = np.cumsum(lengths + 1)[:-1] - 1
     text[ends] = 1
     text = np.concatenate([text, np.array([1] * (width + 1) + [0], np.int16)])
@@ -249,7 +248,7 @@ def smallest_elsewhere(strings: list[bytes], orders: np.ndarray, width: int, in_
     owner[flat] = np.repeat(np.arange(len(strings)), counts)
     offset[flat] = flat - starts[owner[flat]]
     array = array[owner[array] >= 0]
-    run = np.cumsum(np.r_[True, ~common_prefix_at_least(text, array, width)]) - 1
+    run = np.cumsum(np.r_[True, ~common_prefix_at_least(data, array, width)]) - 1
     least = np.full(int(run[-1]) + 1, LAST)
     np.minimum.at(least, run, orders[owner[array]])
     out = np.full((len(strings), int(counts.max())), LAST)
