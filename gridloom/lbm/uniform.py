@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.lbm.lattice import C19, CENTER, OPPOSITE_19, W19, Cavity
+from gridloom.operators.halo import SIZE, blockwise, shift
 from gridloom.plans.checkpoint import cut
 from gridloom.sources.cells import dense
 from gridloom.spec import COORDS, GridSpec, Stencil
@@ -98,9 +101,35 @@ def step(cells: DataFrame, omega: float) -> DataFrame:
     return moments.select(*COORDS, "kind", "wall", F.when(F.col("_bulk"), collide(omega, "g")).otherwise(F.col("f")).alias("f"))
 
 
-def run(cells: DataFrame, omega: float, steps: int, cut_every: int = 5) -> DataFrame:
+def step_blocks(cells: DataFrame, omega: float, size: int = SIZE) -> DataFrame:
+    """The same step on packed blocks: a third more rows than cells are shuffled, not nineteen times as many."""
+    c, w = np.array(C19, float), np.array(W19)
+
+    def kernel(values: dict[str, np.ndarray], valid: np.ndarray) -> dict[str, np.ndarray]:
+        f, wall = values["f"], values["wall"]
+        bulk = valid & (values["kind"] == BULK)
+        g = np.empty_like(f)
+        for q, d in enumerate(C19):
+            source, back = [-a for a in d], OPPOSITE_19[q]
+            bounced = f[..., back] + shift(f[..., back], source)
+            g[..., q] = f[..., q] if q == CENTER else np.where(wall >> q & 1, bounced, shift(f[..., q], source))
+        g = g[bulk]
+        rho = g.sum(1, keepdims=True)
+        u = g @ c / rho
+        cu = u @ c.T
+        eq = rho * w * (1.0 + 3.0 * cu + 4.5 * cu * cu - 1.5 * (u * u).sum(1, keepdims=True))
+        out = f.copy()
+        out[bulk] = (1.0 - omega) * g + omega * eq
+        return {"kind": values["kind"], "wall": wall, "f": out}
+
+    fields = [T.StructField("kind", T.IntegerType()), T.StructField("wall", T.LongType()), T.StructField("f", T.ArrayType(T.DoubleType()))]
+    return blockwise(cells, ["kind", "wall", "f"], kernel, T.StructType(fields), size)
+
+
+def run(cells: DataFrame, omega: float, steps: int, cut_every: int = 5, blocks: bool = False) -> DataFrame:
+    """steps in a row, by columns or on packed blocks; every few of them the state is written to the shared folder."""
     for k in range(steps):
-        cells = step(cells, omega)
+        cells = step_blocks(cells, omega) if blocks else step(cells, omega)
         if (k + 1) % cut_every == 0:
             cells = cut(cells, "lbm")
     return cells

@@ -16,7 +16,7 @@ from gridloom.functions import vectors as V
 from gridloom.lbm import boundaries, uniform, verify
 from gridloom.lbm import multires as level_flow
 from gridloom.lbm.lattice import C19, C27, OPPOSITE_19, W19, W27, Cavity
-from gridloom.operators import maps, multires, partitions, reductions, staggered, stencils, subsets
+from gridloom.operators import halo, maps, multires, partitions, reductions, staggered, stencils, subsets
 from gridloom.plans.checkpoint import cut
 from gridloom.solver import cg
 from gridloom.sources import cells as source
@@ -253,6 +253,11 @@ def _(spark, sf_dir):
     return stencils.laplace_count(parts(spark, sf_dir), "v")
 
 
+@register("g049_laplace_count_blocks", f"WITH {SPARSE}, {around(S6, 's')} {folded('s', S6, 'v - n * t')}")
+def _(spark, sf_dir):
+    return halo.laplace_count(sparse(spark, sf_dir), "v", 8)
+
+
 @register("g050_laplace_matvec", f"WITH {G}, {around(S6, 'g', 'c.v, c.w')} SELECT x, y, z, CASE WHEN b = 0 THEN v::DOUBLE ELSE (n * v - t)::DOUBLE / 0.25 END AS value FROM (SELECT x, y, z, any_value(v) AS v, any_value(w) % 4 AS b, CAST(coalesce(sum(nv), 0) AS BIGINT) AS t, count(nv) AS n FROM nb GROUP BY x, y, z)")
 def _(spark, sf_dir):
     g = orders(spark, sf_dir).withColumn("bd", F.col("w") % 4)
@@ -574,6 +579,12 @@ def _(spark, sf_dir):
     return rows.select(*COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
 
 
+@register("g109_lbm_step_blocks", f"WITH {_CAV} SELECT x, y, z, q, round((1 - o) * g + o * rho * wt * (1 + 3 * cu + 4.5 * cu * cu - 1.5 * (ux * ux + uy * uy + uz * uz)), 9) AS f FROM (SELECT p.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu, {CAVITY.omega!r}::DOUBLE AS o FROM pulled p JOIN mom USING (x, y, z))")
+def _(spark, sf_dir):
+    rows = uniform.step_blocks(uniform.cavity(spark, CAVITY), CAVITY.omega, 8).filter("kind = 0")
+    return rows.select(*COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
+
+
 @register("g110_lbm_export")
 def _(spark, sf_dir):
     rows = uniform.export(uniform.run(uniform.cavity(spark, CAVITY), CAVITY.omega, 4))

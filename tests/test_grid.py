@@ -65,6 +65,17 @@ def test_dense_equals_sparse_with_all_cells(spark):
     assert stencils.gradient(field, "v").exceptAll(stencils.gradient(all_, "v")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 4, 16])
+def test_blocks_equal_columns(spark, size):
+    from gridloom.operators import halo
+
+    cells = source.sparse(spark, GridSpec(9, 7, 11), source.geometry("hollow_cube", (9, 7, 11), 1.0, 0.3)).withColumn("v", source.seeded(1, 99))
+    assert halo.laplace_count(cells, "v", size).exceptAll(stencils.laplace_count(cells, "v")).count() == 0
+    assert halo.laplace_count(cells, "v", size).count() == cells.count()
+    with pytest.raises(ValueError, match="radius"):
+        halo.deal(cells, 4, 5)
+
+
 def test_gradient_and_life(spark):
     grid = GridSpec(6, 6, 3)
     field = source.dense(spark, grid).withColumn("v", (F.col("x") * F.col("x") + 3 * F.col("y")).cast("double"))
@@ -241,6 +252,8 @@ def test_lattice_boltzmann(spark, tmp_path):
     for _ in range(3):
         f = numpy_step(f, kind, cavity.omega)
     assert all(np.allclose(r.f, f[r.x, r.y, r.z], atol=1e-12) for r in state.collect())
+    blocks = uniform.run(start, cavity.omega, 3, cut_every=1, blocks=True)
+    assert all(np.allclose(r.f, f[r.x, r.y, r.z], atol=1e-12) for r in blocks.collect()) and blocks.count() == 6**3
     assert uniform.mass(state).first().mass == pytest.approx(mass, rel=1e-3)
     line = uniform.centre_line(uniform.export(state), 6, "y", "ux", cavity.lid)
     sinks.write_profile(str(tmp_path / "u.dat"), line)
