@@ -8,6 +8,7 @@ its place by its rank within its length. The plan is exact over the whole corpus
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,18 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from gridloom.llm.common import batch, id_ranks, materialize, require
-from gridloom.llm.tokens import UNIT, Paths
+from gridloom.llm.tokens import Paths, byte_level, emitter, splitter
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=4)
 def encoding(path: str) -> Paths:
-    library = Tokenizer.from_file(path)
-    return Paths(lambda unit: np.asarray(library.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    emit = emitter(path)
+    return Paths(lambda unit: array("I", emit(unit)).tobytes(), byte_level(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -35,11 +35,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = encoding(tokenizer)
+        paths, split = encoding(tokenizer), splitter(tokenizer)
         for rows in batches:
             out: list[tuple] = []
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                ids = b"".join(map(paths.__getitem__, UNIT.findall(text.as_py() or ""))) + end
+                ids = b"".join(map(paths.__getitem__, split(text.as_py() or ""))) + end
                 n = len(ids) // 4
                 stops = [*range(n % capacity or capacity, n, capacity), n]
                 for k, (start, stop) in enumerate(zip([0, *stops], stops)):  # noqa: B905

@@ -10,10 +10,12 @@ Maps compose associatively, so a scan over a long text's chunks can be a tree.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from gridloom.llm.common import batch, require
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Paths kept in each of two generations; older ones are compiled again when they come up.
-PATHS = 320_000
+PATHS = 400_000
 CHUNK = 1 << 16
 #: Letters below this code point are letters in every version of Unicode.
 LATER = chr(0x250)
@@ -35,14 +37,14 @@ LATER = chr(0x250)
 class Paths(dict):
     """The compiled paths: unit -> what it emits. A miss asks the library; two generations bound the memory."""
 
-    def __init__(self, emit, limit: int = PATHS):
+    def __init__(self, emit, joins: bool = True, limit: int = PATHS):
         super().__init__()
-        self.emit, self.limit, self.old = emit, limit, {}
+        self.emit, self.joins, self.limit, self.old = emit, joins, limit, {}
 
     def __missing__(self, unit: str):
         if (out := self.old.get(unit)) is None:
             # A letter and a full stop or comma after it never belong to one pre-token, so their paths can be joined.
-            if unit[-1] in ".," and unit[-2:-1].isalpha() and unit[-2] < LATER:
+            if self.joins and unit[-1] in ".," and unit[-2:-1].isalpha() and unit[-2] < LATER:
                 out = self[unit[:-1]] + self[unit[-1]]
             else:
                 out = self.emit(unit)
@@ -53,10 +55,52 @@ class Paths(dict):
         return out
 
 
+def byte_symbols() -> dict[int, str]:
+    """Byte-level tokenizers write a printable Latin-1 byte as itself, the others as U+0100 onward in turn."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 @lru_cache(maxsize=4)
-def counting(path: str) -> Paths:
+def byte_level(path: str) -> bool:
+    """Whether units are independent: a BPE over bytes without a normalizer, whose pre-tokenizer splits at white space."""
+    told = json.loads(Path(path).read_text())
+    before = told.get("pre_tokenizer") or {}
+    free = not told.get("normalizer") and not told["model"].get("dropout") and not before.get("add_prefix_space")
+    return told["model"].get("type") == "BPE" and free and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+
+
+def splitter(path: str) -> Callable[[str], list[str]]:
+    """text -> its units; with any other tokenizer a text is one unit."""
+    return UNIT.findall if byte_level(path) else lambda text: [text] if text else []
+
+
+def emitter(path: str) -> Callable[[str], Sequence]:
+    """unit -> what the library makes of it, one element per token, as ids.
+
+    For a byte-level BPE without a normalizer, letters after at most one space are one pre-token, so its merges
+    are applied to them alone; everything else takes the library's whole way.
+    """
     library = Tokenizer.from_file(path)
-    return Paths(lambda unit: len(library.encode(unit, add_special_tokens=False).ids))
+    whole = lambda unit: library.encode(unit, add_special_tokens=False).ids
+    if not byte_level(path):
+        return whole
+    merges, symbols = library.model.tokenize, byte_symbols()
+
+    def emit(unit: str) -> Sequence:
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha() and max(word) < LATER:
+            return [t.id for t in merges(unit.encode().decode("latin-1").translate(symbols))]
+        return whole(unit)
+
+    return emit
+
+
+@lru_cache(maxsize=4)
+def counting(path: str) -> Paths:
+    emit = emitter(path)
+    return Paths(lambda unit: len(emit(unit)), byte_level(path))
 
 
 @dataclass(frozen=True, slots=True)
@@ -114,9 +158,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = counting(tokenizer)
+        paths, split = counting(tokenizer), splitter(tokenizer)
         for rows in batches:
-            n = [count_tokens(x.as_py() or "", paths, chunk) for x in rows.column(1)]
+            if byte_level(tokenizer):
+                n = [count_tokens(x.as_py() or "", paths, chunk) for x in rows.column(1)]
+            else:
+                n = [sum(paths[u] for u in split(x.as_py() or "")) for x in rows.column(1)]
             yield batch(schema, doc_id=rows.column(0), n_bytes=rows.column(2), n_tokens=n, over_limit=[x > limit for x in n])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")

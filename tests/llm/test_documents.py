@@ -69,6 +69,13 @@ def test_token_counts(docs, odd, empty):
     assert tokens.token_counts(odd, PATH).count() == 4 and tokens.token_counts(empty, PATH).count() == 0
 
 
+def test_other_tokenizers_take_texts_whole(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, path).collect()}
+    assert got == {r[0]: len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows()}
+
+
 def test_state_maps_compose_in_any_order():
     rng, paths, library = random.Random(5), tokens.counting(PATH), Tokenizer.from_file(PATH)
     alphabet = ["a", "b's", " ", "\n", " ", " ", "\x1c", "1", "!", ",", "Zw.", "<|endoftext|>", "é", "日"]
