@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL}
+    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL, "op9_suffix_dedup": suffix.REPEATS_SQL}

@@ -383,3 +383,30 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
     out = slim.groupBy("block").cogroup(copies.unionByName(marks).groupBy("block")).applyInArrow(finish, schema)
     return out.toDF(*docs.columns, "n_bytes", "n_removed", "n_spans", "kept")
 
+
+REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS (
+  SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM d
+), strings AS (
+  SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM starts
+), hits AS (
+  SELECT doc_id, i FROM strings JOIN (SELECT s, min(doc_id) AS first FROM strings GROUP BY s) USING (s) WHERE doc_id > first
+), numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+    SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM hits)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM numbered GROUP BY doc_id, g
+), pieces AS (
+  SELECT doc_id, a, hex(array_slice(b, 1 + coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0), a - 1)) AS h FROM spans JOIN d USING (doc_id)
+  UNION ALL
+  SELECT doc_id, max(n) + 1, hex(array_slice(any_value(b), 1 + max(z), max(n))) FROM spans JOIN d USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, unhex(string_agg(h, '' ORDER BY a)) AS k FROM pieces GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
