@@ -43,6 +43,10 @@ INLINE = frozenset("a b em font i span strong u".split())
 #: Elements that stop the search for an open element to close.
 CLOSERS = frozenset().union(*CLOSES.values())
 SCOPE = frozenset("body html article section div main table td th ul ol dl blockquote".split())
+#: Elements that may hold a text of several paragraphs; a paragraph or what is in it is never taken for the whole text.
+HOLDERS = frozenset("body article section div main td center #root".split())
+#: The least base of the logarithm that weighs links: without links the weight is the plain logarithm of characters and tags.
+LEAST_BASE = math.e
 
 
 @dataclass(slots=True, eq=False)
@@ -151,9 +155,9 @@ def measure(nodes: list[Node]) -> None:
     shared = page.link_chars / max(1, page.chars)
     for n in reversed(nodes):
         tags, links, link_tags = max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        base = math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + shared * n.chars + math.e)
+        base = max(LEAST_BASE, math.log(n.chars / max(1, n.chars - n.link_chars) * n.link_chars + shared * n.chars + math.e))
         ratio = n.chars / links * tags / link_tags
-        n.density = n.chars / tags * (math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else 0.0)
+        n.density = n.chars / tags * (math.log(ratio) / math.log(base) if ratio > 1 else 0.0)
         n.total = sum(p.density for p in n.parts if isinstance(p, Node) and not p.noise)
 
 
@@ -163,7 +167,7 @@ def content(root: Node) -> set[int]:
     measure(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     inside = order(body)
-    top = max(inside, key=lambda n: (n.total, n.chars))
+    top = max((n for n in inside if n.tag in HOLDERS), key=lambda n: (n.total, n.chars))
     if top.total <= 0:
         return {id(body)}
     path, limit, n = {id(top)}, top.density, top
@@ -177,7 +181,7 @@ def content(root: Node) -> set[int]:
         if id(n) in chosen:
             continue
         if id(n) not in path and n.density >= limit and n.chars:
-            chosen.add(id(max(order(n), key=lambda x: (x.total, x is n))))
+            chosen.add(id(max((x for x in order(n) if x is n or x.tag in HOLDERS), key=lambda x: (x.total, x is n))))
             continue
         stack.extend(p for p in n.parts if isinstance(p, Node) and not p.noise)
     return chosen

@@ -52,6 +52,19 @@ def test_main_text_of_pages():
     assert html.main_text("<") == "<" and html.main_text("<!-- open") == "" and html.main_text("a < b") == "a < b"
 
 
+def test_density_decides_on_pages_without_links():
+    long = "<p>" + "A sentence of the article that goes on for a while. " * 6 + "</p>"
+    page = f"<body><div>By reading on you accept the terms.</div>{{}}<div><span>All rights</span> <span>reserved</span></div></body>"
+    for whole in (f"<article><h1>Title</h1>{long * 4}<p>Short.</p></article>", f"<div><h1>Title</h1>{long * 4}<p>Short.</p></div>", f"<div><h1>Title</h1><p><b>{long[3:-4]}<br></b></p><p>Short.</p></div>"):
+        text = html.main_text(page.format(whole))
+        assert text.startswith("Title\nA sentence") and text.endswith("\nShort.") and "accept" not in text and "reserved" not in text
+        linked = page.format("<nav><a href='/'>Home</a></nav>" + whole)
+        assert html.main_text(linked) == text
+    nodes = html.order(html.parse(page.format(f"<article>{long}</article>")))
+    html.measure(nodes)
+    assert all(n.density > 0 for n in nodes if n.chars > 1)
+
+
 def test_pages(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "extra")] * 2 + [(2, None, None, "extra"), (None, "v", "", "extra")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(frame).collect())
