@@ -4,11 +4,13 @@ The model is over characters: n-grams of `order` symbols, counted in all trusted
 n-gram. Tasks cut the documents that they read into blocks; a block asks for each of its distinct n-grams once,
 in packed form, by shards of the n-grams. A shard puts equal requests together; joins with the counts, order by
 order, give their probabilities, which go back to the blocks. A document's perplexity is compared with a quantile of the
-trusted texts' perplexities in its language.
+trusted texts' perplexities in its language. N-grams of characters don't see that words repeat; repetitions beyond those of trusted
+texts are charged at their rarity there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ from gridloom.llm.common import batch, blocks, blocks_for, materialize, packed,
 
 #: Bits of a symbol; code points from PLAIN on share the symbols above it, and the last symbol stands before a text.
 BITS, PLAIN, PAD = 12, 3072, 4095
+#: Words back to which repetitions are counted.
+REACH = 2
 ORDER, BLOCK_CHARS, SPAN = 5, 8_000_000, 1 << 20
 #: N-grams of a shard of requests.
 SHARD = 4_000_000
@@ -47,6 +51,32 @@ def codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out[inside], lengths
 
 
+def repeated(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and how many equal one before them and first do so at distance 1, 2, ... REACH."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.cumsum(lengths + 1) - lengths
+    points = np.frombuffer((" " + " ".join(texts)).encode("utf-32-le", "replace"), np.uint32)
+    blank = (points <= 32) | (points == 0xA0) | (points == 0x3000)
+    at = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    near = np.zeros((len(texts), REACH), np.int64)
+    if not len(at):
+        return np.zeros(len(texts), np.int64), near
+    heads = np.r_[0, at]
+    place = np.arange(len(points)) - np.repeat(heads, np.diff(np.r_[heads, len(points)]))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    keys = points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    keys ^= keys >> np.uint64(29)
+    keys *= powers[place]
+    keys[blank] = 0
+    keys, text = np.add.reduceat(keys, at), np.searchsorted(starts, at, "right") - 1
+    fresh = np.ones(len(at), dtype=bool)
+    for d in range(1, min(REACH, len(at) - 1) + 1):
+        same = fresh[d:] & (keys[d:] == keys[:-d]) & (text[d:] == text[:-d])
+        near[:, d - 1] = np.bincount(text[d:][same], minlength=len(texts))
+        fresh[d:] &= ~same
+    return np.bincount(text, minlength=len(texts)), near
+
+
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and how often each occurs."""
     values = np.sort(values)
@@ -166,7 +196,7 @@ def names_of(texts: list[str], order: int) -> np.ndarray:
 
 
 def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs(text, ...) without their texts, with perplexity; null for a null or empty text.
+    """The rows of docs(text, ...) without their texts, with perplexity (null for a null or empty text), words and repeats by distance.
 
     docs is read twice and must give each task the same rows both times, as files do; anything but a projection of a scan
     is written as a table first, and a difference is an error.
@@ -206,8 +236,9 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
             raise RuntimeError("the documents came in another order than before")
         values = np.concatenate([v for _, v in parts]) if parts else np.empty(0, np.float16)
         values = values[np.argsort(np.concatenate([n for n, _ in parts]))].astype(np.float64) if parts else values
-        out = np.full(len(texts), np.nan)
+        out, words, near = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64), np.zeros((len(texts), REACH), np.int64)
         for span in spans(texts):
+            words[span], near[span] = repeated([texts[i] for i in span])
             found, lengths = codes([texts[i] for i in span], order)
             if not len(found):
                 continue
@@ -216,14 +247,15 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
             sums = np.add.reduceat(each, np.minimum(np.cumsum(lengths) - lengths, len(found)))
             real = lengths > 0
             out[np.array(span)[real]] = np.exp(-sums[real] / lengths[real])
-        return tidy(pa.table([*[table.column(f.name) for f in kept], pa.array(out, mask=np.isnan(out))], names=[*[f.name for f in kept], "perplexity"]))
+        found = {"perplexity": pa.array(out, mask=np.isnan(out)), "words": pa.array(words), **{f"repeats_{d + 1}": pa.array(near[:, d].copy()) for d in range(REACH)}}
+        return tidy(pa.table([*[table.column(f.name) for f in kept], *found.values()], names=[*[f.name for f in kept], *found]))
 
     asked = materialize(docs.select("text").mapInArrow(ask, "shard int, block long, names binary"), "requests")
     wanted = materialize(asked.groupBy("shard").applyInArrow(unite, "code long, shard int"), "wanted")
     known = model.probabilities(wanted)
     told = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "block long, shard int, logs binary")
     dealt = packed(docs.select(*[f.name for f in kept], "text"), "text", block_chars)
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "perplexity double"])
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "perplexity double", "words long", *[f"repeats_{d} long" for d in range(1, REACH + 1)]])
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
 
 
@@ -233,7 +265,9 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     trusted(doc_id) names documents to rely on. The model is trained on their whole texts but for one fold in `folds`, by a
     hash of the id; that fold, which the model hasn't seen, sets the thresholds. A document stays if its perplexity is at
     most `slack` times the `quantile` of the fold's perplexities in its language. As the mean over a short text
-    strays further, both sides are compared after division by exp(1 / sqrt(characters)). A null language is one of its
+    strays further, both sides are compared after division by exp(1 / sqrt(characters)). A word that equals the one or two words before
+    it costs the negative logarithm of such words' share in the training texts; by what this cost per character, less 1 / sqrt(characters),
+    exceeds the `quantile` of the fold, the logarithm of the perplexity is raised. A null language is one of its
     own; a language without a trusted text in the fold takes the quantile of all. A null or empty text has no perplexity and
     goes. Without any trusted text in the fold there is no threshold and all other documents stay. Repeated rows get
     equal results, unknown and repeated trusted ids do no harm, an empty table gives no rows, other columns are ignored.
@@ -251,6 +285,13 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     named = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
     scored = materialize(scored.join(named, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
     allowed = F.exp(F.lit(1.0) / F.sqrt(F.greatest(F.col("chars"), F.lit(1)).cast("double")))
+    rates = scored.filter("role = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", *[f"repeats_{d}" for d in range(1, REACH + 1)])]).first()
+    costs = [-math.log((n + 0.5) / (rates[0] + 1)) if rates[0] else 0.0 for n in rates[1:]]
+    length = F.greatest(F.col("chars"), F.lit(1)).cast("double")
+    cost = sum((F.col(f"repeats_{d}") * F.lit(max(c, 0.0)) for d, c in enumerate(costs, 1)), F.lit(0.0)) / length
+    scored = scored.withColumn("_cost", F.greatest(cost - 1.0 / F.sqrt(length), F.lit(0.0)))
+    usual = scored.filter("role = 2 AND perplexity IS NOT NULL").agg(F.percentile_approx("_cost", quantile, 10000)).first()[0]
+    scored = scored.withColumn("perplexity", F.col("perplexity") * F.exp(F.greatest(F.col("_cost") - F.lit(usual).cast("double"), F.lit(0.0))))
     sure = scored.filter("role = 2 AND perplexity IS NOT NULL").withColumn("even", F.col("perplexity") / allowed)
     limits = sure.groupBy("lang").agg(F.percentile_approx("even", quantile, 10000).alias("own"))
     overall = sure.agg(F.percentile_approx("even", quantile, 10000).alias("every")).first()["every"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -353,6 +354,31 @@ def test_perplexity(spark):
         assert (got[i] is None) if not t else abs(got[i] / plain(t) - 1) < 0.01
 
 
+def plain_repeats(t):
+    """Words of a text, and those that equal the first, else the second, word before them."""
+    words = re.findall(r"[^\s\u3000]+", t)
+    near = [next((d for d in range(1, quality.REACH + 1) if k >= d and words[k - d] == w), 0) for k, w in enumerate(words)]
+    return len(words), [near.count(d) for d in range(1, quality.REACH + 1)]
+
+
+def test_repeated_words_are_counted():
+    rng = random.Random(6)
+    texts = ["", "a", "a a", " a  a\n\ta", "ab ab ba ab", "a", "a", "x y x y x", " "] + [" ".join(rng.choice(["aa", "ab", "ba", "é"]) for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    words, near = quality.repeated(texts)
+    assert list(zip(words.tolist(), near.tolist(), strict=True)) == [plain_repeats(t) for t in texts]
+    assert quality.repeated(["", ""])[0].tolist() == [0, 0]
+
+
+def test_repeated_words_are_rejected(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    clean = [(i, text(rng, words, rng.randint(20, 60)), "en") for i in range(200)]
+    junk = [(1000 + i, " ".join([w] * 30), "en") for i, w in enumerate(words[:20])] + [(1100 + i, " ".join(words[i : i + 2] * 20), "en") for i in range(20)]
+    frame = spark.createDataFrame([*clean, *junk], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.keep for r in quality.classify(frame, spark.createDataFrame([(i,) for i in range(120)], "doc_id long")).collect()}
+    assert all(got[i] for i in range(120)) and not any(got[i] for i, *_ in junk)
+
+
 def test_quality(spark, odd, empty):
     rng = random.Random(3)
     clean = [(i, text(rng, "the cat sat on a mat and saw its dog".split(), rng.randint(5, 60)), "en") for i in range(200)]
