@@ -29,6 +29,8 @@ BLOCK = frozenset(
 )
 #: Elements that never hold an article's text, and words in class, id or role that mark such parts.
 NOISE = frozenset("aside button dialog footer form head header input label menu nav optgroup option".split()) | RAW
+HARD_TAGS = RAW | {"button", "head", "input", "optgroup", "option"}
+HARD, BY_TAG, BY_WORD = 1, 2, 3
 MARKS = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs button comment comments complementary contentinfo cookie cookies disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted promotion related replies "
@@ -55,6 +57,8 @@ class Node:
     up: Node | None = None
     parts: list = field(default_factory=list)
     noise: bool = False
+    #: Noise by its kind, by its tag, or by a word in its attributes (or a form): the last two may turn out to hold the text.
+    mark: int = 0
     #: In an article or main element.
     inner: bool = False
     chars: int = 0
@@ -65,15 +69,48 @@ class Node:
     total: float = 0.0
 
 
-def is_noise(tag: str, attributes: str, inner: bool) -> bool:
-    if tag in NOISE:
-        return not (tag == "header" and inner)
-    if tag in ("html", "body", "main", "article") or "=" not in attributes:
-        return False
-    for _, *value in ATTRIBUTE.findall(attributes):
-        if MARKS & set(re.split(r"[^a-z0-9]+", "".join(value).lower())):
-            return True
-    return bool(re.search(r"(?:^|\s)(?:hidden|aria-hidden=[\"']?true)(?:[\s\"'/]|$)|display:\s*none", attributes, re.I))
+def mark(tag: str, attributes: str, inner: bool) -> int:
+    """How an element is marked as noise, one of HARD, BY_TAG and BY_WORD, or 0."""
+    if tag in HARD_TAGS:
+        return HARD
+    if tag != "body" and tag != "html" and re.search(r"(?:^|\s)(?:hidden|aria-hidden=[\"']?true)(?:[\s\"'/]|$)|display:\s*none", attributes, re.I):
+        return HARD if tag not in ("main", "article") else 0
+    if tag in NOISE and not (tag == "header" and inner):
+        return BY_WORD if tag == "form" else BY_TAG
+    # In an article a header holds its title, whether by tag or by class.
+    words = MARKS - {"header"} if inner else MARKS
+    if tag in ("html", "body") or "=" not in attributes:
+        return 0
+    named = any(words & set(re.split(r"[^a-z0-9]+", "".join(value).lower())) for _, *value in ATTRIBUTE.findall(attributes))
+    return BY_WORD if named else 0
+
+
+def settle(root: Node) -> None:
+    """Decides which marked elements are noise, with all that is in them.
+
+    A mark doesn't count on an element that holds the page's longest main or article (one without a mark of its own), or, by word
+    and without such a main or article, most of the page's text; density decides there.
+    """
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        for p in reversed(node.parts):
+            if isinstance(p, Node):
+                p.noise = p.mark == HARD
+                if not p.noise:
+                    stack.append(p)
+    for n in reversed(nodes):
+        n.chars = sum(len("".join(p.split())) if isinstance(p, str) else 0 if p.noise else p.chars for p in n.parts)
+    texts = [n for n in nodes if n.tag in ("main", "article") and not n.mark and n.chars]
+    held, around = max(texts, key=lambda n: (n.tag == "main", n.chars), default=None), set()
+    n = held
+    while n is not None:
+        around.add(id(n))
+        n = n.up
+    for n in nodes:
+        most = held is None and n.mark == BY_WORD and 2 * n.chars > root.chars
+        n.noise = n.up is not None and n.up.noise or bool(n.mark) and n.tag not in ("main", "article") and not (id(n) in around or most)
 
 
 def parse(page: str) -> Node:
@@ -115,7 +152,7 @@ def parse(page: str) -> Node:
             if scan.tag in SCOPE:
                 break
             scan = scan.up
-        child = Node(tag, node, noise=node.noise or is_noise(tag, m[3] or "", node.inner), inner=node.inner or tag in ("article", "main"))
+        child = Node(tag, node, mark=mark(tag, m[3] or "", node.inner), inner=node.inner or tag in ("article", "main"))
         node.parts.append(child)
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
             continue
@@ -125,8 +162,9 @@ def parse(page: str) -> Node:
             continue
         node = child
         opened[tag] += 1
-    if at < len(page) and not node.noise:
+    if at < len(page):
         node.parts.append(html.unescape(page[at:]))
+    settle(root)
     return root
 
 

@@ -65,6 +65,20 @@ def test_density_decides_on_pages_without_links():
     assert all(n.density > 0 for n in nodes if n.chars > 1)
 
 
+def test_marks_on_what_holds_the_text():
+    said = "A sentence of the article that goes on for a while. " * 6
+    article = f"<article><div class='post-header'><h1>Title</h1></div><p>{said}</p><p>{said}</p><div class='share'>Share this</div></article>"
+    want = "\n".join(["Title", said.strip(), said.strip()])
+    for tag in ("<div class='content-sidebar-wrap'>", "<div class='has-sidebar'>", "<div class='page no-header'>", "<form action='/'>"):
+        close = f"</{tag[1:].split()[0]}>"
+        for whole in (article, article.replace("article>", "main>"), article.replace("article>", "div>").replace("post-header", "top")):
+            page = f"<body>{tag}{whole}<div class='sidebar'>Other things</div>{close}<div class='ad'>Buy</div></body>"
+            assert html.main_text(page) == want
+    comments = f"<div id='comments'><article class='comment'><p>{said * 9}</p></article></div><div class='related'><article><p>Teaser</p></article></div>"
+    assert html.main_text(f"<body>{article}{comments}</body>") == want
+    assert html.main_text(f"<body><div hidden>{article}</div><p>{said}</p></body>") == said.strip()
+
+
 def test_pages(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, "extra")] * 2 + [(2, None, None, "extra"), (None, "v", "", "extra")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(frame).collect())
