@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ids per bucket when ranks are built in two levels.
-ID_BUCKET = 1024
 #: Rows of a block at most, whatever their sizes.
 BLOCK_ROWS = 8192
 
@@ -27,46 +25,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one where it is unset."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("gridloom.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables that this process has written and not deleted yet.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and rereads it: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Deletes the tables written by materialize, but for the first `since` and `keep`. Results that still read them must be used up before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [w for w in WRITTEN[since:] if w != keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        WRITTEN.remove(path)
+
+
+def steady(df: DataFrame) -> bool:
+    """Whether df is a projection of one file scan: such a frame gives each task the same rows in the same order each time."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def keyed(docs: DataFrame, key: str = "key") -> DataFrame:
+    """docs with its columns as c0, c1, ... and a number for each row, which stays the same however often the frame is read."""
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    if not steady(renamed):
+        renamed = materialize(renamed, "rows")
+    return renamed.withColumn(key, F.monotonically_increasing_id())
+
+
 def scan_parts(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def id_ranks(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: str = "doc_id") -> DataFrame:
-    """Adds out: the 0-based rank of each row within its keys, ordered by order (which starts with bucket).
+def id_ranks(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds out: the 0-based rank of each row within its keys, by order (nulls last). Equal rows are ranked in any order.
 
-    No window holds more than one bucket of ids of one key: counts per (keys, bucket) are summed up first, and a
-    row's rank is what lies in earlier buckets plus its place in its own. Null ids come last.
+    Rows are dealt by ranges of (keys, order) and sorted there, so neither a hot key nor sparse ids crowd one task; a row's
+    rank is its place in its range plus what earlier ranges have of its keys. That table has at most one row per key and
+    one more per range.
     """
-    cut = F.when(F.col(bucket).isNull(), F.lit(2**62)).otherwise(F.floor(F.col(bucket) / ID_BUCKET)).cast("long")
-    parts = df.withColumn("_cut", cut)
-    inner = W.partitionBy(*keys, "_cut").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    earlier = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-    bases = parts.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n"))
-    bases = bases.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    bases = bases.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_cut"])], "_base")
-    ranked = parts.withColumn("_place", F.row_number().over(inner))
+    by = [F.col(c).asc_nulls_last() for c in [*keys, *order]]
+    dealt = df.repartitionByRange(scan_parts(df.sparkSession), *by).sortWithinPartitions(*by)
+    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    firsts = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base")
+    firsts = firsts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_part"])], base)
     same = F.lit(True)
-    for i, c in enumerate([*keys, "_cut"]):
-        same = same & ranked[c].eqNullSafe(bases[f"_k{i}"])
-    joined = ranked.join(bases, same)
-    return joined.withColumn(out, F.col("_base") + F.col("_place") - 1).select(*df.columns, out)
+    for i, c in enumerate([*keys, "_part"]):
+        same = same & dealt[c].eqNullSafe(firsts[f"_k{i}"])
+    return dealt.join(firsts, same).select(*df.columns, (F.col("_at") + F.col("_base")).alias(out))
 
 
 def weights(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

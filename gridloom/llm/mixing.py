@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_ranks, materialize, require
+from gridloom.llm.common import id_ranks, keyed, materialize, require
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, key: str | None = None) -> DataFrame:
     """Every row of docs(doc_id, text, source) with its size in words, its source's size and target, and its copies.
 
     A source's documents all expect target / source_size copies. They are put in order by size, then id (null last); the
@@ -47,36 +47,40 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     taken once for each whole number that the sum passes in it: never more than `most` (rounded up) times. The order by
     size keeps a source's taken words within about one document of its target. Ties between equal rows are settled in
     any order, with equal results. A null text has size 0, a null source is a source of its own, null ids are kept, an
-    empty table gives no rows. Other columns are dropped.
+    empty table gives no rows. Other columns are dropped, but for `key`, a column that tells rows apart.
     """
     require(docs, "doc_id", "text", "source")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"), *([F.col(key).alias("_key")] if key else []))
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most).withColumnRenamed("source", "_source")
-    first = id_ranks(sized, ["source", "size"], ["doc_id"], "_nth")
-    # Ranks by (size, id) within a source: what is smaller, then the place among equals.
-    counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("_n"))
-    smaller = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_less"))
-    ranked = first.join(counts, first["source"].eqNullSafe(counts["_s"]) & (first["size"] == counts["_z"]))
+    ranked = id_ranks(sized, ["source"], ["size", "doc_id", *(["_key"] if key else [])], "_rank")
     ranked = ranked.join(targets, ranked["source"].eqNullSafe(targets["_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0"))).cast("binary")), 1, 4)
     offset = F.conv(digits, 16, 10).cast("double") / 65536.0
-    rank = (F.col("_less") + F.col("_nth")).cast("double")
+    rank = F.col("_rank").cast("double")
     passed = F.floor((rank + 1.0) * rate + offset) - F.floor(rank * rate + offset)
     copies = F.least(passed, F.floor(F.lit(float(most)))).cast("int")
-    out = ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    named = [F.col("_key").alias(key)] if key else []
+    out = ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *named)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def emit(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as copies(doc_id, copies) says; ids must be unique in copies."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    wanted = copies.select(F.struct(F.col("doc_id").alias("id"), F.col("copies").alias("n")).alias("copy"))
-    joined = rows.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("copy.id"))).filter("copy.n > 0")
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copy.n"))).alias("nth")).select("row.*")
+def emit(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ...), each as often as mix takes it (options are those of mix).
+
+    Rows get numbers of their own, so repeated rows and rows without an id are each taken as often
+    as their own share says. Null texts and texts without words may be taken too, a null source is one of its own, an empty table
+    gives no rows. All columns come back as they were, whatever their names.
+    """
+    require(docs, "doc_id", "text", "source")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = keyed(docs)
+    at = {c: F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "source")}
+    copies = mix(numbered.select(*at.values(), "key"), key="key", **options).filter("copies > 0").select(F.col("key").alias("k"), "copies")
+    taken = numbered.join(copies, F.col("key") == F.col("k")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*names).toDF(*docs.columns)
 
 
 def mix_sql(seed: str = "mix", weights: tuple[int, ...] = WEIGHTS) -> str:

@@ -11,7 +11,6 @@ texts are charged at their rarity there.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +19,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch, blocks, blocks_for, materialize, packed, require, scan_parts, tidy, unpacked
+from gridloom.llm.common import batch, blocks, blocks_for, materialize, packed, require, scan_parts, steady, tidy, unpacked
 
-#: Bits of a symbol; code points from PLAIN on share the symbols above it, and the last symbol stands before a text.
-BITS, PLAIN, PAD = 12, 3072, 4095
+#: Bits of a symbol. Code points from PLAIN on are two symbols, a lead (PLAIN and more) and the low HALF bits, so none share one; PAD stands before a text.
+BITS, PLAIN, HALF, PAD = 12, 3072, 11, 4095
+#: No discount is less, so that every context leaves some mass to the lower order.
+LEAST_DISCOUNT = 0.05
 #: Words back to which repetitions are counted.
 REACH = 2
 ORDER, BLOCK_CHARS, SPAN = 5, 8_000_000, 1 << 20
@@ -33,21 +34,30 @@ SHARD = 4_000_000
 SMALL = 500_000
 
 
+def symbols_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as symbols, and how many each takes."""
+    width = 1 + (points >= PLAIN)
+    out = np.repeat(points, width)
+    lead = np.cumsum(width)[points >= PLAIN] - 2
+    out[lead + 1] &= (1 << HALF) - 1
+    out[lead] = PLAIN + (out[lead] >> HALF)
+    return out, width
+
+
 def codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at each character of texts, as numbers, and each text's length."""
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    gap = chr(PLAIN) * (order - 1)
-    points = np.frombuffer((gap + gap.join(texts)).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    symbols = np.where(points < PLAIN, points, PLAIN + (points * 2654435761 >> 7) % (PAD - PLAIN))
-    starts = np.cumsum(lengths + order - 1) - lengths
-    for k in range(1, order):
-        symbols[starts - k] = PAD
+    """The n-grams that end at each symbol of texts, as numbers, and how many symbols each text has."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    flat, width = symbols_of(points)
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    stops = np.r_[0, np.cumsum(width)][ends]
+    lengths = np.diff(np.r_[0, stops])
+    symbols = np.full(len(flat) + (order - 1) * len(texts), PAD, dtype=np.int64)
+    inside = np.zeros(len(symbols), dtype=bool)
+    inside[np.arange(len(flat)) + np.repeat((order - 1) * (1 + np.arange(len(texts))), lengths)] = True
+    symbols[inside] = flat
     out = symbols.copy()
     for k in range(1, order):
         out[k:] |= symbols[:-k] << (BITS * k)
-    inside = np.ones(len(out), dtype=bool)
-    for k in range(1, order):
-        inside[starts - k] = False
     return out[inside], lengths
 
 
@@ -136,7 +146,7 @@ class Model:
         n1, n2, n3, n4 = table.agg(*[F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]).first()
         y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
         pairs = zip((1, 2, 3), (n1, n2, n3), (n2, n3, n4), strict=True)
-        return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) if a else 0.5 for k, a, b in pairs]
+        return [min(max(k - (k + 1) * y * b / a, LEAST_DISCOUNT), float(k)) if a else 0.5 for k, a, b in pairs]
 
     def discount(self, n: int, c: Column) -> Column:
         d1, d2, d3 = self.discounts[n]
@@ -176,15 +186,23 @@ def by_shard(names: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return [(int(shard[p[0]]), names[p]) for p in np.split(order, cuts) if len(p)]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of one kind with their bytes of equal weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def squeeze(names: np.ndarray) -> bytes:
-    """Ascending numbers, as differences whose bytes of equal weight stand together, compressed."""
-    steps = np.diff(names, prepend=0).astype("<i8")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Ascending numbers, as differences."""
+    return planes(np.diff(names, prepend=0).astype("<i8"))
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+    return np.cumsum(from_planes(data, "<i8"))
 
 
 def names_of(texts: list[str], order: int) -> np.ndarray:
@@ -201,7 +219,7 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
     docs is read twice and must give each task the same rows both times, as files do; anything but a projection of a scan
     is written as a table first, and a difference is an error.
     """
-    if re.search(r"Repartition|Join|Aggregate|Window|Sort|Limit|Sample|Union|MapIn|FlatMap|Generate", docs._jdf.queryExecution().optimizedPlan().toString()):
+    if not steady(docs):
         docs = materialize(docs, "documents")
     spark, order = docs.sparkSession, model.order
     shards = max(scan_parts(spark), blocks_for(docs, "text", block_chars) * 200_000 // SHARD)
@@ -222,8 +240,8 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
         names, p = known.column("code").to_numpy(), known.column("p").to_numpy()
         by_name = np.argsort(names)
-        names, logs = names[by_name], np.log(p[by_name]).astype("<f2")
-        out = [logs[np.searchsorted(names, unsqueeze(x))].tobytes() for x in asked.column("names").to_pylist()]
+        names, logs = names[by_name], np.log(p[by_name]).astype("<f4")
+        out = [planes(logs[np.searchsorted(names, unsqueeze(x))]) for x in asked.column("names").to_pylist()]
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "logs"])
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -231,10 +249,10 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
         texts = [t or "" for t in table.column("text").to_pylist()]
         names = names_of(texts, order)
         logs = dict(zip(told.column("shard").to_pylist(), told.column("logs").to_pylist(), strict=True))
-        parts = [(n, np.frombuffer(logs[s], "<f2")) for s, n in by_shard(names, shards)]
+        parts = [(n, from_planes(logs[s], "<f4")) for s, n in by_shard(names, shards)]
         if any(len(n) != len(v) for n, v in parts) or len(parts) != len(logs):
             raise RuntimeError("the documents came in another order than before")
-        values = np.concatenate([v for _, v in parts]) if parts else np.empty(0, np.float16)
+        values = np.concatenate([v for _, v in parts]) if parts else np.empty(0, np.float32)
         values = values[np.argsort(np.concatenate([n for n, _ in parts]))].astype(np.float64) if parts else values
         out, words, near = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64), np.zeros((len(texts), REACH), np.int64)
         for span in spans(texts):
@@ -259,7 +277,7 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, fields)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 1.12, folds: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = 0.99, slack: float = 1.12, folds: int = 5, block_chars: int = BLOCK_CHARS, key: str | None = None) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for every row of docs(doc_id, text, lang).
 
     trusted(doc_id) names documents to rely on. The model is trained on their whole texts but for one fold in `folds`, by a
@@ -270,20 +288,22 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     exceeds the `quantile` of the fold, the logarithm of the perplexity is raised. A null language is one of its
     own; a language without a trusted text in the fold takes the quantile of all. A null or empty text has no perplexity and
     goes. Without any trusted text in the fold there is no threshold and all other documents stay. Repeated rows get
-    equal results, unknown and repeated trusted ids do no harm, an empty table gives no rows, other columns are ignored.
+    equal results, unknown and repeated trusted ids do no harm, an empty table gives no rows, other columns are ignored, but
+    for `key`, a column of longs that is handed through.
     """
     require(docs, "doc_id", "text", "lang")
     ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
     if ids.count() <= SMALL:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    named = [F.col(key).cast("long").alias("row_key")] if key else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", *named)
     sets_limit = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
     learned = rows.filter(~sets_limit & (F.col("text") != "")).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     model = Model(ngram_counts(learned, order), order)
-    scored = perplexities(rows.select("doc_id", "lang", F.length("text").alias("chars"), "text"), model, block_chars)
+    scored = perplexities(rows.select("doc_id", "lang", F.length("text").alias("chars"), "text", *(["row_key"] if key else [])), model, block_chars)
     role = F.when(F.col("_id").isNull(), 0).when(sets_limit, 2).otherwise(1)
-    named = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
-    scored = materialize(scored.join(named, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
+    known = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
+    scored = materialize(scored.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("role", role).drop("_id"), "perplexities")
     allowed = F.exp(F.lit(1.0) / F.sqrt(F.greatest(F.col("chars"), F.lit(1)).cast("double")))
     rates = scored.filter("role = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", *[f"repeats_{d}" for d in range(1, REACH + 1)])]).first()
     costs = [-math.log((n + 0.5) / (rates[0] + 1)) if rates[0] else 0.0 for n in rates[1:]]
@@ -299,4 +319,4 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce(F.col("own"), F.lit(overall).cast("double")) * slack * allowed
     keep = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))))
-    return joined.select("doc_id", "lang", "perplexity", limit.alias("threshold"), keep.alias("keep"))
+    return joined.select("doc_id", "lang", "perplexity", limit.alias("threshold"), keep.alias("keep"), *([F.col("row_key").alias(key)] if key else []))

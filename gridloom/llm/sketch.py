@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ID_BUCKET, require
+from gridloom.llm.common import materialize, require, scan_parts
 
 #: Hashes have so many bits; one in SCALE of all possible values is retained.
 BITS, SCALE, WORDS = 40, 8, 5
-#: Rows of 16 bytes that may be broadcast.
-SMALL = 200_000
 
 
 def let(value: Column, then) -> Column:
@@ -57,26 +55,36 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v)), BITS // 4, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text: str, columns: list[str]) -> DataFrame:
     """Adds next_<c> for each of columns: its value in the row with the next id (after the last: the first).
 
-    Rows meet in buckets of ID_BUCKET ids. The first row of each bucket is also dealt to the bucket before it, which the
-    small table of buckets tells; ties go by the first of columns. Rows without an id come last, in one bucket.
+    Rows go by id (null last), then by a hash of the text, then the text. First ids and hashes alone are dealt by range; the least
+    of each range (one number and one hash per range, not per document) are the bounds of the buckets in which
+    whole rows meet. A row on a bound is also dealt to the bucket before it. So texts are shuffled once, and neither sparse ids
+    nor a repeated or missing id crowd a bucket; only rows with equal ids and texts stay together.
     """
-    cut = F.when(F.col(id_col).isNull(), F.lit(2**62)).otherwise(F.floor(F.col(id_col) / ID_BUCKET)).cast("long")
-    firsts = docs.select(id_col, cut.alias("_cut")).groupBy("_cut").agg(F.min(id_col).alias("_first"))
-    order = W.orderBy("_cut")
-    before = F.coalesce(F.lag("_cut").over(order), F.max("_cut").over(W.partitionBy()))
-    firsts = firsts.select("_first", before.alias("_before"))
-    if firsts.count() <= SMALL:
-        firsts = F.broadcast(firsts)
-    marked = docs.withColumn("_cut", cut).join(firsts, docs[id_col].eqNullSafe(F.col("_first")), "left")
+    spark = docs.sparkSession
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(id_col, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"))
+    slim = docs.select(place.alias("p")).select("p.*")
+    ranged = materialize(slim.repartitionByRange(scan_parts(spark), "none", "id", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    found = ranged.groupBy("part").agg(F.min(F.struct("none", "id", "h")).alias("p")).select("p.*").sort("none", "id", "h").collect()
+    if not found:
+        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    bounds = [F.struct(F.lit(r["none"]).alias("none"), F.lit(r["id"]).cast("long").alias("id"), F.lit(r["h"]).cast("long").alias("h")) for r in found]
+    # Two steps, so that the comparisons per row grow with the square root of the number of buckets.
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = F.array(*[F.array(*bounds[i : i + step]) for i in range(0, len(bounds), step)])
+    passed = lambda list_, p: F.size(F.filter(list_, lambda b: b <= p))
+    rows = docs.withColumn("_p", place)
+    rows = rows.withColumn("_group", F.greatest(passed(F.array(*bounds[::step]), F.col("_p")) - 1, F.lit(0)))
+    rows = rows.withColumn("_cut", F.col("_group") * step + F.greatest(passed(F.get(groups, F.col("_group")), F.col("_p")) - 1, F.lit(0)))
+    first = F.get(F.array(*bounds), F.col("_cut")) == F.col("_p")
     own = F.struct(F.col("_cut").alias("cut"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("_before").alias("cut"), F.lit(1).alias("guest"))
-    dealt = marked.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    window = W.partitionBy("_at.cut").orderBy("_at.guest", F.col(id_col).asc_nulls_last(), F.col(columns[0]))
+    guest = F.struct(F.pmod(F.col("_cut") - 1, F.lit(len(bounds))).alias("cut"), F.lit(1).alias("guest"))
+    dealt = rows.withColumn("_at", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
+    window = W.partitionBy("_at.cut").orderBy("_at.guest", "_p", F.col(text))
     led = dealt.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return led.filter("_at.guest = 0").drop("_cut", "_at", "_first", "_before")
+    return led.filter("_at.guest = 0").drop("_cut", "_at", "_p", "_group")
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -84,13 +92,13 @@ def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
 
     The edited form has the last quarter of the code points replaced by the first as many (or all) of the next document's
     text, by id. A null text counts as empty. Equal texts have equal fingerprints; repeated rows and repeated ids are rows
-    of their own; null ids come last; a lone document follows itself; an empty table gives no rows; other columns are
+    of their own; null ids come last, by a hash of their texts; a lone document follows itself; an empty table gives no rows; other columns are
     ignored. Beside Jaccard likeness the containments of the text in the edited and the next one are given.
     """
     require(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("s", sketch(F.col("t"), words, scale))
-    rows = with_next(rows, "doc_id", ["t", "s"]).withColumn("n_chars", F.length("t").cast("long"))
+    rows = with_next(rows, "doc_id", "t", ["t", "s"]).withColumn("n_chars", F.length("t").cast("long"))
     moved = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), F.col("n_chars").cast("int") - moved), F.substring("next_t", F.lit(1), moved))
     rows = rows.withColumn("edited", edited).withColumn("e", sketch(F.col("edited"), words, scale))

@@ -289,25 +289,40 @@ def sort_shard(rows: pa.Table, width: int) -> pa.Table:
     return to_table(MAIL_SCHEMA, out)
 
 
-def cut(data: bytes, starts: np.ndarray, bits: np.ndarray, width: int) -> tuple[bytes, int, int]:
-    """The bytes that no repeated string covers, the number removed and the number of runs removed."""
+def cut(data: bytes, starts: np.ndarray, bits: np.ndarray, width: int, joiner: bytes | None = None) -> tuple[bytes, int, int]:
+    """What stays, and the number of bytes and of runs that repeated strings cover.
+
+    With a joiner, a character stays unless all its bytes are covered, and what a run parted is joined with it where no
+    white space does it.
+    """
     edge = np.zeros(len(data) + 1, np.int64)
     which, shift = np.nonzero((bits[:, None] >> np.arange(32, dtype=np.uint32)) & 1)
     at = np.unique(starts[which] + shift)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + width, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    return kept, int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
-
-
-def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    removed, runs_ = int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
+    raw = np.frombuffer(data, np.uint8)
+    if joiner is None:
+        return raw[~gone].tobytes(), removed, runs_
+    heads = np.flatnonzero((raw & 0xC0) != 0x80)
+    whole = np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.r_[heads, len(raw)]))
+    stops = np.flatnonzero(np.diff(np.r_[True, whole, True].astype(np.int8)))
+    parts = [data[i:j] for i, j in zip(stops[::2].tolist(), stops[1::2].tolist(), strict=True)]
+    out = parts[:1]
+    for p in parts[1:]:
+        out.append(p if out[-1][-1:].isspace() or p[:1].isspace() else joiner + p)
+    return b"".join(out), removed, runs_
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS, joiner: str | None = None) -> DataFrame:
     """The rows of docs(doc_id, text, ...) with n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
     A byte of a text's UTF-8 goes if it lies in a string of `width` bytes (32 bits of starts allow GRAM < width < 52) that
     also starts in a text of a smaller doc_id, judged on the input. A null text counts as empty, a null id as larger than
     all others; rows of equal ids don't remove each other's bytes. Repeated rows with different ids are copies: all
     but the first lose everything. An empty table gives no rows. Other columns are kept, but for those named as the four.
+    With a joiner, kept holds whole characters, and it stands between what a removed run parted unless white space does.
     """
     require(docs, "doc_id", "text")
     if not GRAM < width <= GRAM + 31:
@@ -368,7 +383,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
             if not own[i]:
                 rest = (b"", len(data), 1)
             elif i in gone:
-                rest = cut(data, *gone[i], width)
+                rest = cut(data, *gone[i], width, joiner and joiner.encode())
             sizes.append(len(data))
             kept.append(rest[0])
             removed.append(rest[1])

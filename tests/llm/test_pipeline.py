@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
-from test_documents import plain_classes, plain_cut, plain_model, text
+from test_documents import plain_classes, plain_gone, plain_joined, plain_model, text
 
 
 def documents():
@@ -52,8 +52,9 @@ def plain_pipeline(rows, trusted):
     kept = {i: rows[i][1] for i, s in score.items() if s <= limit * math.exp(1 / math.sqrt(len(rows[i][1])))}
     classes = plain_classes(kept, 5, 80)
     kept = {i: t for i, t in kept.items() if classes[i][1] == i}
-    cut = plain_cut(kept, 50)
-    kept = {i: c[3].decode() for i, c in cut.items() if not c[0] or c[1] < c[0]}
+    cut = plain_gone(kept, 50)
+    kept = {i: plain_joined(kept[i], gone) for i, (data, gone) in cut.items() if not all(gone)}
+    kept = {i: t for i, t in kept.items() if t.strip() or not any(cut[i][1])}
     size = {i: len(t.split()) for i, t in kept.items()}
     by = defaultdict(list)
     for i in kept:
@@ -116,3 +117,34 @@ def test_stages_on_empty_tables(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == empty.columns and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Repeated rows, repeated and missing ids, other scripts, a very long text and columns that operators use inside."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aêіящλ日本語") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    shared = text(rng, words, 25)
+    long = text(rng, words, 30_000)
+    a, b = text(rng, words, 60), text(rng, words, 60)
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, b), (3, long), (4, text(rng, words, 20) + shared + text(rng, words, 20)), (5, text(rng, words, 20) + "x" + shared + "y" + text(rng, words, 20)), (6, None), (None, ""), (7, "y " + a[1:])]
+    names = "doc_id long, text string, lang string, source string, n_chars int, kept string, key string, n_removed long, block int, c0 string, size int, copies string, component_id long"
+    frame = spark.createDataFrame([(i, t, "xx", None, len(t or ""), f"KEEP{k}", "k", 7, 8, "c", 9, "n", 10) for k, (i, t) in enumerate(rows)], names)
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    tags = lambda df: sorted(int(r.kept[4:]) for r in df.collect())
+    judged = stages["quality classifier"](spark, frame, str(tmp_path))
+    assert judged.schema == frame.schema and not {8, 9} & set(tags(judged)) and {0, 1, 4, 5} <= set(tags(judged))
+    single = stages["n-gram Jaccard join"](spark, frame, str(tmp_path))
+    assert single.schema == frame.schema and tags(single) in ([0, 4, 5, 6, 7, 8, 9], [1, 4, 5, 6, 7, 8, 9])
+    cut = stages["suffix-array dedup"](spark, frame, str(tmp_path))
+    assert cut.schema == frame.schema
+    got = {int(r.kept[4:]): r for r in cut.collect()}
+    assert {0, 1, 4, 5, 6, 7, 8, 9} <= set(got) and not {2, 3} & set(got) and (got[8].text, got[9].text) == (None, "")
+    assert all("\ufffd" not in (r.text or "") and r.n_chars == len(r.text or "") and (r.key, r.n_removed, r.c0) == ("k", 7, "c") for r in got.values())
+    assert "x y" in got[7].text and shared in got[6].text
+    mixed = stages["mixing sources"](spark, frame, str(tmp_path))
+    assert mixed.schema == frame.schema
+    taken, size = Counter(tags(mixed)), [len((t or "").split()) for _, t in rows]
+    assert max(taken.values()) <= 2 and abs(sum(size[k] * n for k, n in taken.items()) - 1.5 * sum(size)) <= max(size)
+    packed = stages["best-fit packing"](spark, frame, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
