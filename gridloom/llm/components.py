@@ -11,7 +11,8 @@ from gridloom.llm.common import materialize
 def _hook(edges: DataFrame, keep_smaller: bool) -> DataFrame:
     """One star operation on edges(a, b): links each neighbour that qualifies to the smallest of its star.
 
-    The minimum is summed up before the shuffle and joined back, so a hub's neighbours are never gathered.
+    The minimum is summed up before the shuffle and joined back. That join deals a hub's links by the hub, row by row; the adaptive
+    skew join splits such a partition where it grows large.
     """
     both = edges if keep_smaller else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).withColumn("m", F.least("m", "u"))

@@ -2,14 +2,17 @@
 
 First, a document can only have a link if 85 % of its shingles occur in other documents too, so shingles are counted, in
 packed form, by shards of their hashes; what falls short is set aside. Equal sets become one representative. Among those
-left, shingles are put in one global order, rare ones first; linked sets share a shingle among their first few, which
-yields candidate groups. Each group, cut into blocks if it is large, is joined with a trie of its ordered sets: a probe
+left, shingles are put in one global order, rare ones first; linked sets share a shingle among their first few and lie in the same
+or in neighbouring bands of length. So sets meet by leading shingle and band, around the most central of them (the hub): the hub goes to
+every cell of its star, all others to one. A cell is joined with a trie of its ordered sets: a probe
 descends it once, sets with a common beginning share the overlap counted so far, and a subtree is left as soon as what
-remains of the probe or of its sets can't reach the threshold, or all its sets are connected to the probe already.
+remains of the probe or of its sets can't reach the threshold, or all its sets are connected to the probe already. Only where
+a star takes several cells and these leave it in more than one component, the sets outside its largest component are joined with all others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import batch, blocks_for, materialize, packed, require, scan_parts, tidy, unpacked
 from gridloom.llm.components import components
 
-#: Characters of a block, shingles of a shard, sets of a block of a candidate group.
-BLOCK_CHARS, SHARD_SHINGLES, GROUP = 4_000_000, 3_000_000, 256
+#: Characters of a block, shingles of a shard, shingles of one side of a cell.
+BLOCK_CHARS, SHARD_SHINGLES, CELL = 4_000_000, 3_000_000, 1 << 18
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 MAIL = "block long, kind int, x binary, y binary"
 MAIL_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
@@ -229,9 +232,8 @@ class Trie:
                 at = stop
         return order[0]
 
-    def links(self, percent: int) -> list[tuple[int, int]]:
-        """Links that connect the sets as all links do."""
-        label = np.arange(len(self.sets))
+    def links(self, percent: int, label: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect the sets as all links do, given labels of sets that are connected already."""
         found: list[tuple[int, int]] = []
         member = np.zeros(1 + max((int(s.max()) for s in self.sets if len(s)), default=0), dtype=bool)
         for x, mine in enumerate(self.sets):
@@ -258,7 +260,7 @@ class Trie:
         return found
 
 
-def join_cell(rids: np.ndarray, sizes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+def join_cell(rids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """sets: (counts, hashes) of each; the common order has frequent shingles first, where near copies agree."""
     hashes = np.concatenate([s[1] for s in sets])
     counts = np.concatenate([s[0] for s in sets])
@@ -269,29 +271,30 @@ def join_cell(rids: np.ndarray, sizes: np.ndarray, sets: list[tuple[np.ndarray,
     local = [np.sort(p) for p in np.split(place[inverse], cuts)]
     order = sorted(range(len(local)), key=lambda i: local[i].astype(">u4").tobytes())
     trie = Trie([local[i] for i in order], sizes[order])
-    return [(int(rids[order[a]]), int(rids[order[b]])) for a, b in trie.links(percent)]
+    return [(int(rids[order[a]]), int(rids[order[b]])) for a, b in trie.links(percent, np.unique(labels, return_inverse=True)[1][order])]
 
 
 def links_of(cells: DataFrame, percent: int) -> DataFrame:
-    """Joins every cell of cells(comp, i, j, rid, n, counts, hashes); rows of a cell stand together."""
+    """Joins every cell of cells(hub, i, j, rid, label, n, counts, hashes); rows of a cell stand together."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> pa.RecordBatch:
-            found = join_cell(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], percent) if len(held) > 1 else []
+            rid, label, n = (np.array([h[k] for h in held]) for k in range(3))
+            found = join_cell(rid, n, label, [h[3] for h in held], percent) if len(held) > 1 else []
             return batch(schema, a=[f[0] for f in found], b=[f[1] for f in found])
 
         for rows in batches:
-            comp, i, j, rid, n = (rows.column(c).to_pylist() for c in range(5))
-            counts, hashes = rows.column(5), rows.column(6)
+            hub, i, j, rid, label, n = (rows.column(c).to_pylist() for c in range(6))
+            counts, hashes = rows.column(6), rows.column(7)
             for r in range(rows.num_rows):
-                if (comp[r], i[r], j[r]) != key:
+                if (hub[r], i[r], j[r]) != key:
                     if held:
                         yield done()
-                    key, held = (comp[r], i[r], j[r]), []
-                held.append((rid[r], n[r], (counts[r].values.to_numpy(), hashes[r].values.to_numpy())))
+                    key, held = (hub[r], i[r], j[r]), []
+                held.append((rid[r], label[r], n[r], (counts[r].values.to_numpy(), hashes[r].values.to_numpy())))
         if held:
             yield done()
 
@@ -303,7 +306,55 @@ def prefix(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100) + 1
 
 
-def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, block_chars: int = BLOCK_CHARS, shard_size: int = SHARD_SHINGLES, group: int = GROUP) -> DataFrame:
+def band(n: Column, percent: int) -> Column:
+    """Linked sets lie in the same or in neighbouring bands; a band is a little wider than the threshold asks, whatever the rounding."""
+    return F.floor(F.log(n.cast("double")) / max(1.001 * math.log(100 / percent), 1e-3)).cast("int")
+
+
+def stars(ordered: DataFrame, percent: int) -> DataFrame:
+    """hub, rid: every set with each hub that it meets, from ordered(rid, n, counts, hashes).
+
+    Sets that can link share a leading shingle and one of two bands, so they meet the same hub: of all sets there the one whose
+    shingles occur most often, as the text does that near copies were made from.
+    """
+    # Shingles that only one set has come first in the order and are left out; the rest of the prefix is what can be shared.
+    lead = (prefix(F.col("n"), percent) - (F.col("n") - F.size("hashes"))).cast("int")
+    central = F.aggregate("counts", F.lit(0.0), lambda x, y: x + y) / F.col("n")
+    sets = ordered.filter(lead > 0).select("rid", F.struct(central.alias("c"), F.col("rid").alias("r")).alias("most"), band(F.col("n"), percent).alias("band"), F.slice("hashes", F.lit(1), lead).alias("lead"))
+    leading = sets.select("rid", "most", F.explode("lead").alias("h"), "band").withColumn("b", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    hubs = leading.groupBy("h", "b").agg(F.max("most")["r"].alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return leading.select("rid", "h", "b").join(hubs, ["h", "b"]).filter("rid <> hub").select("hub", "rid").distinct()
+
+
+def star_cells(star: DataFrame, weights: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """hub, i, j, rid: each set in one cell of each of its stars, the hub in all of them; and hub, parts: the cells of each star."""
+    sized = star.join(weights, "rid").groupBy("hub").agg(F.ceil(F.sum("w") / cell).cast("int").alias("parts"))
+    placed = star.join(sized, "hub").select("hub", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("i"), F.lit(0).alias("j"), "rid")
+    centre = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.col("hub").alias("rid"))
+    return placed.unionByName(centre), sized
+
+
+def cross_cells(star: DataFrame, labels: DataFrame, weights: DataFrame, cell: int) -> DataFrame:
+    """hub, i, j, rid, label: what is left to join in stars whose cells left them in several components.
+
+    star: hub, rid of such stars, hubs included; labels(rid, label), weights(rid, w, band). Sets are put into blocks by star, by whether
+    they are in its largest component, and by band; two blocks meet if their bands are neighbours and one of them lies outside
+    the largest component.
+    """
+    named = star.join(labels, "rid").join(weights, "rid")
+    per = named.groupBy("hub", "label").agg(F.sum("w").alias("w"))
+    most = per.groupBy("hub").agg(F.max(F.struct("w", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    roles = named.join(most.select("hub", "top"), "hub").select("hub", "rid", "label", "w", "band", (F.col("label") == F.col("top")).alias("inside"))
+    blocks = roles.groupBy("hub", "inside", "band").agg(F.ceil(F.sum("w") / cell).cast("int").alias("parts"))
+    member = roles.join(blocks, ["hub", "inside", "band"]).select("hub", "rid", "label", F.struct("inside", "band", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")).alias("at"))
+    each = blocks.select("hub", "inside", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("hub", F.struct("inside", "band", "part").alias("at"))
+    a, b = each.select(F.col("hub").alias("h1"), F.col("at").alias("x")), each.select(F.col("hub").alias("h2"), F.col("at").alias("y"))
+    meet = (F.col("h1") == F.col("h2")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & ~(F.col("x.inside") & F.col("y.inside")) & (F.col("x") <= F.col("y"))
+    pairs = a.join(b, meet).select(F.col("h1").alias("hub"), F.xxhash64("x").alias("i"), F.xxhash64("y").alias("j"), F.explode(F.array_distinct(F.array("x", "y"))).alias("at"))
+    return pairs.join(member, ["hub", "at"]).select("hub", "i", "j", "rid", "label")
+
+
+def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, block_chars: int = BLOCK_CHARS, shard_size: int = SHARD_SHINGLES, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a set is a text's distinct shingles of `width`
@@ -343,20 +394,25 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, block
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     ordered = each.join(often, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("e"))
     ordered = materialize(ordered.join(live.select("rid", "n"), "rid").select("rid", "n", F.col("e.c").alias("counts"), F.col("e.h").alias("hashes")), "ordered")
-    # Shingles that only one set has come first in the order and are left out; the rest of the prefix is what can be shared.
-    lead = (prefix(F.col("n"), percent) - (F.col("n") - F.size("hashes"))).cast("int")
-    leading = ordered.filter(lead > 0).select("rid", F.explode(F.slice("hashes", F.lit(1), lead)).alias("h"))
-    hubs = leading.groupBy("h").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    star = leading.join(hubs, "h").filter("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(star)
-    sized = groups.groupBy("label").agg(F.count(F.lit(1)).alias("c")).select(F.col("label").alias("comp"), F.ceil(F.col("c") / group).cast("int").alias("parts"))
-    members = groups.join(sized, groups["label"] == sized["comp"]).select(F.col("node").alias("rid"), "comp", "parts")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = members.select("rid", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cells = cells.join(ordered, "rid").select("comp", "i", "j", "rid", "n", "counts", "hashes")
-    dealt = cells.repartition(least, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rid")
-    linked = components(links_of(dealt, percent))
+    weights = ordered.select("rid", (F.size("hashes") + 16).alias("w"), band(F.col("n"), percent).alias("band"))
+    star = materialize(stars(ordered, percent), "stars")
+    cells, sized = star_cells(star, weights, cell)
+    fields = ("hub", "i", "j", "rid", "label", "n", "counts", "hashes")
+
+    def joined(cells: DataFrame) -> DataFrame:
+        dealt = cells.join(ordered, "rid").select(*fields).repartition(least, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rid")
+        return materialize(links_of(dealt, percent), "found")
+
+    links = joined(cells.withColumn("label", F.col("rid")))
+    linked = components(links)
+    wide = materialize(sized.filter("parts > 1"), "wide")
+    if wide.take(1):
+        spread = star.join(wide.select("hub"), "hub").unionByName(wide.select("hub", F.col("hub").alias("rid")))
+        ends = spread.select("rid").distinct()
+        labels = ends.join(linked, F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("label", F.col("rid")).alias("label"))
+        more = joined(cross_cells(spread, labels, weights, cell))
+        if more.take(1):
+            linked = components(links.union(more))
     named = sets.select("rid", "rep", "k1", "k2").join(linked, sets["rid"] == linked["node"], "left")
     named = named.select("rep", "k1", "k2", F.coalesce("label", F.col("rid")).alias("label"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import components, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens
@@ -219,9 +220,9 @@ def plain_classes(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "percent", "group"), [(4, 85, 256), (5, 80, 3)])
-def test_similarity_classes(docs, width, percent, group):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs, width, percent, 4000, 500, group).collect()}
+@pytest.mark.parametrize(("width", "percent", "cell"), [(4, 85, 1 << 18), (5, 80, 300)])
+def test_similarity_classes(docs, width, percent, cell):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs, width, percent, 4000, 500, cell).collect()}
     assert got == plain_classes({r[0]: r[1] for r in rows()}, width, percent)
 
 
@@ -234,10 +235,32 @@ def test_similarity_classes_of_a_large_group(spark):
         words[rng.randrange(60)] = f"v{i}"
         data.append((1000 - i, " ".join(words)))
     frame = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(frame, 4, 85, 3000, 500, 16).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(frame, 4, 85, 3000, 500, 800).collect()}
     assert got == plain_classes(dict(data), 4, 85)
 
 
+def test_rows_dealt_grow_with_a_group(spark):
+    """Near copies of one text: what goes to cells is in proportion to their number, and the cells leave one component."""
+    rng = random.Random(3)
+    base, dealt = [rng.getrandbits(40) for _ in range(120)], []
+    for n in (500, 1000, 2000):
+        data = []
+        for i in range(n):
+            hashes = set(base) - set(rng.sample(base, 5)) | {rng.getrandbits(40) for _ in range(5 if i else 0)}
+            data.append((i, len(hashes), sorted((n if h in base else 2, h) for h in hashes)))
+        ordered = spark.createDataFrame([(i, m, [c for c, _ in e], [h for _, h in e]) for i, m, e in data], "rid long, n long, counts array<long>, hashes array<long>").cache()
+        weights = ordered.select("rid", (F.size("hashes") + 16).alias("w"), jaccard.band(F.col("n"), 85).alias("band"))
+        star = jaccard.stars(ordered, 85).cache()
+        cells, sized = jaccard.star_cells(star, weights, 10_000)
+        assert sized.filter("parts > 1").count() > 0
+        sets = cells.withColumn("label", F.col("rid")).join(ordered, "rid").select("hub", "i", "j", "rid", "label", "n", "counts", "hashes")
+        links = jaccard.links_of(sets.repartition(4, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rid"), 85)
+        labels = components.components(links).select(F.col("node").alias("rid"), "label")
+        spread = star.unionByName(sized.select("hub", F.col("hub").alias("rid")))
+        dealt.append(cells.count() + jaccard.cross_cells(spread, labels, weights, 10_000).count())
+    assert dealt[2] <= 2.3 * dealt[1] <= 5.3 * dealt[0] and dealt[0] < 3 * 500
+
+
 def test_similarity_classes_of_odd_tables(odd, empty):
     assert jaccard.similarity_classes(empty).count() == 0
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_classes(odd).collect())
