@@ -2,15 +2,18 @@
 
 Only the lengths of pieces matter for packing, and there are at most `capacity` of them. So the plan is made from the
 histogram of all lengths (a table of bounded size), as patterns that are each used so many times; every piece then finds
-its place by its rank within its length. The plan is exact over the whole corpus and its cost doesn't grow with it.
+its place by its rank within its length. The search covers the whole corpus at a cost that doesn't grow with it. It is a complete
+branch and bound; a budget of steps may end it before it has proved its plan, which it tells.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
-from array import array
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +21,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import batch, id_ranks, materialize, require
-from gridloom.llm.tokens import Paths, byte_level, emitter, splitter
+from gridloom.llm.tokens import encode_spans
 
+log = logging.getLogger(__name__)
+#: Fillings that a node takes, and the price of a piece in units of waste, in each pass of the search.
+PASSES = ((2, 16), (2, 8), (2, 1), (2, 0), (6, 4), (24, 1), (None, 0))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str) -> Paths:
-    emit = emitter(path)
-    return Paths(lambda unit: array("I", emit(unit)).tobytes(), byte_level(path))
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece: a document's ids and the end id, cut from the right, so that only its first piece is shorter."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, split = encoding(tokenizer), splitter(tokenizer)
         for rows in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                ids = b"".join(map(paths.__getitem__, split(text.as_py() or ""))) + end
-                n = len(ids) // 4
-                stops = [*range(n % capacity or capacity, n, capacity), n]
-                for k, (start, stop) in enumerate(zip([0, *stops], stops)):  # noqa: B905
-                    out.append((doc_id, k, start, stop - start, zlib.crc32(memoryview(ids)[4 * start : 4 * stop])))
+            names, texts, out = rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()], []
+            for first, counts, flat in encode_spans(texts, tokenizer, True):
+                data, at = flat.astype("<u4").tobytes(), 0
+                for k, n in enumerate(counts.tolist(), first):
+                    ids = memoryview(data[4 * at : 4 * (at + n)] + end)
+                    at += n
+                    stops = [*range((n + 1) % capacity or capacity, n + 1, capacity), n + 1]
+                    for piece, (start, stop) in enumerate(zip([0, *stops], stops)):  # noqa: B905
+                        out.append((names[k], piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
             yield batch(schema, **dict(zip(schema.names, zip(*out) if out else [()] * 5, strict=True)))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
@@ -102,95 +103,136 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def fillings(counts: dict[int, int], capacity: int, waste: int, most: int) -> list[list[int]]:
-    """Undominated fillings around the largest length that waste no more than allowed, the fullest first.
+@dataclass
+class Budget:
+    left: int
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
 
-    A filling that leaves room for some remaining length is dominated by the fuller one, as is one where a single length
-    can stand in for a larger one that fits; an exact partner dominates everything.
+def fillings(counts: dict[int, int], capacity: int, most_waste: int, price: int, budget: Budget) -> Iterator[tuple[list[int], int]]:
+    """All undominated fillings around the largest length that waste no more than allowed, with their waste.
+
+    They come in the order of their waste plus `price` times their pieces, as many pieces use up the small lengths that later bins
+    need, and those of larger lengths before others. Sets of the sums that p pieces make guide the enumeration. A filling is
+    dominated, and left out, if it leaves room for a length that is left, or if such a length can stand in for one or two
+    smaller or equally large in sum that it holds.
     """
     top = max(counts)
     room = capacity - top
-    if counts.get(room, 0) > (room == top):
-        return [[top, room]]
-    if not room:
-        return [[top]]
-    sizes = np.array(sorted(s for s in counts if s <= room), dtype=np.int64)
-    if not len(sizes):
-        return [[top]] if room <= waste else []
-    found: list[tuple[int, list[int]]] = []
-    have = np.array([counts[int(s)] for s in sizes])
-    have[sizes == top] -= 1
-    sizes = sizes[have > 0]
-    have = have[have > 0]
-    if not len(sizes):
-        return [[top]] if room <= waste else []
-
-    def fits(left: int, limit: int, chosen: list[int]) -> None:
-        if len(found) >= most:
-            return
-        k = int(np.searchsorted(sizes, min(left, limit), "right"))
-        taken = {s: chosen.count(s) for s in chosen}
-        usable = [int(sizes[i]) for i in range(max(0, k - 24), k) if have[i] > taken.get(int(sizes[i]), 0)]
-        smallest = next((int(s) for i, s in enumerate(sizes[:8]) if have[i] > taken.get(int(s), 0)), None)
-        if smallest is None or smallest > left:
-            if left <= waste:
-                found.append((left, [top, *chosen]))
-            return
-        for s in reversed(usable):
-            rest = left - s
-            j = int(np.searchsorted(sizes, rest))
-            exact = j < len(sizes) and sizes[j] == rest and have[j] > taken.get(rest, 0) + (rest == s)
-            if exact or not rest:
-                found.append((0, [top, *chosen, s, *([rest] if rest else [])]))
-                return
-        for s in reversed(usable):
-            fits(left - s, s, [*chosen, s])
-            if len(found) >= most or (found and not found[-1][0]):
-                return
-
-    fits(room, room, [])
-    return [f for _, f in sorted(found, key=lambda x: (x[0], len(x[1])))]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 6) -> Plan:
-    """Branch and bound over fillings around the largest length, each used as often as the counts allow.
-
-    A node is cut when its bins, and the lower bound of what is left, reach the incumbent; the search stops at the lower
-    bound or after so many nodes. The incumbent starts as the best-fit plan.
+    left = {s: n - (s == top) for s, n in counts.items() if s <= room and n > (s == top)}
+    sizes, mask = sorted(left), (1 << room + 1) - 1
+    sums = [1]
+
+    def made(p: int, total: int) -> int:
+        """Whether p pieces, if every length were there often enough, make a total."""
+        while len(sums) <= p:
+            bits = 0
+            for s in sizes:
+                bits |= sums[-1] << s & mask
+            sums.append(bits)
+        return sums[p] >> total & 1
+
+    most_waste = min(most_waste, room)
+    if sizes and left[sizes[0]] > room // sizes[0]:
+        most_waste = min(most_waste, sizes[0] - 1)
+    most_pieces = room // sizes[0] if sizes else 0
+    for cost in range(most_waste + price * most_pieces + 1):
+        for pieces in range(min(most_pieces, cost // price if price else most_pieces) + 1):
+            waste = cost - price * pieces
+            if waste > most_waste or not made(pieces, room - waste):
+                continue
+            stack: list[tuple[int, int, tuple[int, ...]]] = [(pieces, room - waste, ())]
+            while stack:
+                p, rest, chosen = stack.pop()
+                if not budget.spend():
+                    return
+                if not p:
+                    if not dominated(chosen, left, sizes, waste):
+                        yield [top, *chosen], waste
+                    continue
+                low, high = bisect_left(sizes, -(-rest // p)), bisect_right(sizes, min(rest, chosen[-1] if chosen else rest))
+                stack.extend((p - 1, rest - s, (*chosen, s)) for s in sizes[low:high] if made(p - 1, rest - s) and left[s] > chosen.count(s))
+
+
+def dominated(chosen: tuple[int, ...], left: dict[int, int], sizes: list[int], waste: int) -> bool:
+    used = Counter(chosen)
+    free = lambda low, high: any(left[s] > used[s] for s in sizes[bisect_left(sizes, low) : bisect_right(sizes, high)])
+    if free(1, waste) or any(free(s + 1, s + waste) for s in used):
+        return True
+    pairs = {a + b for i, a in enumerate(used) for b in list(used)[i + 1 :]} | {2 * s for s, n in used.items() if n > 1}
+    return any(free(p, p + waste) for p in pairs)
+
+
+@dataclass
+class Packed:
+    """A plan, its sequences, the bound that no packing goes below, and whether none has fewer."""
+
+    plan: Plan
+    bins: int
+    bound: int
+    proven: bool
+
+
+def bin_completion(counts: dict[int, int], capacity: int, budget: int = 200_000) -> Packed:
+    """Branch and bound over fillings around the largest length.
+
+    A filling is used as often as the counts allow or, as a branch of its own, once, so every packing by undominated
+    fillings is reached. A node is cut when its bins and its waste leave no better packing than the incumbent, which
+    starts as the best-fit plan. The search broadens: each pass may take more fillings per node than the one before, the last one all
+    of them. It stops at the lower bound, when a pass has left nothing out, or after `budget` steps, of the
+    search or within a filling, of which each pass has an equal share.
     """
     counts = {s: n for s, n in counts.items() if n}
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     fewest = sum(n for _, n in best)
-    area = sum(s * n for s, n in counts.items())
-    path: Plan = []
-    stack: list[tuple[int, dict[int, int], int, tuple[Pattern, int] | None]] = [(0, counts, 0, None)]
-    visited = 0
-    while stack and fewest > bound and visited < nodes:
-        depth, left, bins, step = stack.pop()
-        del path[max(depth - 1, 0) :]
-        if step:
-            path.append(step)
-        visited += 1
-        if not left:
-            if bins < fewest:
-                best, fewest = list(path), bins
-            continue
-        rest = sum(s * n for s, n in left.items())
-        if bins + -(-rest // capacity) >= fewest:
-            continue
-        wasted = bins * capacity - (area - rest)
-        allowed = (fewest - 1) * capacity - area - wasted
-        options = fillings(left, capacity, allowed, width) or [[max(left)]]
-        for fill in reversed(options):
-            pattern, times = uses(fill, left)
-            lost = capacity - sum(fill)
-            if lost:
-                times = max(1, min(times, allowed // lost))
-                if lost > allowed:
-                    continue
-            stack.append((depth + 1, take(left, pattern, times), bins + times, (pattern, times)))
-    return best
+    cut = False
+
+    def children(left: dict[int, int], bins: int, spare: int, width: int | None, price: int, steps: Budget) -> Iterator[tuple[dict[int, int], int, tuple[Pattern, int]]]:
+        nonlocal cut
+        for often in (True, False):
+            for k, (fill, waste) in enumerate(fillings(left, capacity, spare, price, steps)):
+                if k == width:
+                    cut = True
+                    break
+                pattern, most = uses(fill, left)
+                if waste:
+                    most = min(most, spare // waste)
+                if often or most > 1:
+                    times = most if often else 1
+                    yield take(left, pattern, times), bins + times, (pattern, times)
+
+    def spare_of(left: dict[int, int], bins: int) -> int:
+        """What may still be wasted by a packing of fewer bins than the incumbent."""
+        return (fewest - 1 - bins) * capacity - sum(s * n for s, n in left.items())
+
+    for width, price in PASSES:
+        if not counts or fewest == bound:
+            break
+        steps, cut, path = Budget(budget // len(PASSES)), False, []
+        stack = [children(counts, 0, spare_of(counts, 0), width, price, steps)]
+        while stack and fewest > bound and steps.left > 0:
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            left, bins, used = step
+            if not left:
+                if bins < fewest:
+                    best, fewest = [*path, used], bins
+                continue
+            if not steps.spend() or (spare := spare_of(left, bins)) < 0:
+                continue
+            path.append(used)
+            stack.append(children(left, bins, spare, width, price, steps))
+        if steps.left > 0 and not cut:
+            return Packed(best, fewest, bound, True)
+    return Packed(best, fewest, bound, fewest == bound)
 
 
 def slots(plan: Plan) -> dict[int, np.ndarray]:
@@ -208,17 +250,20 @@ def slots(plan: Plan) -> dict[int, np.ndarray]:
     return {s: np.array(rows, dtype=np.int64) for s, rows in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, nodes: int = 4000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, budget: int = 200_000) -> DataFrame:
     """Packs docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
 
     A null text counts as empty and packs its end id. Repeated rows and repeated ids are packed once each, null ids are
     kept, an empty table gives no rows, other columns are ignored. Ties within a length go by doc_id and piece, so reruns
     agree. No document is dropped or shortened; a long one is cut into pieces of `capacity` with a shorter first piece.
+    How many sequences there are, the bound and whether it is proven that none has fewer go to the log.
     """
     require(docs, "doc_id", "text")
     cut = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    places = slots(bin_completion(counts, capacity, nodes))
+    packed = bin_completion(counts, capacity, budget)
+    log.info("%d sequences, at least %d, %s", packed.bins, packed.bound, "proven" if packed.proven else "not proven")
+    places = slots(packed.plan)
     ranked = id_ranks(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 

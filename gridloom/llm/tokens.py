@@ -1,170 +1,92 @@
-"""Token counts with a compiled tokenizer.
-
-The tokenizer is compiled lazily to a deterministic transducer. Its boundary state is where the pre-tokenizer can never
-join what follows to what came before: between a character that is no white space and one that is. A path from the
-boundary state back to itself spells one unit (white space, then the rest up to the next white space); such paths are
-stored whole, each with the tokens that it emits, taken from the library at first use. Text cut into chunks gives one state
-map per chunk: what lies before its first boundary, the tokens between its boundaries, what lies after its last one.
-Maps compose associatively, so a scan over a long text's chunks can be a tree.
-"""
+"""Token counts with a compiled tokenizer."""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.common import batch, require
+from gridloom.llm.transducer import compiled
 
-#: The code points of Unicode's White_Space property, as a character class.
-SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
-UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Paths kept in each of two generations; older ones are compiled again when they come up.
-PATHS = 400_000
-CHUNK = 1 << 16
-#: Letters below this code point are letters in every version of Unicode.
-LATER = chr(0x250)
-
-
-class Paths(dict):
-    """The compiled paths: unit -> what it emits. A miss asks the library; two generations bound the memory."""
-
-    def __init__(self, emit, joins: bool = True, limit: int = PATHS):
-        super().__init__()
-        self.emit, self.joins, self.limit, self.old = emit, joins, limit, {}
-
-    def __missing__(self, unit: str):
-        if (out := self.old.get(unit)) is None:
-            # A letter and a full stop or comma after it never belong to one pre-token, so their paths can be joined.
-            if self.joins and unit[-1] in ".," and unit[-2:-1].isalpha() and unit[-2] < LATER:
-                out = self[unit[:-1]] + self[unit[-1]]
-            else:
-                out = self.emit(unit)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = out
-        return out
-
-
-def byte_symbols() -> dict[int, str]:
-    """Byte-level tokenizers write a printable Latin-1 byte as itself, the others as U+0100 onward in turn."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
-
-
-@lru_cache(maxsize=4)
-def byte_level(path: str) -> bool:
-    """Whether units are independent: a BPE over bytes without a normalizer, whose pre-tokenizer splits at white space."""
-    told = json.loads(Path(path).read_text())
-    before = told.get("pre_tokenizer") or {}
-    free = not told.get("normalizer") and not told["model"].get("dropout") and not before.get("add_prefix_space")
-    return told["model"].get("type") == "BPE" and free and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-
-
-def splitter(path: str) -> Callable[[str], list[str]]:
-    """text -> its units; with any other tokenizer a text is one unit."""
-    return UNIT.findall if byte_level(path) else lambda text: [text] if text else []
-
-
-def emitter(path: str) -> Callable[[str], Sequence]:
-    """unit -> what the library makes of it, one element per token, as ids.
-
-    For a byte-level BPE without a normalizer, letters after at most one space are one pre-token, so its merges
-    are applied to them alone; everything else takes the library's whole way.
-    """
-    library = Tokenizer.from_file(path)
-    whole = lambda unit: library.encode(unit, add_special_tokens=False).ids
-    if not byte_level(path):
-        return whole
-    merges, symbols = library.model.tokenize, byte_symbols()
-
-    def emit(unit: str) -> Sequence:
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha() and max(word) < LATER:
-            return [t.id for t in merges(unit.encode().decode("latin-1").translate(symbols))]
-        return whole(unit)
-
-    return emit
+#: Code points that are taken at a time.
+SPAN = 1 << 20
+#: No pre-token goes on from a character that is no white space to one that is.
+SEAM = re.compile(r"(?<=\S)[ \t\n]")
 
 
 @lru_cache(maxsize=4)
-def counting(path: str) -> Paths:
-    emit = emitter(path)
-    return Paths(lambda unit: len(emit(unit)), byte_level(path))
-
-
-@dataclass(frozen=True, slots=True)
-class StateMap:
-    """What a chunk does to the transducer: head and tail are its open ends; without a boundary all is head."""
-
-    head: str
-    tokens: int = 0
-    tail: str | None = None
-
-    def then(self, other: StateMap, paths: Paths) -> StateMap:
-        if self.tail is None:
-            joined = state_map(self.head + other.head, paths)
-            if other.tail is None:
-                return joined
-            if joined.tail is None:
-                return StateMap(joined.head, other.tokens, other.tail)
-            return StateMap(joined.head, joined.tokens + paths[joined.tail] + other.tokens, other.tail)
-        if other.tail is None:
-            units = UNIT.findall(self.tail + other.head)
-            done = sum(map(paths.__getitem__, units[:-1]))
-            return StateMap(self.head, self.tokens + done, units[-1] if units else "")
-        seam = sum(map(paths.__getitem__, UNIT.findall(self.tail + other.head)))
-        return StateMap(self.head, self.tokens + seam + other.tokens, other.tail)
-
-    def total(self, paths: Paths) -> int:
-        ends = UNIT.findall(self.head) + UNIT.findall(self.tail or "")
-        return self.tokens + sum(map(paths.__getitem__, ends))
-
-
-def state_map(chunk: str, paths: Paths) -> StateMap:
-    units = UNIT.findall(chunk)
-    if len(units) < 2:
-        return StateMap(chunk)
-    return StateMap(units[0], sum(map(paths.__getitem__, units[1:-1])), units[-1])
-
-
-def count_tokens(text: str, paths: Paths, chunk: int = CHUNK) -> int:
-    """Tokens of a whole text: chunks of a long one are mapped on their own and their maps composed as a tree."""
-    if len(text) <= chunk:
-        return sum(map(paths.__getitem__, UNIT.findall(text)))
-    maps = [state_map(text[i : i + chunk], paths) for i in range(0, len(text), chunk)]
-    while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], paths) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0].total(paths)
-
-
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text); tokenizer: path of a .json file.
-
-    A null text counts as empty: no bytes, no tokens. Repeated rows give repeated results, a null doc_id stays null, an
+def library(path: str):
+    """texts -> ids of each, with the library of a tokenizer file that isn't compiled."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).encode
+    found = Tokenizer.from_file(path)
+    return lambda texts: [e.ids for e in found.encode_batch(texts, add_special_tokens=False)]
+
+
+def encode(texts: list[str], path: str, ids: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Tokens of each text, and the ids of all, if asked for."""
+    if machine := compiled(path):
+        return machine.encode(texts, ids)
+    found = library(path)(texts)
+    return np.array([len(x) for x in found], dtype=np.int64), np.array([i for x in found for i in x], dtype=np.int64) if ids else None
+
+
+def windows(text: str, span: int) -> Iterator[str]:
+    """A long text cut where no pre-token is, into parts of about so many code points."""
+    at = 0
+    while len(text) - at > span:
+        seam = SEAM.search(text, at + span)
+        if not seam:
+            break
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
+def encode_spans(texts: list[str], path: str, ids: bool = False, span: int = SPAN) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """first text, counts, ids, for runs of texts of about so many code points; a longer text comes alone, read in windows."""
+    start = size = 0
+    for k, t in enumerate([*texts, None]):
+        if t is None or start < k and size + len(t) > span:
+            if start < k:
+                yield start, *encode(texts[start:k], path, ids)
+            start, size = k, 0
+        if t is None:
+            break
+        if len(t) > span and compiled(path):
+            parts = [encode([w], path, ids) for w in windows(t, span)]
+            yield k, np.array([sum(int(n[0]) for n, _ in parts)]), np.concatenate([i for _, i in parts]) if ids else None
+            start = k + 1
+        else:
+            size += len(t)
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, span: int = SPAN) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text); tokenizer: path of a .json or .model file.
+
+    A byte-level BPE is compiled to transducers; other files are read with their library. A null text counts as empty: no bytes,
+    no tokens. Repeated rows give repeated results, a null doc_id stays null, an
     empty table gives no rows, and other columns are ignored. Texts of any length are counted whole. Nothing is shuffled.
     """
     require(docs, "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, split = counting(tokenizer), splitter(tokenizer)
         for rows in batches:
-            if byte_level(tokenizer):
-                n = [count_tokens(x.as_py() or "", paths, chunk) for x in rows.column(1)]
-            else:
-                n = [sum(paths[u] for u in split(x.as_py() or "")) for x in rows.column(1)]
-            yield batch(schema, doc_id=rows.column(0), n_bytes=rows.column(2), n_tokens=n, over_limit=[x > limit for x in n])
+            texts = [x or "" for x in rows.column(1).to_pylist()]
+            n = np.zeros(len(texts), np.int64)
+            for start, counts, _ in encode_spans(texts, tokenizer, False, span):
+                n[start : start + len(counts)] = counts
+            yield batch(schema, doc_id=rows.column(0), n_bytes=rows.column(2), n_tokens=n, over_limit=n > limit)
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return docs.select(F.col("doc_id").cast("long"), "text", size).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

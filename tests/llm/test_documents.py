@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import components, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens
+from gridloom.llm import components, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens, transducer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, block long, n long, size string, kept string, copies int"
@@ -71,6 +71,15 @@ def test_token_counts(docs, odd, empty):
     assert tokens.token_counts(odd, PATH).count() == 4 and tokens.token_counts(empty, PATH).count() == 0
 
 
+def test_pieces_of_other_libraries(docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, path).collect()}
+    assert got == {r[0]: len(library.encode(r[1] or "")) for r in rows()}
+
+
 def test_other_tokenizers_take_texts_whole(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -78,12 +87,35 @@ def test_other_tokenizers_take_texts_whole(docs):
     assert got == {r[0]: len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows()}
 
 
-def test_state_maps_compose_in_any_order():
-    rng, paths, library = random.Random(5), tokens.counting(PATH), Tokenizer.from_file(PATH)
-    alphabet = ["a", "b's", " ", "\n", " ", " ", "\x1c", "1", "!", ",", "Zw.", "<|endoftext|>", "é", "日"]
-    for _ in range(1500):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20)))
-        assert tokens.count_tokens(t, paths, rng.randint(1, 6)) == len(library.encode(t, add_special_tokens=False).ids)
+def test_compiled_tokenizer_equals_the_library():
+    rng, machine, library = random.Random(5), transducer.compiled(PATH), Tokenizer.from_file(PATH)
+    alphabet = ["a", "b's", " ", "\n", " ", "  ", "\x1c", "1", "!", ",", "Zw.", "<|endoftext|>", "é", "日", "'", "'re", "'ll", "'v", "the", "ing", "aaaa", "\u3000", "👍🏽", "½", "ा", "\t", "’s", "İ", "\0"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(6000)] + ["x" * 20_000, "ab" * 9000 + "'s" * 500]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    counts, ids = machine.encode(texts, True)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    for chunk in (1, 2, 7):
+        assert machine.encode(texts[:800], chunk=chunk)[0].tolist() == counts[:800].tolist()
+    for span in (3, 40):
+        got = [(k, n.tolist(), i.tolist()) for k, n, i in tokens.encode_spans(texts[:500], PATH, True, span)]
+        assert [c for _, n, _ in got for c in n] == counts[:500].tolist() and [i for *_, x in got for i in x] == [i for w in want[:500] for i in w]
+    assert [k for k in range(8)] == transducer.compose((np.arange(8)[None], np.zeros((1, 8), int)), (np.arange(8)[None], np.zeros((1, 8), int)))[0][0].tolist()
+
+
+def test_chunk_maps_compose_in_any_order():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 9, (12, 5)).astype(np.int8)
+    whole = transducer.chunk_maps(rows.reshape(1, -1))
+    scanned = transducer.prefix_scan(transducer.chunk_maps(rows))
+    assert all((scanned[i][-1] == whole[i][0]).all() for i in (0, 1))
+
+
+def test_a_full_table_is_compiled_anew(monkeypatch):
+    machine = transducer.compiled(PATH)
+    monkeypatch.setattr(transducer, "LIMIT", 10)
+    want = [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(["some words here", "other ones"], add_special_tokens=False)]
+    for _ in range(3):
+        assert machine.encode(["some words here", "other ones"])[0].tolist() == want
 
 
 def check_packing(result, texts, capacity):
@@ -136,11 +168,16 @@ def test_bin_completion_is_optimal_on_small_cases():
         put(0, [])
         return best[0]
 
-    rng = random.Random(2)
-    for _ in range(60):
-        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
-        plan = packing.bin_completion(dict(Counter(sizes)), 20)
-        assert sum(n for _, n in plan) == fewest(sizes, 20) >= packing.lower_bound(dict(Counter(sizes)), 20)
+    rng, proven = random.Random(2), 0
+    for k in range(120):
+        sizes = sorted((rng.randint(1 + 3 * (k % 2), 20) for _ in range(rng.randint(1, 10))), reverse=True)
+        packed = packing.bin_completion(dict(Counter(sizes)), 20)
+        assert sum(n for _, n in packed.plan) == packed.bins == fewest(sizes, 20) >= packed.bound and packed.proven
+        assert sum((Counter({s: c * n for s, c in pattern}) for pattern, n in packed.plan), Counter()) == Counter(sizes)
+        proven += packed.bins > packed.bound
+    assert proven
+    short = packing.bin_completion(dict(Counter(rng.randint(100, 400) for _ in range(500))), 1024, 5)
+    assert short.bins >= short.bound and sum(n for _, n in short.plan) == short.bins
 
 
 def test_mixing(spark, docs, odd, empty):
