@@ -6,6 +6,7 @@ Grids are views of the driver's tables: orders is a box of 25 x 25 cells per pla
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -192,7 +193,14 @@ map_query("g136_xpypz", {"u": "x + v + w"}, lambda g: maps.apply(g.withColumn("u
 map_query("g137_scaled_copy", {"u": "7 * v"}, lambda g: maps.apply(g, maps.scale(7, "v", "u")))
 
 
-@register("g035_julia")
+_JULIA = f"""WITH RECURSIVE c AS ({CELLS.format(64, 32, 2048, 2048)}), j AS (
+ SELECT x, y, z, 0 AS k, 0 AS n, 2::DOUBLE * (x / 32::DOUBLE - 1::DOUBLE) AS a, 2::DOUBLE * (y / 32::DOUBLE - 0.5::DOUBLE) AS b FROM c
+ UNION ALL SELECT x, y, z, k + 1, n + CASE WHEN sqrt(a * a + b * b) < 20 THEN 1 ELSE 0 END,
+  CASE WHEN sqrt(a * a + b * b) < 20 THEN a * a - b * b + (-0.8)::DOUBLE ELSE a END, CASE WHEN sqrt(a * a + b * b) < 20 THEN 2::DOUBLE * a * b + {0.2 * math.cos(0.3)!r}::DOUBLE ELSE b END FROM j WHERE k < 50)
+SELECT x, y, z, round(1::DOUBLE - 0.02::DOUBLE * n, 6) AS shade FROM j WHERE k = 50"""
+
+
+@register("g035_julia", _JULIA)
 def _(spark, sf_dir):
     return source.dense(spark, GridSpec(64, 32, 1)).select(*COORDS, F.round(maps.julia(32, 10.0), 6).alias("shade"))
 
@@ -320,7 +328,10 @@ def _(spark, sf_dir):
     return stencils.laplace_neighbours(sparse(spark, sf_dir), "v")
 
 
-@register("g141_laplace_iterated")
+_ROUND = "p{1} AS MATERIALIZED (SELECT x, y, z, CAST((any_value(v) - count(nv) * coalesce(sum(nv), 0)) % 1000 AS BIGINT) AS v FROM (SELECT c.x, c.y, c.z, c.v, n.v AS nv FROM p{0} c CROSS JOIN off o LEFT JOIN p{0} n ON n.x = c.x + o.dx AND n.y = c.y + o.dy AND n.z = c.z + o.dz) GROUP BY x, y, z)"
+
+
+@register("g141_laplace_iterated", f"WITH {PART}, {values(S6)}, p0 AS (SELECT * FROM p), {', '.join(_ROUND.format(k, k + 1) for k in range(5))} SELECT x, y, z, v FROM p5")
 def _(spark, sf_dir):
     """Five rounds with two fields in turn; numbers are kept small by a remainder."""
     g = parts(spark, sf_dir)
@@ -443,7 +454,13 @@ def _(spark, sf_dir):
     return g.select(*COORDS, partitions.dense_slab(height(g), 3).alias("slab"))
 
 
-@register("g084_sparse_slabs")
+_CUTS = """s AS (SELECT * FROM g WHERE v % 3 <> 0), pl AS (SELECT z, sum(count(*)) OVER (ORDER BY z) AS upto FROM s GROUP BY z),
+e AS (SELECT min(z) AS a, max(z) + 1 AS d, ceil(max(upto) / 3) AS share FROM pl), b0 AS (SELECT e.*, (SELECT min(z) + 1 FROM pl WHERE upto >= share) AS b FROM e),
+c0 AS (SELECT *, coalesce((SELECT min(z) + 1 FROM pl WHERE z >= b AND upto - (SELECT upto FROM pl WHERE z = b - 1) >= share), d) AS c FROM b0),
+down AS (SELECT a, d, least(b, least(c, d - 3) - 3) AS b, least(c, d - 3) AS c FROM c0), cuts AS (SELECT greatest(b, a + 3) AS b, greatest(c, greatest(b, a + 3) + 3) AS c FROM down)"""
+
+
+@register("g084_sparse_slabs", f"WITH {TALL}, {_CUTS} SELECT x, y, z, CAST(CASE WHEN z < b THEN 0 WHEN z < c THEN 1 ELSE 2 END AS INTEGER) AS slab FROM s, cuts")
 def _(spark, sf_dir):
     s = tower(spark, sf_dir).filter("v % 3 <> 0")
     return s.select(*COORDS, partitions.slab_of(partitions.sparse_bounds(s, 3)).alias("slab"))
@@ -486,6 +503,10 @@ l2 AS (SELECT DISTINCT x - x % 4 AS x, y - y % 4 AS y, z - z % 4 AS z FROM f),
 m AS (SELECT 0 AS level, x, y, z FROM l0 UNION ALL SELECT 1, x, y, z FROM l1 UNION ALL SELECT 2, x, y, z FROM l2),
 r AS (SELECT m.*, c.level IS NOT NULL AS refined FROM m LEFT JOIN (SELECT DISTINCT level + 1 AS level, x - x % (2 << level) AS x, y - y % (2 << level) AS y, z - z % (2 << level) AS z FROM m WHERE level < 2) c USING (level, x, y, z))"""
 
+#: Cells with the place of their parent in columns, so that levels are joined on plain equality.
+_UP = "u AS (SELECT *, level + 1 AS up, x - x % (2 << level) AS px, y - y % (2 << level) AS py, z - z % (2 << level) AS pz, 2 << level AS step FROM v)"
+_TO_UP = "b.level = a.up AND b.x = a.px AND b.y = a.py AND b.z = a.pz"
+
 
 def levels(spark: SparkSession, balanced: bool = True) -> DataFrame:
     return multires.build(spark, LEVELS, [F.col("x") < 8, (F.col("x") >= 8) & (F.col("x") < 16), F.col("x") >= 16], balanced)
@@ -507,13 +528,13 @@ def _(spark, sf_dir):
     return multires.children(m, "w").select(*multires.LEVEL_COORDS, "children", "child_sum")
 
 
-@register("g096_parents", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM v a LEFT JOIN v b ON b.level = a.level + 1 AND b.x = a.x - a.x % (2 << a.level) AND b.y = a.y - a.y % (2 << a.level) AND b.z = a.z - a.z % (2 << a.level)")
+@register("g096_parents", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM u a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).withColumn("w", F.col("level") * 1000 + F.col("x") + F.col("y") + F.col("z"))
     return multires.with_parent(m, "w").select(*multires.LEVEL_COORDS, "parent_value", "has_parent")
 
 
-@register("g097_uncles", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM v a LEFT JOIN v b ON b.level = a.level + 1 AND b.x = a.x - a.x % (2 << a.level) + (2 << a.level) AND b.y = a.y - a.y % (2 << a.level) AND b.z = a.z - a.z % (2 << a.level) - (2 << a.level)")
+@register("g097_uncles", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UP}, t AS (SELECT * REPLACE (px + step AS px, pz - step AS pz) FROM u) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM t a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).withColumn("w", F.col("level") * 1000 + F.col("x") + F.col("y") + F.col("z"))
     return multires.with_parent(m, "w", (1, 0, -1)).select(*multires.LEVEL_COORDS, "parent_value", "has_parent")
@@ -532,7 +553,7 @@ def _(spark, sf_dir):
     return multires.accumulate_to_parents(m, "w")
 
 
-@register("g147_write_children", f"WITH {_ML} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(CASE WHEN b.level IS NULL THEN a.level ELSE b.level END AS INTEGER) AS w FROM m a LEFT JOIN m b ON b.level = a.level + 1 AND b.x = a.x - a.x % (2 << a.level) AND b.y = a.y - a.y % (2 << a.level) AND b.z = a.z - a.z % (2 << a.level)")
+@register("g147_write_children", f"WITH {_ML}, v AS (SELECT * FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(b.level, a.level) AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).drop("refined").withColumn("w", F.col("level"))
     return multires.write_children(m, "w")
@@ -658,7 +679,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(lv, multires.omega(1.7, lv, 4)) for lv in range(4)], "level int, omega double")
 
 
-@register("g145_parents_downward", f"WITH {_ML} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(c.w, b.w, a.w) AS INTEGER) AS w FROM (SELECT *, level * 100 + x // 4 AS w FROM m) a LEFT JOIN (SELECT *, level * 100 + x // 4 AS w FROM m) b ON b.level = a.level + 1 AND b.x = a.x - a.x % (2 << a.level) AND b.y = a.y - a.y % (2 << a.level) AND b.z = a.z - a.z % (2 << a.level) LEFT JOIN (SELECT *, level * 100 + x // 4 AS w FROM m) c ON c.level = b.level + 1 AND c.x = b.x - b.x % (2 << b.level) AND c.y = b.y - b.y % (2 << b.level) AND c.z = b.z - b.z % (2 << b.level)")
+@register("g145_parents_downward", f"WITH {_ML}, v AS (SELECT *, level * 100 + x // 4 AS w FROM m), {_UP}, once AS (SELECT a.* REPLACE (coalesce(b.w, a.w) AS w) FROM u a LEFT JOIN v b ON {_TO_UP}) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(b.w, a.w) AS INTEGER) AS w FROM once a LEFT JOIN once b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).drop("refined").withColumn("w", (F.col("level") * 100 + F.floor(F.col("x") / 4)).cast("int"))
     return multires.write_children(multires.write_children(m, "w"), "w")
