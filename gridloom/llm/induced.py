@@ -2,8 +2,9 @@
 
 Suffixes are taken from a monotone priority queue, whose keys are first symbols and whose order within a key is that of
 arrival: the smallest suffix induces the place of the suffix one symbol longer. All suffixes of one key that are known at
-a time are taken and induced together, as arrays. A queue keeps its tuples in memory up to a limit and appends
-the rest to an unlinked scratch file, from which it reads them back key by key, so a shard may exceed the memory by far.
+a time are taken and induced together, as arrays. A queue keeps its positions in memory up to a limit and appends
+the rest to an unlinked scratch file, from which it reads them back key by key. The text of a shard, its suffix array and its names
+are in memory; shards are made small enough for that.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch, id_ranks, materialize, require
+from gridloom.llm.common import batch, id_ranks, materialize, require, tidy
 from gridloom.llm.tokens import encode_spans
 
 log = logging.getLogger(__name__)
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     stops = [*range((n + 1) % capacity or capacity, n + 1, capacity), n + 1]
                     for piece, (start, stop) in enumerate(zip([0, *stops], stops)):  # noqa: B905
                         out.append((names[k], piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-            yield batch(schema, **dict(zip(schema.names, zip(*out) if out else [()] * 5, strict=True)))
+            yield tidy(batch(schema, **dict(zip(schema.names, zip(*out) if out else [()] * 5, strict=True))))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

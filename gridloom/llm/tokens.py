@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm.common import batch, require
+from gridloom.llm.common import batch, require, tidy
 from gridloom.llm.transducer import compiled
 
 #: Code points that are taken at a time.
@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, span: int =
             n = np.zeros(len(texts), np.int64)
             for start, counts, _ in encode_spans(texts, tokenizer, False, span):
                 n[start : start + len(counts)] = counts
-            yield batch(schema, doc_id=rows.column(0), n_bytes=rows.column(2), n_tokens=n, over_limit=n > limit)
+            yield tidy(batch(schema, doc_id=rows.column(0), n_bytes=rows.column(2), n_tokens=n, over_limit=n > limit))
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return docs.select(F.col("doc_id").cast("long"), "text", size).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

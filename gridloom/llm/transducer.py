@@ -27,7 +27,7 @@ L, N, O, W, LAST, JOIN, SHORT, LONG, END = range(9)
 NONE, IN_L, IN_N, IN_O, IN_W, JOINED, ONE, TWO = range(8)
 CHUNK, LANES, FEW = 256, 4096, 12
 #: Transitions kept at most; a full table is compiled anew.
-LIMIT = 3_000_000
+LIMIT = 1_000_000
 NOWHERE = np.iinfo(np.int64).max
 
 
@@ -124,7 +124,8 @@ class Merges:
     def forget(self) -> None:
         start = (b"", ((0, -1, 0),))
         self.states, self.names = [start], {start: 0}
-        self.near: dict[tuple[int, int], bool] = {}
+        self.near: dict[int, bool] = {}
+        self.items: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         self.used = 0
         self.size = 1 << 16
         self.keys = np.full(self.size, -1, np.int64)
@@ -137,7 +138,7 @@ class Merges:
         Going back in time, the later of the two merges beside the seam is undone; a merge across the seam that comes before
         the one undone would have joined them. Of equal merges the left one comes first.
         """
-        if (known := self.near.get((a, b))) is not None:
+        if (known := self.near.get(a << 32 | b)) is not None:
             return known
         x, y, before, out = a, b, len(self.pairs), True
         while True:
@@ -151,7 +152,7 @@ class Merges:
                 before, x = left, self.parts[x][1]
             else:
                 before, y = right + 1, self.parts[y][0]
-        self.near[a, b] = out
+        self.near[a << 32 | b] = out
         return out
 
     def whole(self, token: int) -> bool:
@@ -193,7 +194,8 @@ class Merges:
             if text in self.prefixes:
                 going.append((length + 1, last, less))
         token, change = found
-        chain = (*((length, last, less - change) for length, last, less in going), (0, token, 0))
+        # States share what they have in common, so that each costs little memory.
+        chain = tuple(self.items.setdefault(x, x) for x in (*((length, last, less - change) for length, last, less in going), (0, token, 0)))
         name = (grown[len(grown) - chain[0][0] :] if chain[0][0] else b"", chain)
         to = self.names.get(name)
         if to is None:
