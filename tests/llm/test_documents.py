@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridloom.llm.common import id_ranks
 from gridloom.llm import components, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens, transducer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -236,6 +237,24 @@ def test_fingerprints_across_buckets(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()
 
 
+def test_sparse_and_missing_ids(spark):
+    """Ids that are hashes, repeated or missing: next rows and ranks as in one sorted list."""
+    rng = random.Random(11)
+    data = [(rng.getrandbits(62) - 2**61, f"text {k} " * 3) for k in range(120)] + [(7, "same " * 5)] * 3 + [(None, f"none {k} " * 2) for k in range(20)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = sketch.with_next(frame, "doc_id", "text", ["text"]).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(data)
+    known = sorted((i, t) for i, t in data if i is not None)
+    after = {(r.doc_id, r.text): r.next_text for r in got if (r.doc_id, r.text) != (7, "same " * 5)}
+    assert all(after[a] == b[1] for a, b in zip(known, known[1:], strict=False) if a in after)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in data)
+    ranked = id_ranks(frame.withColumn("k", F.length("text") % 2), ["k"], ["doc_id", "text"], "rank").collect()
+    for k in (0, 1):
+        mine = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in ranked if r.k == k)
+        assert [r[1:] for r in mine] == [(r.doc_id or 0, r.text) for r in sorted((r for r in ranked if r.k == k), key=lambda r: r.rank)]
+        assert sorted(r.rank for r in ranked if r.k == k) == list(range(len(mine)))
+
+
 def plain_classes(texts, width, percent):
     sets = {}
     for i, t in texts.items():
@@ -400,6 +419,31 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in langid.detect_languages(odd.select("doc_id", "text", "lang")).collect()} <= {"und", "en"}
 
 
+def test_languages_against_plain_vectors(spark):
+    """Scores and predictions from vectors that are bound, bundled and compared one trigram at a time."""
+    rng, dims = random.Random(14), 256
+    data = [(i, text(rng, ["thé", "Of", "and", "x1y", "der", "日本"] if i % 2 else ["que", "des", "une!"], rng.randint(1, 12)), "ab"[i % 2]) for i in range(40)]
+    letters = {}
+
+    def vector(c):
+        if c not in letters:
+            letters[c] = 2 * np.random.default_rng([7, ord(c)]).integers(0, 2, dims, dtype=np.int8).astype(int) - 1
+        return letters[c]
+
+    def profile(t):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        grams = [s[k : k + 3] for k in range(len(s) - 2) if s[k + 1] != " "]
+        return sum((np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in grams), np.zeros(dims))
+
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in data}
+    protos = {lang: sum(profile(t) for i, t, x in data if x == lang and not out[i]) for lang in "ab"}
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for r in langid.detect_languages(frame, dims).collect():
+        p = profile(data[r.doc_id][1])
+        cosine = {lang: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for lang, v in protos.items()}
+        assert r.held_out == out[r.doc_id] and abs(r.score - max(0, cosine[r.lang_pred])) < 1e-4 and cosine[r.lang_pred] > max(cosine.values()) - 1e-4
+
+
 def units(t):
     """Code points up to U+0BFF as they are, the others as a lead and their low eleven bits."""
     return [u for c in map(ord, t) for u in ([c] if c < 0xC00 else [0xC00 + (c >> 11), c & 0x7FF])]

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -65,6 +66,42 @@ def test_density_decides_on_pages_without_links():
     assert all(n.density > 0 for n in nodes if n.chars > 1)
 
 
+def test_density_against_a_plain_tree():
+    """Counts by recursion over each node's own subtree, and the formula written out."""
+    rng = random.Random(7)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "word " * rng.randint(1, 30)
+        tag = rng.choice(["div", "p", "a", "section", "span"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    def below(n):
+        return [p for p in n.parts if isinstance(p, html.Node)]
+
+    def chars(n):
+        return sum(len("".join(p.split())) for p in n.parts if isinstance(p, str)) + sum(map(chars, below(n)))
+
+    def links(n):
+        return chars(n) if n.tag == "a" else sum(map(links, below(n)))
+
+    def tags(n, only=""):
+        return sum((not only or p.tag == only) + tags(p, only) for p in below(n))
+
+    for _ in range(40):
+        root = html.parse("<body>" + "".join(made(4) for _ in range(3)) + "</body>")
+        nodes = html.order(root)
+        html.measure(nodes)
+        share = links(root) / max(1, chars(root))
+        for n in nodes:
+            c, k, t, kt = chars(n), links(n), tags(n), tags(n, "a")
+            ratio = c / max(1, k) * max(1, t) / max(1, kt)
+            base = max(math.e, math.log(c / max(1, c - k) * k + share * c + math.e))
+            want = c / max(1, t) * (math.log(ratio, base) if ratio > 1 else 0)
+            assert (n.chars, n.link_chars, n.tags, n.link_tags) == (c, k, t, kt) and abs(n.density - want) < 1e-9 * max(1, want)
+            assert abs(n.total - sum(p.density for p in below(n))) < 1e-9 * max(1, n.total)
+
+
 def test_marks_on_what_holds_the_text():
     said = "A sentence of the article that goes on for a while. " * 6
     article = f"<article><div class='post-header'><h1>Title</h1></div><p>{said}</p><p>{said}</p><div class='share'>Share this</div></article>"
