@@ -6,6 +6,9 @@ hashes tell every block of documents which of its anchors other documents have t
 bytes around them, each distinct string once, to the anchor's shard. The shard sorts the suffixes of all
 its strings by external induction, finds runs of suffixes that share 50 bytes with the common-prefix lengths, takes the
 smallest document of each run, and answers with the starts that an earlier document has.
+
+An anchor with very many places would crowd its shard. The starts around such an anchor are sent in groups of a few
+instead, each group to the shard of the bytes that all its strings have in common.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ ASK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", p
 SEND = "shard int, block long, kind int, x binary, y binary, ords binary, texts binary"
 SEND_SCHEMA = pa.schema([*ASK_SCHEMA, ("ords", pa.binary()), ("texts", pa.binary())])
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-#: Kinds of mail: copies (rid, the row in its block), anchors that others have too (row, place), starts to remove (row, place, bits).
-COPY, HOT, REMOVE = 0, 1, 2
+#: Kinds of mail: copies (rid, the row in its block), anchors that others have too (row, place), starts to remove (row, place, bits),
+#: anchors with many places (rid, their shard, and the hashes).
+COPY, HOT, REMOVE, CROWDED = 0, 1, 2, 3
+#: Places from which on an anchor's starts are split, and starts of a group then.
+CROWD, GROUP = 4096, 8
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
 
@@ -104,8 +110,8 @@ def first_of_copies(n: int, mail: pa.Table) -> np.ndarray:
 
 
 def ask_anchors(block: int, texts: list[str], own: np.ndarray, ords: np.ndarray, shards: int, width: int) -> pa.Table:
-    """Anchors of a block for the shards: those of one document (kind 0, with places), those of several (kind 1, once;
-    their places go back to the block itself, kind 2, by way of any shard)."""
+    """Anchors of a block for the shards: those of one document (kind 0, with places), those of several (kind 1, once, with
+    the number of their places; these go back to the block itself, kind 2, by way of any shard)."""
     rows, ats, hashes = [], [], []
     for i in np.flatnonzero(own).tolist():
         at, h = anchors((texts[i] or "").encode("utf-8", "replace"), width)
@@ -127,17 +133,17 @@ def ask_anchors(block: int, texts: list[str], own: np.ndarray, ords: np.ndarray,
     for shard, pick in runs((h[solo] % np.uint64(shards)).astype(np.int32)):
         pick = solo[pick]
         out.append((shard, block, 0, (h[pick] >> np.uint64(32)).astype("<u4").tobytes(), places(row[pick], at[pick])))
-    once = np.unique(h[many])
+    once, each = np.unique(h[many], return_counts=True)
     for shard, pick in runs((once % np.uint64(shards)).astype(np.int32)):
-        out.append((shard, block, 1, (once[pick] >> np.uint64(32)).astype("<u4").tobytes(), b""))
+        out.append((shard, block, 1, (once[pick] >> np.uint64(32)).astype("<u4").tobytes(), each[pick].astype("<u4").tobytes()))
     if many.any():
         out.append((block % shards, block, 2, places(row[many], at[many]), b""))
     return to_table(ASK_SCHEMA, out)
 
 
-def answer_anchors(rows: pa.Table) -> pa.Table:
-    """Tells each block the places of anchors that other blocks have too."""
-    out, parts, places_, sources, known = [], [], [], [], []
+def answer_anchors(rows: pa.Table, crowd: int = CROWD) -> pa.Table:
+    """Tells each block the places of anchors that other blocks have too, and which anchors have `crowd` places or more."""
+    out, parts, places_, sources, known, counts = [], [], [], [], [], []
     columns = (rows.column(c) for c in ("block", "kind", "x", "y"))
     for b, k, x, y in zip(*columns, strict=True):
         b, k = b.as_py(), k.as_py()
@@ -148,8 +154,9 @@ def answer_anchors(rows: pa.Table) -> pa.Table:
         places_.append(np.frombuffer(y.as_py(), PLACE) if k == 0 else np.zeros(len(parts[-1]), PLACE))
         sources.append(np.full(len(parts[-1]), b, np.int64))
         known.append(np.full(len(parts[-1]), k == 1))
+        counts.append(np.frombuffer(y.as_py(), "<u4") if k == 1 else np.ones(len(parts[-1]), "<u4"))
     if parts:
-        fps, place, source, known = map(np.concatenate, (parts, places_, sources, known))
+        fps, place, source, known, counts = map(np.concatenate, (parts, places_, sources, known, counts))
         order = np.argsort(fps, kind="stable")
         group = np.cumsum(np.r_[True, fps[order][1:] != fps[order][:-1]]) - 1
         n = int(group[-1]) + 1
@@ -161,9 +168,32 @@ def answer_anchors(rows: pa.Table) -> pa.Table:
         pick = pick[~known[pick]]
         for b, p in runs(source[pick]):
             out.append((b, HOT, 0, place[pick[p]].tobytes(), b""))
+        shard = rows.column("shard")[0].as_py()
+        pick = order[(np.bincount(group, weights=counts[order], minlength=n) >= crowd)[group]]
+        for b, p in runs(source[pick]):
+            out.append((b, CROWDED, shard, np.unique(fps[pick[p]]).tobytes(), b""))
     return to_table(MAIL_SCHEMA, out)
 
 
+def crowded_anchors(mail: pa.Table) -> np.ndarray:
+    """Shard and hash, in one number, of the anchors that a block was told to split. Every block that has one is told so."""
+    rows = zip(*(mail.column(c).to_pylist() for c in ("kind", "rid", "x")), strict=True)
+    found = [np.uint64(shard << 32) | np.frombuffer(x, "<u4").astype(np.uint64) for k, shard, x in rows if k == CROWDED]
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def split_starts(data: bytes, at: int, shards: int, width: int):
+    """Shard, start and stop of the strings of each group of starts around an anchor.
+
+    A group's shard is that of the bytes which all its strings of `width` bytes hold, so a string goes to one shard from wherever it stands.
+    """
+    for first in range(at + GRAM - width, at + 1, GROUP):
+        last = min(first + GROUP - 1, at)
+        start, stop = max(0, first), min(len(data), last + width)
+        if stop - start >= width:
+            yield xxhash.xxh3_64_intdigest(data[last : first + width]) % shards, start, stop
+
+
 def send_strings(block: int, texts: list[str], ords: np.ndarray, mail: pa.Table, shards: int, width: int) -> pa.Table:
     """The bytes around hot anchors, by shard: each distinct string once, with its smallest document's order and places.
 
@@ -171,14 +201,22 @@ def send_strings(block: int, texts: list[str], ords: np.ndarray, mail: pa.Table,
     """
     hot = [np.frombuffer(x, PLACE) for x, k in zip(mail.column("x").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == HOT]
     hot = np.sort(np.concatenate(hot), order=["row", "at"]) if hot else np.empty(0, PLACE)
+    crowded = crowded_anchors(mail)
     by_shard: list[dict[bytes, list]] = [{} for _ in range(shards)]
     for i, pick in runs(hot["row"].astype(np.int64)):
         data = (texts[i] or "").encode("utf-8", "replace")
         at = hot["at"][pick].astype(np.int64)
         order = int(ords[i])
         grams = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(GRAM)]
-        where = (gram_hashes_of(grams) % np.uint64(shards)).tolist()
-        for a, s in zip(at.tolist(), where, strict=True):
+        hashes = gram_hashes_of(grams)
+        where = hashes % np.uint64(shards)
+        if len(crowded):
+            split = np.isin(where << np.uint64(32) | hashes >> np.uint64(32), crowded)
+            for a in at[split].tolist():
+                for s, start, stop in split_starts(data, a, shards, width):
+                    by_shard[s].setdefault(data[start:stop], []).append((order, i, start))
+            at, where = at[~split], where[~split]
+        for a, s in zip(at.tolist(), where.tolist(), strict=True):
             start, stop = max(0, a + GRAM - width), min(len(data), a + width)
             if stop - start >= width:
                 by_shard[s].setdefault(data[start:stop], []).append((order, i, start))
@@ -315,7 +353,9 @@ def cut(data: bytes, starts: np.ndarray, bits: np.ndarray, width: int, joiner: b
     return b"".join(out), removed, runs_
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS, joiner: str | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS, joiner: str | None = None, crowd: int = CROWD
+) -> DataFrame:
     """The rows of docs(doc_id, text, ...) with n_bytes, n_removed, n_spans and kept, the bytes that stay.
 
     A byte of a text's UTF-8 goes if it lies in a string of `width` bytes (32 bits of starts allow GRAM < width < 52) that
@@ -362,6 +402,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
         table = unpacked(block)
         return tidy(send_strings(key[0].as_py(), texts_of(table), table.column("ord").to_numpy(), mail, shards, width))
 
+    def answer(rows: pa.Table) -> pa.Table:
+        return tidy(answer_anchors(rows, crowd))
+
     def sort(rows: pa.Table) -> pa.Table:
         return tidy(sort_shard(rows, width))
 
@@ -392,7 +435,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_chars: int = BLOCK_CH
         return tidy(pa.table([*table.select(names).columns, pa.array(sizes, long), pa.array(removed, long), pa.array(spans, long), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"]))
 
     asked = slim.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(ask, ASK)
-    hot = asked.groupBy("shard").applyInArrow(answer_anchors, MAIL)
+    hot = asked.groupBy("shard").applyInArrow(answer, MAIL)
     sent = slim.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(send, SEND)
     marks = sent.groupBy("shard").applyInArrow(sort, MAIL)
     out = slim.groupBy("block").cogroup(copies.unionByName(marks).groupBy("block")).applyInArrow(finish, schema)

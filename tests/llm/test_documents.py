@@ -375,6 +375,34 @@ def test_repeats(docs, width):
     assert got == plain_cut({r[0]: r[1] for r in rows()}, width)
 
 
+@pytest.mark.parametrize("width, crowd", [(50, 2), (50, 20), (30, 2), (51, 2)])
+def test_repeats_around_crowded_anchors(spark, width, crowd):
+    rng = random.Random(width + crowd)
+    line = "this line stands in every text of them, "
+    noise = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    texts = {i: noise(rng.randint(0, 70)) + line[rng.randint(0, 9) :] + noise(rng.choice((0, 3, 9))) + line + noise(rng.randint(0, 70)) for i in range(150)}
+    shared = [noise(20) + line + noise(30) for _ in range(4)]
+    texts |= {200 + i: noise(rng.randint(0, 9)) + rng.choice(shared)[rng.randint(0, 30) :] + noise(rng.randint(0, 9)) for i in range(60)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(frame, width, 3000, 2000, crowd=crowd).collect()}
+    assert got == plain_cut(texts, width) and sum(g[1] for g in got.values())
+
+
+def test_groups_of_starts_meet_in_one_shard():
+    rng = random.Random(8)
+    core = bytes(rng.randrange(97, 123) for _ in range(80))
+    for _ in range(300):
+        left, right = (bytes(rng.randrange(97, 123) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        cut, stop = rng.randint(0, 30), rng.randint(50, 80)
+        data = left + core[cut:stop] + right
+        at = len(left) + 30 - cut  # the anchor's place in core is 30
+        own = {(s, data[i : i + 50]) for s, start, end in suffix.split_starts(data, at, 97, 50) for i in range(start, end - 49)}
+        whole = {(s, core[i : i + 50]) for s, start, end in suffix.split_starts(core, 30, 97, 50) for i in range(start, end - 49)}
+        starts = range(max(0, at - 30), min(at, len(data) - 50) + 1)
+        assert {t for _, t in own} == {data[i : i + 50] for i in starts}
+        assert all((s, t) in own for s, t in whole if t in {t for _, t in own})
+
+
 def test_repeats_of_odd_tables(spark, odd, empty):
     assert suffix.remove_repeats(empty).count() == 0 and suffix.remove_repeats(odd).count() == 4
     long = "abcdefghij" * 12
