@@ -37,6 +37,8 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 COPY, HOT, REMOVE, CROWDED = 0, 1, 2, 3
 #: Places from which on an anchor's starts are split, and starts of a group then.
 CROWD, GROUP = 4096, 8
+#: Tasks that share one group of copies.
+SALTS = 16
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
 
@@ -388,7 +390,9 @@ def remove_repeats(
     keyed = slim.groupBy("block").applyInArrow(keys, "block long, rid long, ord long, k1 long, k2 long")
     firsts = keyed.groupBy(F.col("k1").alias("f1"), F.col("k2").alias("f2")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     none = F.lit(None).cast("binary")
-    copies = keyed.join(firsts, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).filter("ord > first")
+    firsts = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    same = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("r") == F.col("salt"))
+    copies = keyed.withColumn("r", F.expr(f"cast(pmod(block + rid, {SALTS}) AS int)")).join(firsts, same).filter("ord > first")
     copies = copies.select(F.col("block").alias("block"), F.lit(COPY).alias("kind"), F.col("rid").alias("rid"), none.alias("x"), none.alias("y"))
 
     def texts_of(table: pa.Table) -> list[str]:
