@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from gridloom.functions import vectors as V
 from gridloom.lbm import boundaries, uniform, verify
 from gridloom.lbm import multires as level_flow
-from gridloom.lbm.lattice import C19, C27, OPPOSITE_19, W19, W27, Cavity
+from gridloom.lbm.lattice import C19, C27, OPPOSITE_19, OPPOSITE_27, W19, W27, Cavity
 from gridloom.operators import halo, maps, multires, partitions, reductions, staggered, stencils, subsets
 from gridloom.plans.checkpoint import cut
 from gridloom.solver import cg
 from gridloom.sources import cells as source
-from gridloom.spec import COORDS, S6, S7, S19, S27, GridSpec, Stencil
+from gridloom.spec import COORDS, MOORE, S6, S7, S19, S27, GridSpec, Stencil
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,10 +606,23 @@ def _(spark, sf_dir):
     return rows.select(*COORDS, F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9))
 
 
-@register("g110_lbm_export")
+def _cavity_steps(steps: int) -> str:
+    """The cavity's CTEs up to the moments after so many steps, each step's populations under its own number."""
+    head, rest = _CAV.split("\npulled AS (")
+    body, moments = rest.split("\nmom AS (")
+    out = head.replace("cells AS (", "cells AS MATERIALIZED (").replace("\nf AS (", "\nf0 AS MATERIALIZED (").rstrip(",")
+    for k in range(steps + 1):
+        out += f",\npulled{k} AS MATERIALIZED (" + body.rstrip().rstrip(",").replace("JOIN f ", f"JOIN f{k} ")
+        out += f",\nmom{k} AS MATERIALIZED (" + moments.replace("FROM pulled", f"FROM pulled{k}")
+        out += f""",\nf{k + 1} AS MATERIALIZED (SELECT x, y, z, 0 AS kind, q, (1 - o) * g + o * rho * wt * (1 + 3 * cu + 4.5 * cu * cu - 1.5 * (ux * ux + uy * uy + uz * uz)) AS f
+ FROM (SELECT p.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu, {CAVITY.omega!r}::DOUBLE AS o FROM pulled{k} p JOIN mom{k} USING (x, y, z)) UNION ALL SELECT x, y, z, kind, q, f FROM f{k} WHERE kind <> 0)"""
+    return out
+
+
+@register("g110_lbm_export", f"WITH {_cavity_steps(4)} SELECT x, y, z, round(coalesce(rho, CASE WHEN kind = 2 THEN 1 ELSE 0 END), 9) AS rho, round(coalesce(ux, CASE WHEN kind = 2 THEN 0.04::DOUBLE ELSE 0 END), 9) + 0.0::DOUBLE AS ux, round(coalesce(uy, 0), 9) + 0.0::DOUBLE AS uy, round(coalesce(uz, 0), 9) + 0.0::DOUBLE AS uz FROM cells LEFT JOIN mom4 USING (x, y, z)")
 def _(spark, sf_dir):
     rows = uniform.export(uniform.run(uniform.cavity(spark, CAVITY), CAVITY.omega, 4))
-    return rows.select(*COORDS, *[F.round(c, 9).alias(c) for c in ("rho", "ux", "uy", "uz")])
+    return rows.select(*COORDS, *[(F.round(c, 9) + 0.0).alias(c) for c in ("rho", "ux", "uy", "uz")])
 
 
 @register("g111_cavity_init", f"WITH {_CAV} SELECT x, y, z, kind, q, round(f, 12) AS f FROM f")
@@ -664,7 +677,15 @@ def _(spark, sf_dir):
     return levels(spark).groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("refined"), 1)).alias("refined"))
 
 
-@register("g092_balanced")
+_BALANCED = f"""f AS ({CELLS.format(32, 8, 256, 2048)}), corner AS (SELECT i % 2 AS i, i // 2 % 2 AS j, i // 4 AS k FROM range(8) t(i)),
+d AS (SELECT i % 3 - 1 AS dx, i // 3 % 3 - 1 AS dy, i // 9 - 1 AS dz FROM range(27) t(i)),
+given AS (SELECT 0 AS level, x, y, z FROM f WHERE x < 2 UNION SELECT 1, x - x % 4 + 2 * i, y - y % 4 + 2 * j, z - z % 4 + 2 * k FROM f, corner WHERE x < 2 UNION SELECT 2, x - x % 4, y - y % 4, z - z % 4 FROM f),
+asked AS (SELECT level, x, y, z FROM given UNION SELECT up, px - CASE WHEN up < 2 THEN px % (2 << up) - (i << up) ELSE 0 END, py - CASE WHEN up < 2 THEN py % (2 << up) - (j << up) ELSE 0 END, pz - CASE WHEN up < 2 THEN pz % (2 << up) - (k << up) ELSE 0 END
+ FROM (SELECT level + 1 AS up, nx - nx % (2 << level) AS px, ny - ny % (2 << level) AS py, nz - nz % (2 << level) AS pz
+  FROM (SELECT level, x + dx * (1 << level) AS nx, y + dy * (1 << level) AS ny, z + dz * (1 << level) AS nz FROM asked, d WHERE level < 2) WHERE nx BETWEEN 0 AND 31 AND ny BETWEEN 0 AND 7 AND nz BETWEEN 0 AND 7), corner)"""
+
+
+@register("g092_balanced", f"WITH RECURSIVE {_BALANCED} SELECT CAST(a.level AS INTEGER) AS level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, c.level IS NOT NULL AS refined FROM asked a LEFT JOIN (SELECT DISTINCT level + 1 AS level, x - x % (2 << level) AS x, y - y % (2 << level) AS y, z - z % (2 << level) AS z FROM asked WHERE level < 2) c USING (level, x, y, z)")
 def _(spark, sf_dir):
     return multires.build(spark, GridSpec(32, 8, 8), [F.col("x") < 2, F.lit(False), F.lit(True)], True)
 
@@ -722,17 +743,23 @@ def _(spark, sf_dir):
     return rows.select(*COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
 
 
-@register("g108_collide_kbc")
+_KBC = f"""{_fluid_sql(C27, W27)}, r AS (SELECT *, f - eq AS rest FROM (SELECT *, {_EQ} AS eq FROM (SELECT f.*, rho, ux, uy, uz, cx * ux + cy * uy + cz * uz AS cu FROM f JOIN mom USING (x, y, z)))),
+flux AS (SELECT x, y, z, sum(rest * cx * cx) AS xx, sum(rest * cx * cy) AS xy, sum(rest * cx * cz) AS xz, sum(rest * cy * cy) AS yy, sum(rest * cy * cz) AS yz, sum(rest * cz * cz) AS zz FROM r GROUP BY x, y, z),
+parted AS (SELECT *, rest - s AS h FROM (SELECT r.*, rho * CASE abs(cx) + abs(cy) + abs(cz) WHEN 1 THEN ((3 * cx * cx - 1) * xx + (3 * cy * cy - 1) * yy + (3 * cz * cz - 1) * zz) / 6 WHEN 2 THEN (cx * cy * xy + cx * cz * xz + cy * cz * yz) / 4 ELSE 0 END AS s FROM r JOIN flux USING (x, y, z))),
+gamma AS (SELECT x, y, z, 1 / 0.85::DOUBLE - (2 - 1 / 0.85::DOUBLE) * sum(s * h / eq) / (1e-7::DOUBLE + sum(h * h / eq)) AS gamma FROM parted GROUP BY x, y, z)"""
+
+
+@register("g108_collide_kbc", f"WITH {_KBC} SELECT x, y, z, q, round(f - 0.85::DOUBLE * (2 * s + gamma * h), 9) AS o FROM parted JOIN gamma USING (x, y, z)")
 def _(spark, sf_dir):
     rows = level_flow.collide_kbc(_fluid(spark, sf_dir, C27, W27), C27, W27, 1.7)
     return rows.select(*COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
 
 
-@register("g113_flow_over_sphere")
+@register("g113_flow_over_sphere", f"WITH {_LAT}, c AS (SELECT *, CASE WHEN y IN (0, 10) OR z IN (0, 10) OR (x - 8) * (x - 8) + (y - 5) * (y - 5) + (z - 5) * (z - 5) <= 6.25 THEN 1 WHEN x = 0 THEN 2 ELSE 0 END AS kind FROM ({CELLS.format(20, 11, 220, 2420)})) SELECT x, y, z, kind, q, round(CASE kind WHEN 0 THEN wt WHEN 2 THEN -6 * wt * 0.05 * cx ELSE 0 END, 9) + 0.0::DOUBLE AS f FROM c CROSS JOIN lat")
 def _(spark, sf_dir):
     ball = source.signed_distance("sphere", (8, 5, 5), 2.5) <= 0
     cells = level_flow.flow_over(source.dense(spark, GridSpec(20, 11, 11)), (20, 11, 11), ball, 0.05, C19, W19)
-    return cells.select(*COORDS, "kind", F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 9).alias("mass"))
+    return cells.select(*COORDS, "kind", F.posexplode("f").alias("q", "f")).withColumn("f", F.round("f", 9) + 0.0)
 
 
 def _two_levels(spark: SparkSession) -> DataFrame:
@@ -740,21 +767,31 @@ def _two_levels(spark: SparkSession) -> DataFrame:
     return level_flow.at_rest(cells, (12, 8, 8), 2, C19, W19, 0.05)
 
 
-@register("g116_store_weights")
+_TWO = f"""{_LAT}, cells AS (SELECT 0 AS level, x, y, z, 1 AS w, false AS refined FROM ({CELLS.format(6, 8, 48, 384)}) UNION ALL SELECT 1, 2 * x, 2 * y, 2 * z, 2, x < 3 FROM ({CELLS.format(6, 4, 24, 96)})),
+o AS (SELECT level, x, y, z, refined, q, cx, cy, cz, CASE WHEN NOT face AND NOT refined THEN wt WHEN face AND y + w >= 8 THEN -6 * wt * 0.05 * cx ELSE 0 END AS o
+ FROM (SELECT *, x = 0 OR y = 0 OR z = 0 OR x + w >= 12 OR y + w >= 8 OR z + w >= 8 AS face FROM cells) CROSS JOIN lat),
+pushed AS (SELECT *, CAST(2 * floor((x + cx) / 2) AS INTEGER) - 2 * cx AS sx, CAST(2 * floor((y + cy) / 2) AS INTEGER) - 2 * cy AS sy, CAST(2 * floor((z + cz) / 2) AS INTEGER) - 2 * cz AS sz FROM o WHERE level = 0 AND q <> 9),
+sent AS (SELECT q, o, sx, sy, sz, x + CAST(floor((sx - x + x % 2) / 2) AS INTEGER) AS kx, y + CAST(floor((sy - y + y % 2) / 2) AS INTEGER) AS ky, z + CAST(floor((sz - z + z % 2) / 2) AS INTEGER) AS kz FROM pushed p
+ WHERE NOT EXISTS (FROM cells n WHERE n.level = 0 AND n.x = p.x + p.cx AND n.y = p.y + p.cy AND n.z = p.z + p.cz)
+ AND EXISTS (FROM cells n WHERE n.level = 1 AND n.x = p.sx + 2 * p.cx AND n.y = p.sy + 2 * p.cy AND n.z = p.sz + 2 * p.cz) AND EXISTS (FROM cells n WHERE n.level = 1 AND n.x = p.sx AND n.y = p.sy AND n.z = p.sz))"""
+_STORED = "SELECT CAST(o.level AS INTEGER) AS level, o.x, o.y, o.z, o.q, round(o.o + coalesce(a.v, 0), 9) + 0.0::DOUBLE AS o FROM o LEFT JOIN a ON a.sx = o.x AND a.sy = o.y AND a.sz = o.z AND a.q = o.q WHERE o.level = 1 AND o.refined"
+
+
+@register("g116_store_weights", f"WITH {_TWO} SELECT CAST(1 AS INTEGER) AS level, sx AS x, sy AS y, sz AS z, q, 1 / (2 * CAST(count(*) AS DOUBLE)) AS weight FROM sent GROUP BY sx, sy, sz, q")
 def _(spark, sf_dir):
     return _two_levels(spark).select(*multires.LEVEL_COORDS, F.posexplode("weight").alias("q", "weight")).filter("weight > 0")
 
 
-@register("g115_store_fine")
+@register("g115_store_fine", f"WITH {_TWO}, a AS (SELECT sx, sy, sz, q, sum(o) AS v FROM sent s WHERE EXISTS (FROM cells n WHERE n.level = 0 AND n.x = s.kx AND n.y = s.ky AND n.z = s.kz) GROUP BY sx, sy, sz, q) {_STORED}")
 def _(spark, sf_dir):
     rows = level_flow.store_fine(_two_levels(spark), 0, C19).filter("refined")
-    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9) + 0.0)
 
 
-@register("g114_store_coarse")
+@register("g114_store_coarse", f"WITH {_TWO}, a AS (SELECT sx, sy, sz, q, avg(o) AS v FROM sent GROUP BY sx, sy, sz, q) {_STORED}")
 def _(spark, sf_dir):
     rows = level_flow.store_coarse(_two_levels(spark), 1, C19).filter("refined")
-    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9))
+    return rows.select(*multires.LEVEL_COORDS, F.posexplode("o").alias("q", "o")).withColumn("o", F.round("o", 9) + 0.0)
 
 
 @register("g117_explosion_coalescence_stream")
@@ -799,6 +836,34 @@ def _(spark, sf_dir):
     return maps.apply(orders(spark, sf_dir), maps.add("v", "w", "c")).select(*COORDS, "c")
 
 
+@register("g043_static_offset", f"WITH {G}, {around(Stencil(((-2, 1, 0),)), 'g')} SELECT x, y, z, v, CASE WHEN ok THEN nv ELSE -1 END AS value, ok AS valid FROM nb")
+def _(spark, sf_dir):
+    return stencils.neighbour(orders(spark, sf_dir), (-2, 1, 0), "v", F.lit(-1).cast("long"))
+
+
+@register("g048_stencil_algebra", "SELECT * FROM (VALUES (0, 0, 0, 0), (1, 0, 0, -1), (2, 0, 0, 1), (3, 0, -1, 0), (4, 0, 1, 0), (5, -1, 0, 0), (6, 1, 0, 0), (7, -1, -1, 0), (8, -1, 1, 0), (9, 1, -1, 0), (10, 1, 1, 0), (11, 2, 0, 0)) t(slot, dx, dy, dz)")
+def _(spark, sf_dir):
+    joined = Stencil.union(S7, MOORE).add((1, 1, 0)).add((2, 0, 0))
+    return spark.createDataFrame([(joined.find(o), *o) for o in joined], "slot int, dx int, dy int, dz int")
+
+
+@register("g079_inside_box", f"WITH {G} SELECT x, y, z, x >= 3 AND y < 23 AND z BETWEEN 1 AND 2 AS inside FROM g")
+def _(spark, sf_dir):
+    box = GridSpec(25, 25, 2)
+    return orders(spark, sf_dir).select(*COORDS, box.inside(F.col("x") - 3, F.col("y") + 2, F.col("z") - 1).alias("inside"))
+
+
+@register("g102_lattice", "SELECT CAST(9 * i + 3 * j + k AS INTEGER) AS q, CAST([0, -1, 1][i + 1] AS INTEGER) AS cx, CAST([0, -1, 1][j + 1] AS INTEGER) AS cy, CAST([0, -1, 1][k + 1] AS INTEGER) AS cz, [8 / 27::DOUBLE, 2 / 27::DOUBLE, 1 / 54::DOUBLE, 1 / 216::DOUBLE][1 + least(i, 1) + least(j, 1) + least(k, 1)] AS wt, CAST(9 * ((3 - i) % 3) + 3 * ((3 - j) % 3) + (3 - k) % 3 AS INTEGER) AS op FROM range(3) a(i), range(3) b(j), range(3) c(k)")
+def _(spark, sf_dir):
+    rows = [(q, *c, w, o) for q, (c, w, o) in enumerate(zip(C27, W27, OPPOSITE_27, strict=True))]
+    return spark.createDataFrame(rows, "q int, cx int, cy int, cz int, wt double, op int")
+
+
+@register("g132_fold_with", f"WITH {G}, {around(S27, 'g')} SELECT x, y, z, v, max(nv) FILTER (ok) AS total, count(*) FILTER (ok) AS neighbours FROM nb GROUP BY x, y, z, v")
+def _(spark, sf_dir):
+    return stencils.fold(orders(spark, sf_dir), S27, "v", fn=F.max).select(*COORDS, "v", "total", "neighbours")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
