@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.lbm.uniform import BOUNCE_BACK, BULK, MOVING_WALL
 from gridloom.operators.multires import LEVEL_COORDS, omega, width
 from gridloom.plans.checkpoint import cut
-from gridloom.spec import COORDS
+from gridloom.spec import COORDS, GridSpec
 
 Lattice = tuple[tuple[tuple[int, int, int], ...], tuple[float, ...], tuple[int, ...]]
 
@@ -236,3 +236,13 @@ def flow_over(cells: DataFrame, dims: Sequence[int], solid: Column, speed: float
     kind = F.when(walls | solid, BOUNCE_BACK).when(F.col("x") == 0, MOVING_WALL).otherwise(BULK)
     start = [F.when(kind == BULK, t).when(kind == MOVING_WALL, -6.0 * t * speed * d[0]).otherwise(0.0) for t, d in zip(w, c, strict=True)]
     return cells.withColumn("kind", kind).withColumn("f", F.array(*start)).withColumn("o", F.col("f"))
+
+
+def centre_line(cells: DataFrame, grid: GridSpec, along: str, value: str, lid: float) -> DataFrame:
+    """level, pos and value of the cells of all levels whose origins lie on the middle line, in units of the box and the lid's speed."""
+    size = dict(zip(COORDS, (grid.nx, grid.ny, grid.nz), strict=True))
+    on = F.lit(True)
+    for c in COORDS:
+        if c != along:
+            on = on & (F.col(c) == size[c] // 2)
+    return cells.filter(on).select("level", (F.col(along) / F.lit(float(size[along]))).alias("pos"), (F.col(value) / F.lit(float(lid))).alias("value"))

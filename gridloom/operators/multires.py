@@ -5,17 +5,20 @@ A cell of level l is 2^l wide. Its parent's origin is its own, rounded down to a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.checkpoint import cut
+from gridloom.operators.stencils import gather
 from gridloom.sources.cells import dense
-from gridloom.spec import COORDS, S27, GridSpec
+from gridloom.spec import COORDS, S6, S27, GridSpec, Stencil
 
 LEVEL_COORDS = ("level", *COORDS)
+#: What an operator on one level may read: its own cells, their neighbours too, their parents, or their children.
+MAP, STENCIL, STENCIL_UP, STENCIL_DOWN = "map", "stencil", "stencil_up", "stencil_down"
 
 
 def width(level: Column | str = "level") -> Column:
@@ -130,12 +133,12 @@ def with_parent(cells: DataFrame, column: str, shift: tuple[int, int, int] = (0,
     return joined.drop("_p", "p_level", *[f"p_{c}" for c in COORDS])
 
 
-def children(cells: DataFrame, column: str) -> DataFrame:
-    """Per cell that has some: its children's number, sum and values by local index."""
+def children(cells: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """Per cell that has some (with how="left": all cells): its children's number, sum and values by local index."""
     down = cells.select(*parent_coords(), local_index().alias("i"), F.col(column).alias("v"))
     kids = down.groupBy("p_level", *[f"p_{c}" for c in COORDS]).agg(F.count(F.lit(1)).alias("children"), F.sum("v").alias("child_sum"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("i", "v")))).alias("child_values"))
     kids = kids.select(F.col("p_level").alias("level"), *[F.col(f"p_{c}").alias(c) for c in COORDS], "children", "child_sum", "child_values")
-    return cells.join(kids, list(LEVEL_COORDS))
+    return cells.join(kids, list(LEVEL_COORDS), how)
 
 
 def accumulate_to_parents(cells: DataFrame, column: str) -> DataFrame:
@@ -151,6 +154,51 @@ def write_children(cells: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.when(F.col("has_parent"), F.col("parent_value")).otherwise(F.col(column))).drop("parent_value", "has_parent")
 
 
+def new_field(cells: DataFrame, values: Sequence[Column | float], name: str = "c") -> DataFrame:
+    """A field with a value of its own for each level, finest first; a level without one is null."""
+    value = F.lit(None)
+    for level, v in enumerate(values):
+        value = F.when(F.col("level") == level, v).otherwise(value)
+    return cells.withColumn(name, value)
+
+
+def load(cells: DataFrame, level: int, depth: int, column: str, mode: str = MAP, stencil: Stencil = S6) -> DataFrame:
+    """One level's cells with what the mode lets them read of a column.
+
+    MAP: their own columns. STENCIL: also n<k>_<column> and valid<k> for each neighbour k of the level. STENCIL_UP: also
+    parent_value and has_parent; the coarsest level has none to read. STENCIL_DOWN: also children, child_sum and
+    child_values, null in cells that aren't refined; the finest level has none.
+    """
+    if not 0 <= level < depth:
+        raise ValueError(f"no such level: {level}")
+    if mode == MAP:
+        return cells.filter(F.col("level") == level)
+    if mode == STENCIL:
+        own = cells.filter(F.col("level") == level)
+        return gather(own, stencil, [column], ["level"], 1 << level, [c for c in cells.columns if c not in (*LEVEL_COORDS, column)])
+    if mode == STENCIL_UP:
+        if level == depth - 1:
+            raise ValueError("the coarsest level has no parents")
+        return with_parent(cells.filter(F.col("level").isin(level, level + 1)), column).filter(F.col("level") == level)
+    if mode == STENCIL_DOWN:
+        if level == 0:
+            raise ValueError("the finest level has no children")
+        return children(cells.filter(F.col("level").isin(level - 1, level)), column, "left").filter(F.col("level") == level)
+    raise ValueError(f"unknown load mode: {mode}")
+
+
+def on_level(cells: DataFrame, level: int, depth: int, reads: str, writes: str, value: Callable[[DataFrame], Column], mode: str = MAP, stencil: Stencil = S6) -> DataFrame:
+    """All cells, with `writes` of one level set from what the mode loads of `reads`; other levels keep theirs.
+
+    A stencil can't write the column that it reads.
+    """
+    if mode == STENCIL and reads == writes:
+        raise ValueError("a stencil can't write the field that it reads")
+    loaded = load(cells, level, depth, reads, mode, stencil)
+    changed = loaded.withColumn(writes, value(loaded)).select(*dict.fromkeys([*cells.columns, writes]))
+    return cells.filter(F.col("level") != level).unionByName(changed, allowMissingColumns=True)
+
+
 def uncle_offset(i: int, q: int) -> int:
     s = i + q
     return s if s <= 0 else s - 1

@@ -89,6 +89,21 @@ def properties(cells: DataFrame, bounds: list[tuple[int, int]], radius: int = 1)
     return cells.select(*COORDS, slab_of(bounds).alias("slab"), data_view(bounds, radius).alias("data_view"), direction(bounds, radius).alias("side"))
 
 
+def halo_update(field: DataFrame, bounds: list[tuple[int, int]], radius: int = 1, semantic: str = "standard") -> DataFrame:
+    """slab, ghost and the field's columns: every slab's own cells, and copies of its neighbours' planes within the radius.
+
+    Each boundary cell is sent to the slab beyond its face, so no shuffle is needed. Stencils don't need ghosts, since they
+    exchange by themselves; this is for engines that take a slab with its halo. Only the standard semantic exists.
+    """
+    if semantic != "standard":
+        raise ValueError(f"unknown semantic: {semantic}")
+    side, own = direction(bounds, radius), slab_of(bounds)
+    beyond = F.when(side == "DOWN", F.array(own, own - 1)).when(side == "UP", F.array(own, own + 1)).otherwise(F.array(own))
+    if len(bounds) > 1 and any(high - low < 2 * radius for low, high in bounds):
+        raise ValueError("a slab is thinner than its boundaries")
+    return field.filter(own.isNotNull()).select(F.posexplode(beyond).alias("_copy", "slab"), "*").withColumn("ghost", F.col("_copy") > 0).drop("_copy")
+
+
 def place(cells: DataFrame, parts: int) -> DataFrame:
     """Rows in ranges of z, as the slabs are."""
     return cells.repartitionByRange(parts, "z")

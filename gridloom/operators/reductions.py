@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from gridloom.spec import COORDS, GridSpec
 
 
+def check_numbers(field: DataFrame, *columns: str) -> None:
+    """Operands of a reduction must be numbers of one type."""
+    kinds = {c: field.schema[c].dataType for c in columns}
+    if not all(isinstance(k, NumericType) for k in kinds.values()) or len(set(kinds.values())) > 1:
+        raise TypeError(f"not numbers of one type: {({c: k.simpleString() for c, k in kinds.items()})}")
+
+
 def dot(field: DataFrame, a: str, b: str, out: str = "dot") -> DataFrame:
+    check_numbers(field, a, b)
     return field.agg(F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).alias(out))
 
 
 def norm2(field: DataFrame, a: str, out: str = "norm2") -> DataFrame:
+    check_numbers(field, a)
     return field.agg(F.sqrt(F.coalesce(F.sum(F.col(a) * F.col(a)), F.lit(0)).cast("double")).alias(out))
 
 
 def absolute_sum(field: DataFrame, a: str, out: str = "abs_sum") -> DataFrame:
+    check_numbers(field, a)
     return field.agg(F.coalesce(F.sum(F.abs(a)), F.lit(0)).alias(out))
 
 
@@ -29,11 +44,37 @@ def in_range(field: DataFrame, grid: GridSpec, start: int, count: int) -> DataFr
 
 def check_same_grid(a: DataFrame, b: DataFrame) -> None:
     """Operands of a reduction must live on the same cells."""
-    n = a.select(*COORDS).exceptAll(b.select(*COORDS)).limit(1).count() + b.select(*COORDS).exceptAll(a.select(*COORDS)).limit(1).count()
-    if n:
+    if grid_differences(a, b).limit(1).count():
         raise ValueError("the fields have different cells")
 
 
+def grid_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """x, y, z and count: the cells that one field has more often than the other; positive where that is the first."""
+    both = a.select(*COORDS, F.lit(1).alias("n")).unionByName(b.select(*COORDS, F.lit(-1).alias("n")))
+    return both.groupBy(*COORDS).agg(F.sum("n").alias("count")).filter("count <> 0")
+
+
+def reduce_with(field: DataFrame, column: str, op: np.ufunc, neutral: float, out: str = "value") -> DataFrame:
+    """One row: a column folded by any associative and commutative NumPy operation; nulls are left out.
+
+    Every partition folds its own batches to one row, and one task folds those rows.
+    """
+    check_numbers(field, column)
+    kind = field.schema[column].dataType
+    dtype = to_arrow_type(kind)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = neutral
+        for b in batches:
+            values = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            if len(values):
+                got = op(got, op.reduce(values))
+        yield pa.RecordBatch.from_arrays([pa.array([got], dtype)], names=[out])
+
+    schema = f"{out} {kind.simpleString()}"
+    return field.select(column).mapInArrow(fold, schema).repartition(1).mapInArrow(fold, schema)
+
+
 def by_view(field: DataFrame, value: Column, view: str = "data_view") -> DataFrame:
     """Sums per data view, and over all as STANDARD, from one aggregation."""
     sums = field.select(F.col(view).alias("v"), value.alias("_x")).rollup("v").agg(F.coalesce(F.sum("_x"), F.lit(0)).alias("total"), F.grouping("v").alias("_g"))

@@ -46,3 +46,19 @@ def voxel_of_node(nodes: DataFrame, voxels: DataFrame, corner: tuple[int, int, i
     moved = voxels.select(*[a.cast("int").alias(c) for a, c in zip(shift, COORDS, strict=True)], F.col(column).alias("_v"), F.lit(True).alias("_ok"))
     joined = nodes.select(*COORDS).join(moved, list(COORDS), "left")
     return joined.select(*COORDS, F.when(F.col("_ok"), F.col("_v")).otherwise(F.lit(alternative)).alias("value"), F.coalesce("_ok", F.lit(False)).alias("valid"))
+
+
+def add_constant(rows: DataFrame, columns: list[str], value: float) -> DataFrame:
+    """Nodes or voxels with a constant added to each column."""
+    return rows.withColumns({c: F.col(c) + F.lit(value) for c in columns})
+
+
+def id_check(nodes: DataFrame, voxels: DataFrame, ids: tuple[str, str, str]) -> DataFrame:
+    """Per voxel the nodes at its corners whose ids are their own coordinates (matches) and those whose aren't (mismatches)."""
+    right = F.lit(True)
+    for c, i in zip(COORDS, ids, strict=True):
+        right = right & F.col(i).eqNullSafe(F.col(c))
+    sent = _explode(nodes.select(*COORDS, right.cast("int").alias("_right")), -1, ["_right"])
+    seen = sent.groupBy(*COORDS).agg(F.sum("_right").alias("matches"), F.sum(1 - F.col("_right")).alias("mismatches"))
+    none = F.lit(0).cast("long")
+    return voxels.select(*COORDS).join(seen, list(COORDS), "left").select(*COORDS, F.coalesce("matches", none).alias("matches"), F.coalesce("mismatches", none).alias("mismatches"))

@@ -158,13 +158,6 @@ def neighbour_flags(cells: DataFrame, offset: tuple[int, int, int]) -> DataFrame
     return got.select(*COORDS, flag.alias("flag"))
 
 
-def halo_update(field: DataFrame, semantic: str = "standard") -> DataFrame:
-    """Nothing to do: neighbours are exchanged by the stencil's own shuffle. Both semantics are accepted."""
-    if semantic not in ("standard", "streaming"):
-        raise ValueError(f"unknown semantic: {semantic}")
-    return field
-
-
 def periodic_z(field: DataFrame, grid: GridSpec, column: str) -> DataFrame:
     """in(z-1) + in(z+1) with the box wrapped along z."""
     rows = field.select("x", "y", F.explode(F.array(F.pmod(F.col("z") + 1, F.lit(grid.nz)), F.pmod(F.col("z") - 1, F.lit(grid.nz)))).alias("z"), F.col(column).alias("_v"))

@@ -55,6 +55,50 @@ class Pipeline:
         self.manual.append((before, after))
         return self
 
+    def add(self, step: Operator | Pipeline) -> Pipeline:
+        self.steps.append(step)
+        return self
+
+    def clone(self, name: str | None = None) -> Pipeline:
+        """A copy whose steps and nested plans can be changed on their own."""
+        steps = [s.clone() if isinstance(s, Pipeline) else s for s in self.steps]
+        return Pipeline(name or self.name, self.occ, steps, list(self.manual))
+
+    def remove(self, name: str) -> Pipeline:
+        """Drops the steps of a name, here or in nested plans, with the edges that were set by hand to what goes."""
+        gone: set[str] = set()
+
+        def walk(plan: Pipeline) -> None:
+            kept = []
+            for s in plan.steps:
+                if s.name == name:
+                    gone.update([s.name, *(o.name for o in s.flat())] if isinstance(s, Pipeline) else [s.name])
+                    continue
+                if isinstance(s, Pipeline):
+                    walk(s)
+                kept.append(s)
+            plan.steps = kept
+
+        def forget(plan: Pipeline) -> None:
+            plan.manual = [e for e in plan.manual if not gone & set(e)]
+            for s in plan.steps:
+                if isinstance(s, Pipeline):
+                    forget(s)
+
+        walk(self)
+        if not gone:
+            raise KeyError(f"no such step: {name}")
+        forget(self)
+        return self
+
+    def edges(self) -> list[tuple[str, str]]:
+        """The edges set by hand, those of nested plans included."""
+        return [*self.manual, *[e for s in self.steps if isinstance(s, Pipeline) for e in s.edges()]]
+
+    def expand(self) -> Pipeline:
+        """The same plan with nested ones replaced by their operators."""
+        return Pipeline(self.name, self.occ, list(self.flat()), self.edges())
+
     def flat(self) -> list[Operator]:
         return [o for s in self.steps for o in (s.flat() if isinstance(s, Pipeline) else [s])]
 
@@ -92,7 +136,7 @@ class Pipeline:
                     if data in earlier.reads and data in later.writes:
                         edges.setdefault((i, j), "WAR")
         number = {o.name: i for i, o in enumerate(ops)}
-        edges.update({(number[a], number[b]): "manual" for a, b in self.manual})
+        edges.update({(number[a], number[b]): "manual" for a, b in self.edges()})
         after = {i: {j for (a, j) in edges if a == i} for i in range(len(ops))}
 
         def reach(i: int, seen: set[int]) -> set[int]:

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from gridloom.operators import halo, maps, multires, partitions, reductions, sta
 from gridloom.plans.checkpoint import cut
 from gridloom.solver import cg
 from gridloom.sources import cells as source
+from gridloom.sources import sinks
 from gridloom.spec import COORDS, MOORE, S6, S7, S19, S27, GridSpec, Stencil
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,9 +309,13 @@ def _(spark, sf_dir):
     return staggered.voxel_of_node(staggered.nodes_of(p), p, (-1, 1, -1), "v", -3)
 
 
-@register("g057_halo_update", f"WITH {G} SELECT x, y, z, v, w FROM g")
+_QUARTERS = "n AS (SELECT max(z) + 1 AS nz FROM g), b AS (SELECT CAST(k AS INTEGER) AS slab, k * (nz // 4) + least(k, nz % 4) AS low, (k + 1) * (nz // 4) + least(k + 1, nz % 4) AS high FROM n, range(4) t(k))"
+
+
+@register("g057_halo_update", f"WITH {TALL}, {_QUARTERS} SELECT slab, x, y, z, v, NOT z BETWEEN low AND high - 1 AS ghost FROM g JOIN b ON z >= low - 2 AND z < high + 2")
 def _(spark, sf_dir):
-    return stencils.halo_update(orders(spark, sf_dir), "streaming")
+    field = tower(spark, sf_dir).select(*COORDS, "v")
+    return partitions.halo_update(field, partitions.slab_bounds(height(field), 4), 2)
 
 
 @register("g058_periodic_z", f"WITH {G}, h AS (SELECT max(z) + 1 AS n FROM g) SELECT c.x, c.y, c.z, CAST(sum(g.v) AS BIGINT) AS value FROM g c, h JOIN g ON g.x = c.x AND g.y = c.y AND (g.z = (c.z + 1) % h.n OR g.z = (c.z + h.n - 1) % h.n) GROUP BY c.x, c.y, c.z".replace("FROM g c, h JOIN g ON", "FROM g c CROSS JOIN h JOIN g ON"))
@@ -864,6 +870,74 @@ def _(spark, sf_dir):
     return stencils.fold(orders(spark, sf_dir), S27, "v", fn=F.max).select(*COORDS, "v", "total", "neighbours")
 
 
+@register("g010_dense_round_trip", f"WITH {G} SELECT x, y, z, v::DOUBLE AS c0, w::DOUBLE AS c1 FROM g WHERE z < 2")
+def _(spark, sf_dir):
+    field = orders(spark, sf_dir).filter("z < 2")
+    grid = GridSpec(25, 25, 2)
+    return source.from_dense(spark, field.select(*COORDS), source.to_dense(spark, grid, field, ["v", "w"]))
+
+
+@register("g013_vtk_text", f"WITH {G}, n AS (SELECT max(z) AS top FROM g), c AS (SELECT CAST(i % 25 AS INTEGER) AS x, CAST(i // 25 AS INTEGER) AS y FROM range(625) t(i)), p AS (SELECT DISTINCT z FROM g) SELECT p.z, md5(string_agg(coalesce(g.v, -1) || ' ' || coalesce(g.w, -1) || chr(10), '' ORDER BY c.y, c.x)) AS digest FROM p CROSS JOIN c LEFT JOIN g ON g.x = c.x AND g.y = c.y AND g.z = p.z GROUP BY p.z")
+def _(spark, sf_dir):
+    field = orders(spark, sf_dir)
+    return sinks.encoded(field, GridSpec(25, 25, height(field)), ["v", "w"], sinks.TEXT, -1.0).select("z", F.md5("data").alias("digest"))
+
+
+@register("g015_domain_field", f"WITH {TALL}, {_QUARTERS} SELECT z, md5(string_agg(slab || chr(10), '' ORDER BY i)) AS digest FROM (SELECT p.z, i, coalesce(CASE WHEN g.x IS NOT NULL THEN slab END, -1) AS slab FROM (SELECT DISTINCT z FROM g) p CROSS JOIN range(25) t(i) JOIN b ON p.z >= low AND p.z < high LEFT JOIN g ON g.x = i % 5 AND g.y = i // 5 AND g.z = p.z) GROUP BY z")
+def _(spark, sf_dir):
+    cells = tower(spark, sf_dir)
+    nz = height(cells)
+    field = cells.select(*COORDS, partitions.dense_slab(nz, 4).alias("domain"))
+    return sinks.encoded(field, GridSpec(5, 5, nz), ["domain"], sinks.TEXT, -1.0).select("z", F.md5("data").alias("digest"))
+
+
+@register("g063_same_grid", f"WITH {G}, a AS (SELECT x, y, z FROM g WHERE v % 3 <> 0), b AS (SELECT x, y, z FROM g WHERE v % 5 <> 0) SELECT x, y, z, CAST(1 AS BIGINT) AS count FROM (FROM a EXCEPT FROM b) UNION ALL SELECT x, y, z, CAST(-1 AS BIGINT) FROM (FROM b EXCEPT FROM a)")
+def _(spark, sf_dir):
+    g = orders(spark, sf_dir)
+    return reductions.grid_differences(g.filter("v % 3 <> 0"), g.filter("v % 5 <> 0"))
+
+
+_LOADED = f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UP}, d AS (SELECT px, py, pz, sum(w) AS s FROM u WHERE level = 0 GROUP BY px, py, pz)"
+
+
+@register("g093_load_modes", f"""{_LOADED}, q AS (SELECT 'map' AS mode, x, y, z, w AS value FROM v WHERE level = 1
+UNION ALL SELECT 'stencil', a.x, a.y, a.z, sum(coalesce(b.w, 0)) FROM v a CROSS JOIN (VALUES {', '.join(str(o) for o in S6.offsets)}) o(dx, dy, dz) LEFT JOIN v b ON b.level = a.level AND b.x = a.x + 2 * dx AND b.y = a.y + 2 * dy AND b.z = a.z + 2 * dz WHERE a.level = 1 GROUP BY a.x, a.y, a.z
+UNION ALL SELECT 'stencil_up', a.x, a.y, a.z, coalesce(b.w, -1) FROM u a LEFT JOIN v b ON {_TO_UP} WHERE a.level = 1
+UNION ALL SELECT 'stencil_down', v.x, v.y, v.z, coalesce(s, -1) FROM v LEFT JOIN d ON x = px AND y = py AND z = pz WHERE level = 1)
+SELECT mode, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, CAST(value AS BIGINT) AS value FROM q""")
+def _(spark, sf_dir):
+    m = levels(spark).withColumn("w", F.col("level") * 1000 + F.col("x") + F.col("y") + F.col("z"))
+    near = reduce(lambda a, b: a + b, [F.coalesce(f"n{k}_w", F.lit(0)) for k in range(len(S6))])
+    values = {multires.MAP: F.col("w"), multires.STENCIL: near, multires.STENCIL_UP: F.coalesce("parent_value", F.lit(-1)), multires.STENCIL_DOWN: F.coalesce("child_sum", F.lit(-1))}
+    return reduce(DataFrame.unionByName, [multires.load(m, 1, 3, "w", k).select(F.lit(k).alias("mode"), *COORDS, v.cast("long").alias("value")) for k, v in values.items()])
+
+
+@register("g100_level_field", f"WITH {_ML}, v AS (SELECT *, 10 * (level + 1) AS w FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(a.w + CASE WHEN a.level = 0 THEN 7 WHEN a.level = 1 THEN coalesce(b.w, 0) ELSE 0 END AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
+def _(spark, sf_dir):
+    m = multires.new_field(levels(spark).drop("refined"), [10, 20, 30], "w")
+    m = multires.on_level(m, 1, 3, "w", "w", lambda r: F.col("w") + F.coalesce("parent_value", F.lit(0)), multires.STENCIL_UP)
+    return multires.on_level(m, 0, 3, "w", "w", lambda r: F.col("w") + 7)
+
+
+@register("g132_reduce_with", f"WITH {G} SELECT bit_xor(v) AS value FROM g")
+def _(spark, sf_dir):
+    return reductions.reduce_with(orders(spark, sf_dir), "v", np.bitwise_xor, 0)
+
+
+@register("g148_staggered_ids", f"WITH {PART}, n AS (SELECT DISTINCT x + a AS x, y + b AS y, z + c AS z FROM p, range(2) i(a), range(2) j(b), range(2) k(c)) SELECT p.x, p.y, p.z, count(*) FILTER (n.x % 5 <> 0) AS matches, count(*) FILTER (n.x % 5 = 0) AS mismatches FROM p JOIN n ON n.x - p.x BETWEEN 0 AND 1 AND n.y - p.y BETWEEN 0 AND 1 AND n.z - p.z BETWEEN 0 AND 1 GROUP BY p.x, p.y, p.z")
+def _(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    nodes = staggered.nodes_of(p).withColumns({f"i{c}": F.col(c) for c in COORDS})
+    nodes = staggered.add_constant(nodes, ["ix"], 1).withColumn("ix", F.when(F.col("x") % 5 == 0, F.col("ix")).otherwise(F.col("ix") - 1))
+    return staggered.id_check(nodes, p, ("ix", "iy", "iz"))
+
+
+@register("g153_level_centre_line", f"WITH {_ML} SELECT level, x / 24::DOUBLE AS pos, (level + x) / 0.5::DOUBLE AS value FROM m WHERE y = 12 AND z = 12")
+def _(spark, sf_dir):
+    m = levels(spark).withColumn("u", (F.col("level") + F.col("x")).cast("double"))
+    return level_flow.centre_line(m, LEVELS, "x", "u", 0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,9 +122,10 @@ def seeded(low: int, high: int, seed: int = 0) -> Column:
 def to_dense(spark: SparkSession, grid: GridSpec, field: DataFrame, columns: Sequence[str], outside: float = 0.0) -> np.ndarray:
     """A field as a NumPy array [component, z, y, x]; for boxes that fit the driver."""
     out = np.full((len(columns), grid.nz, grid.ny, grid.nx), outside)
-    for row in field.select(*COORDS, *columns).toLocalIterator():
-        for i, c in enumerate(columns):
-            out[i, row["z"], row["y"], row["x"]] = row[c]
+    table = field.select(*COORDS, *columns).toArrow()
+    x, y, z = (table.column(k).to_numpy() for k in range(3))
+    for i in range(len(columns)):
+        out[i, z, y, x] = table.column(3 + i).to_numpy()
     return out
 
 
@@ -131,9 +133,8 @@ def from_dense(spark: SparkSession, cells: DataFrame, values: np.ndarray, name:
     """Active cells take an array's [component, z, y, x] values; others don't exist."""
     n, nz, ny, nx = values.shape
     grid = GridSpec(nx, ny, nz)
-    flat = values.reshape(n, -1)
-    rows = [(i, *[float(v) for v in flat[:, i]]) for i in range(flat.shape[1])]
-    frame = spark.createDataFrame(rows, "k long, " + ", ".join(f"{name}{i} double" for i in range(n)))
+    flat = values.reshape(n, -1).astype(float)
+    frame = spark.createDataFrame(pa.table({"k": np.arange(flat.shape[1])} | {f"{name}{i}": flat[i] for i in range(n)}))
     outside = cells.filter(~grid.inside(*map(F.col, COORDS))).limit(1).count()
     if outside:
         raise ValueError("the array is smaller than the grid")

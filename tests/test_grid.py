@@ -272,7 +272,7 @@ def test_sinks(spark, tmp_path):
     import re
 
     data = re.search(rb"format=\"binary\">\n(.*)\n", (tmp_path / "a.vti").read_bytes())[1]
-    assert np.frombuffer(base64.b64decode(data[8:]), "<f8").tolist() == [float(k) for k in range(1, 13)]
+    assert np.frombuffer(base64.b64decode(data[12:]), "<f8").tolist() == [float(k) for k in range(1, 13)]
     cells = multires.build(spark, GridSpec(4, 4, 4), [F.col("x") < 2, F.lit(True)])
     assert sinks.write_levels(str(tmp_path / "m.vtk"), cells.withColumn("v", F.col("level")), "v") == cells.filter("NOT refined").count()
     assert sinks.hexahedra(cells).count() == 8 * cells.filter("NOT refined").count()
@@ -301,3 +301,73 @@ def test_box_predicate(spark):
     grid = GridSpec(3, 4, 5)
     rows = spark.range(-2, 8).select(F.col("id").cast("int").alias("x"), F.lit(3).alias("y"), F.lit(4).alias("z"))
     assert [r.x for r in rows.filter(grid.inside(*map(F.col, COORDS))).collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("form", ["text", ">f8", "<f8"])
+def test_pieces_cover_the_box(spark, monkeypatch, form):
+    grid, field = linear(spark, (3, 5, 4))
+    monkeypatch.setattr(sinks, "CHUNK", 7)
+    some = field.filter("z <> 2 AND v <> 4")
+    want = np.arange(1.0, 61.0)
+    want[(want == 4) | ((want > 30) & (want <= 45))] = -1
+    got = b"".join(sinks.pieces(some, grid, ["v"], form, -1.0))
+    assert got == sinks.encode(want.reshape(-1, 1), form)
+    assert b"".join(sinks.pieces(field.limit(0), grid, ["v", "v"], form, 2.0)) == sinks.encode(np.full((60, 2), 2.0), form)
+
+
+def test_domain_file(spark, tmp_path):
+    grid, field = linear(spark, (2, 2, 3))
+    sinks.write_domain(str(tmp_path / "d.vtk"), field.filter("v <> 1"), grid, 2)
+    assert (tmp_path / "d.vtk").read_text().splitlines()[-12:] == ["-1", *["0"] * 7, *["1"] * 4]
+
+
+def test_halo_update(spark):
+    grid, field = linear(spark, (2, 2, 9))
+    bounds = partitions.slab_bounds(9, 3)
+    got = {(r["slab"], r["z"], r["ghost"]) for r in partitions.halo_update(field, bounds).collect()}
+    assert got == {(s, z, not low <= z < high) for s, (low, high) in enumerate(bounds) for z in range(max(0, low - 1), min(9, high + 1))}
+    assert not partitions.halo_update(field, [(0, 9)]).filter("ghost").count()
+    for bad in ({"semantic": "streaming"}, {"radius": 2}):
+        with pytest.raises(ValueError):
+            partitions.halo_update(field, bounds, **bad)
+
+
+def test_load_modes(spark):
+    cells = multires.build(spark, GridSpec(4, 4, 4), [F.col("x") < 2, F.lit(True)]).withColumn("v", F.col("x"))
+    assert multires.load(cells, 0, 2, "v", multires.STENCIL_UP).filter("has_parent").count() == 32
+    assert multires.load(cells, 1, 2, "v", multires.STENCIL_DOWN).filter("children = 8").count() == 4
+    assert multires.load(cells, 1, 2, "v", multires.STENCIL_DOWN).count() == 8
+    assert multires.load(cells, 0, 2, "v", multires.STENCIL).columns[-1] == "valid5"
+    for level, mode in ((1, multires.STENCIL_UP), (0, multires.STENCIL_DOWN), (2, multires.MAP), (0, "sideways")):
+        with pytest.raises(ValueError):
+            multires.load(cells, level, 2, "v", mode)
+    with pytest.raises(ValueError):
+        multires.on_level(cells, 0, 2, "v", "v", lambda r: F.col("v"), multires.STENCIL)
+    total = multires.on_level(cells, 1, 2, "v", "sum", lambda r: F.col("child_sum"), multires.STENCIL_DOWN)
+    assert total.count() == cells.count() and total.agg(F.sum("sum")).first()[0] == 16
+
+
+def test_reduce_with(spark):
+    _, field = linear(spark, (2, 2, 3))
+    field = field.withColumn("v", F.when(F.col("v") != 6, F.col("v")))
+    assert reductions.reduce_with(field, "v", np.maximum, -1).first()[0] == 12
+    assert reductions.reduce_with(field.limit(0), "v", np.add, 0).first()[0] == 0
+    with pytest.raises(TypeError):
+        reductions.dot(field.withColumn("s", F.lit("a")), "v", "s")
+    with pytest.raises(TypeError):
+        reductions.dot(field.withColumn("s", F.lit(0.5)), "v", "s")
+
+
+def test_plans_are_edited():
+    op = lambda name, reads, writes: Operator(name, reads, writes, lambda env: env)
+    inner = Pipeline("inner").sequence(op("a", (), ("f",)), op("b", (), ("g",))).depend("a", "b")
+    plan = Pipeline("outer").sequence(inner, op("c", ("f",), ("h",))).depend("b", "c")
+    other = plan.clone("copy")
+    assert [o.name for o in other.remove("b").flat()] == ["a", "c"] and not other.edges()
+    assert [o.name for o in plan.flat()] == ["a", "b", "c"]
+    whole = plan.expand()
+    assert whole.steps == plan.flat() and whole.dependencies() == plan.dependencies()
+    assert ("a", "b", "manual") in whole.dependencies()
+    assert [o.name for o in plan.remove("inner").add(op("d", (), ("k",))).flat()] == ["c", "d"] and not plan.edges()
+    with pytest.raises(KeyError):
+        plan.remove("nothing")
