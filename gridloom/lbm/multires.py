@@ -234,8 +234,9 @@ def flow_over(cells: DataFrame, dims: Sequence[int], solid: Column, speed: float
     wide = width() if "level" in cells.columns else F.lit(1)
     walls = reduce(lambda a, b: a | b, [(F.col(n) == 0) | (F.col(n) + wide >= d) for n, d in list(zip(COORDS, dims, strict=True))[1:]])
     kind = F.when(walls | solid, BOUNCE_BACK).when(F.col("x") == 0, MOVING_WALL).otherwise(BULK)
-    start = [F.when(kind == BULK, t).when(kind == MOVING_WALL, -6.0 * t * speed * d[0]).otherwise(0.0) for t, d in zip(w, c, strict=True)]
-    return cells.withColumn("kind", kind).withColumn("f", F.array(*start)).withColumn("o", F.col("f"))
+    rest, inlet, none = (F.array(*map(F.lit, f)) for f in (w, [-6.0 * t * speed * d[0] for t, d in zip(w, c, strict=True)], [0.0] * len(w)))
+    start = F.when(F.col("kind") == BULK, rest).when(F.col("kind") == MOVING_WALL, inlet).otherwise(none)
+    return cells.withColumn("kind", kind).withColumn("f", start).withColumn("o", F.col("f"))
 
 
 def centre_line(cells: DataFrame, grid: GridSpec, along: str, value: str, lid: float) -> DataFrame:
