@@ -345,6 +345,7 @@ def cross_cells(star: DataFrame, labels: DataFrame, weights: DataFrame, cell: in
     per = named.groupBy("hub", "label").agg(F.sum("w").alias("w"))
     most = per.groupBy("hub").agg(F.max(F.struct("w", "label"))["label"].alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     roles = named.join(most.select("hub", "top"), "hub").select("hub", "rid", "label", "w", "band", (F.col("label") == F.col("top")).alias("inside"))
+    roles = materialize(roles, "roles")  # read four times below, each with all the joins above otherwise
     blocks = roles.groupBy("hub", "inside", "band").agg(F.ceil(F.sum("w") / cell).cast("int").alias("parts"))
     member = roles.join(blocks, ["hub", "inside", "band"]).select("hub", "rid", "label", F.struct("inside", "band", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")).alias("at"))
     each = blocks.select("hub", "inside", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("hub", F.struct("inside", "band", "part").alias("at"))

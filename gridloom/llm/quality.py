@@ -158,7 +158,11 @@ class Model:
         return rows.groupBy("h").agg(F.sum("c").alias("total"), F.sum(F.least(self.discount(n, F.col("c")), F.col("c").cast("double"))).alias("back"))
 
     def probabilities(self, wanted: DataFrame, n: int | None = None) -> DataFrame:
-        """Adds p to wanted(code, ...), whose codes differ."""
+        """Adds p to wanted(code, ...), whose codes differ.
+
+        What a lower order says is written as a table, so a plan holds the joins of one order only: one plan of all orders takes the
+        driver's memory with every stage that ends.
+        """
         n = n or self.order
         seen = self.tables[n].select(F.col("code").alias("_code"), "c")
         end = lambda k: F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
@@ -167,8 +171,8 @@ class Model:
         context = self.contexts(n).select(F.col("h").alias("_ctx"), "total", "back")
         rows = rows.join(context, F.shiftright("code", BITS) == F.col("_ctx"), "left").drop("_ctx")
         if n > 1:
-            ends = wanted.select(end(n - 1).alias("code")).distinct()
-            lower = self.probabilities(ends, n - 1).select(F.col("code").alias("_low"), F.col("p").alias("_p"))
+            ends = materialize(wanted.select(end(n - 1).alias("code")).distinct(), "ends")
+            lower = materialize(self.probabilities(ends, n - 1), "lower").select(F.col("code").alias("_low"), F.col("p").alias("_p"))
             rows = rows.join(lower, end(n - 1) == F.col("_low")).drop("_low")
         else:
             rows = rows.withColumn("_p", F.lit(1.0 / self.symbols))

@@ -526,6 +526,30 @@ def test_perplexity(spark):
         assert (got[i] is None) if not t else abs(got[i] / plain(t) - 1) < 1e-5
 
 
+def joins(df):
+    """How many joins a frame's plan holds."""
+    return len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_plans_hold_the_joins_of_one_order(spark):
+    """A plan of all orders' joins takes the driver's memory; each lower order is read from a table."""
+    texts = spark.createDataFrame([("the cat and the dog",), ("a dog on a mat",)], "text string")
+    wanted = quality.ngram_counts(texts, 5).select("code")
+    found = [quality.Model(quality.ngram_counts(texts, n), n).probabilities(wanted, n) for n in (2, 5)]
+    assert joins(found[0]) == joins(found[1]) == 3
+
+
+def test_plans_read_the_members_of_stars_from_a_table(spark):
+    """What joins stars, labels and weights stands once in a plan that reads it four times."""
+    star = spark.createDataFrame([(h, r) for h in (0, 7) for r in range(8)], "hub long, rid long")
+    labels = spark.createDataFrame([(r, r // 4) for r in range(8)], "rid long, label long")
+    weights = spark.createDataFrame([(r, 10 + r, r // 6) for r in range(8)], "rid long, w long, band int")
+    cells = jaccard.cross_cells(star, labels, weights, 20)
+    assert joins(cells) == 3
+    met = Counter((r.hub, r.i, r.j) for r in cells.collect())
+    assert met and {k[0] for k in met} == {0, 7}
+
+
 def plain_repeats(t):
     """Words of a text, and those that equal the first, else the second, word before them."""
     words = re.findall(r"[^\s\u3000]+", t)
