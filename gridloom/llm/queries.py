@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html, jaccard, langid, mixing, packing, quality, sketch, suffix, tokens, topk
+from gridloom.llm import html, jaccard, langid, mixing, packing, quality, resample, sketch, suffix, tokens, topk
 from gridloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,10 +56,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1024)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL, "op9_suffix_dedup": suffix.REPEATS_SQL}
+    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL, "op9_suffix_dedup": suffix.REPEATS_SQL, "op13_resample": resample.RESAMPLE_SQL}
