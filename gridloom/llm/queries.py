@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import html, jaccard, langid, mixing, packing, quality, resample, sketch, suffix, tokens, topk
+from gridloom.llm import html, jaccard, langid, lattice, mixing, packing, quality, resample, sketch, suffix, tokens, topk
 from gridloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1024)
 
 
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL, "op9_suffix_dedup": suffix.REPEATS_SQL, "op13_resample": resample.RESAMPLE_SQL}
+    return {"op2_topk": topk.TOP_K_SQL, "op5_mixing": mixing.mix_sql(), "op6_jaccard": jaccard.CLASSES_SQL, "op9_suffix_dedup": suffix.REPEATS_SQL, "op12_lattice_dedup": lattice.NEAR_VECTORS_SQL, "op13_resample": resample.RESAMPLE_SQL}
