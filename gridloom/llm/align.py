@@ -20,9 +20,9 @@ from gridloom.llm.common import batch, blocks, materialize, require, scan_parts,
 
 #: Characters of a block of documents, and tokens that one partition of the token tables holds.
 SPAN, TOKENS = 1 << 24, 1 << 20
-#: A part of a text ends before a space, unless white space (or the sign that stands for it in pieces) comes before that.
+#: A part of a text ends before spaces, unless white space (or the sign that stands for it in pieces) comes before them, or nothing after.
 MARK = "▁"
-SEAM = re.compile(rf"(?<=[^\s{MARK}])(?= )")
+SEAM = re.compile(rf"(?<=[^\s{MARK}])(?= +[^ ])")
 
 
 def byte_level() -> dict[str, int]:
@@ -51,7 +51,7 @@ class Side:
             self.bytes = [b""] * (max(words.values(), default=-1) + 1)
             for word, i in words.items():
                 self.bytes[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
-            self.seams = not any(SEAM.search(b.decode("utf-8", "replace")) for b in self.bytes)
+            self.seams = not any(re.search(rf"[^\s{MARK}] ", b.decode("utf-8", "replace")) for b in self.bytes)
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int32)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
@@ -189,7 +189,7 @@ def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text
     A text that is null, empty, or not spelled exactly by both has no tokens: zeros, and empty groups; it adds to no count. Repeated rows
     count each; a null id stays null; an empty table gives no rows; other columns are ignored.
 
-    Both tokenizers always cut before a space that comes after a character that isn't white space (their vocabularies are searched for entries that
+    Both tokenizers always cut before spaces that come after a character that isn't white space (their vocabularies are searched for entries that
     would not; with one, texts stay whole). So a text is a list of parts, and tokens are exploded, summed, joined and linked
     once for each distinct part, weighted by its occurrences. Blocks of documents ask for their parts' rows, once per
     distinct part; no token, and no text, is shuffled by document. A part of any length is a group of its own, in sorted runs that can spill.
