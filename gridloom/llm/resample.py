@@ -20,11 +20,12 @@ def words(text: Column) -> Column:
 
 def features(tokens: Column, orders: int) -> Column:
     """All runs of 1 to `orders` consecutive words, joined by one space, repeats kept."""
-    found = [tokens]
-    for n in range(2, orders + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        found.append(F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
-    return found[0] if orders == 1 else F.concat(*found)
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return tokens if orders == 1 else F.concat(tokens, *map(runs, range(2, orders + 1)))
 
 
 def bucketed(rows: DataFrame, carry: list[str], orders: int, buckets: int) -> DataFrame:
