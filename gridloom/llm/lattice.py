@@ -15,8 +15,8 @@ from gridloom.llm.common import batch, keyed, materialize, require, scan_parts
 from gridloom.llm.components import components
 from gridloom.llm.topk import sound
 
-#: Tables, neighbouring cells that a vector looks into in each, and how far the unit sphere is blown up before decoding.
-TABLES, PROBES, SCALE, SEED = 10, 2, 6.0, 7
+#: Tables, neighbouring cells that a vector looks into in each, and how long the eight projections of a unit vector are together.
+TABLES, PROBES, SCALE, SEED = 10, 2, 2.12, 7
 #: Rows of a cell that are compared at a time; fuller cells are cut into blocks, each pair of which is a group of its own.
 BLOCK = 2048
 #: Cosines so near to the threshold are computed anew, component by component.
@@ -56,11 +56,11 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=16)
 def projections(dims: int, tables: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Eight directions per table, of length `scale`, as whole numbers, and the tables' random shifts."""
+    """Eight directions per table, as whole numbers, and the tables' random shifts. Unit vectors have projections of length `scale`, in the mean of squares."""
     rng = np.random.default_rng([SEED, dims])
     drawn = rng.normal(size=(tables, max(8, dims), 8))
     basis = np.concatenate([np.linalg.qr(t)[0][:dims] for t in drawn], axis=1)
-    return np.rint(basis * scale * 4096), rng.uniform(0, 64, size=(tables, 1, 8))
+    return np.rint(basis * scale * np.sqrt(max(8, dims) / 8) * 4096), rng.uniform(0, 64, size=(tables, 1, 8))
 
 
 def cells(units: np.ndarray, tables: int, probes: int, scale: float) -> np.ndarray:
@@ -169,22 +169,18 @@ def links(reps: DataFrame, least: float, tables: int, probes: int, scale: float,
     near = mine.join(reps, "key").repartition(scan_parts(spark), *by).sortWithinPartitions(*by, "key").select(*by, "own", "home", "key", "m", "v")
     out = pa.schema([("key", pa.int64()), ("add", pa.int64()), ("root", pa.int64())])
 
-    def compare(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        """The rows of one group."""
-        table, cell, i, j = (rows.column(c)[0].as_py() for c in ("table", "cell", "i", "j"))
-        keys, m = rows.column("key").to_numpy(), rows.column("m").to_numpy()
-        home, own = rows.column("home").to_numpy(zero_copy_only=False), rows.column("own").to_numpy()
-        if len(keys) < 2 or not home.any():
+    def compare(place: tuple[int, int, int, int], units: np.ndarray, keys: np.ndarray, m: np.ndarray, home: np.ndarray, own: np.ndarray) -> pa.RecordBatch | None:
+        """The rows of one group, at (table, cell, i, j)."""
+        table, cell, i, j = place
+        a, b = (slice(None),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        hit = linked(units[a], units[b], least)
+        if np.count_nonzero(hit) <= (len(keys) if i == j else 0):
             return None
-        units = unit_rows(rows.column("v").flatten().to_numpy(zero_copy_only=False), len(rows.column("v")[0]))
-        a, b = (np.arange(len(keys)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        if not len(a) or not len(b):
-            return None
-        hit = linked(units[a], units[b], least) & (home[a][:, None] | home[b]) & (keys[a][:, None] != keys[b])
-        p, q = np.nonzero(hit & (keys[a][:, None] < keys[b])) if i == j else np.nonzero(hit)
-        p, q = a[p], b[q]
+        hit &= (home[a][:, None] | home[b]) & (keys[a][:, None] < keys[b] if i == j else True)
+        p, q = np.nonzero(hit)
         if not len(p):
             return None
+        p, q = np.arange(len(keys))[a][p], np.arange(len(keys))[b][q]
         swap = keys[p] > keys[q]
         p, q = np.where(swap, q, p), np.where(swap, p, q)
         used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
@@ -197,33 +193,39 @@ def links(reps: DataFrame, least: float, tables: int, probes: int, scale: float,
             np.add.at(add, y[first], weight[x[first]])
         return batch(out, key=keys[used], add=add, root=keys[used][roots(len(used), p, q)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush() -> pa.RecordBatch | None:
-            return compare(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if held else None
+    def groups(rows: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+        """What the whole groups of sorted rows give, and the rows of the group that may go on, unless these are the last."""
+        columns = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        plain = {c: columns[c].to_numpy(zero_copy_only=False) for c in ("table", "cell", "i", "j", "own", "home", "key", "m")}
+        new = np.ones(rows.num_rows, bool)
+        group = columns["group"].dictionary_encode().indices.to_numpy()
+        new[1:] = group[1:] != group[:-1]
+        for c in by[1:]:
+            new[1:] |= plain[c][1:] != plain[c][:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], rows.num_rows)
+        if not last:
+            starts, ends = starts[:-1], ends[:-1]
+        kept, flat = rows.slice(int(ends[-1]) if len(ends) else 0), columns["v"].flatten().to_numpy(zero_copy_only=False)
+        sizes = np.asarray(columns["v"].value_lengths())
+        at = np.cumsum(np.append(0, sizes))
+        several = [(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
+        units = unit_rows(flat, int(sizes[0])) if len(sizes) and (sizes == sizes[0]).all() else None
+        made = []
+        for s, e in several:
+            own_units = units[s:e] if units is not None else unit_rows(flat[at[s] : at[e]], int(sizes[s]))
+            place = tuple(int(plain[c][s]) for c in ("table", "cell", "i", "j"))
+            made.append(compare(place, own_units, *(plain[c][s:e] for c in ("key", "m", "home", "own"))))
+        return [x for x in made if x is not None], kept
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            fresh = np.zeros(rows.num_rows, bool)
-            for c in by:
-                v = rows.column(c)
-                v = v.dictionary_encode().indices if pa.types.is_string(v.type) else v
-                v = v.to_numpy(zero_copy_only=False)
-                fresh[1:] |= v[1:] != v[:-1]
-            starts = [0, *np.flatnonzero(fresh).tolist()]
-            for s, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
-                key = tuple(rows.column(c)[s].as_py() for c in by) if s == 0 else None
-                if not (s == 0 and key == last) and (made := flush()) is not None:
-                    yield made
-                if not (s == 0 and key == last):
-                    held.clear()
-                held.append(rows.slice(s, e - s))
-            last = tuple(rows.column(c)[rows.num_rows - 1].as_py() for c in by)
-        if (made := flush()) is not None:
-            yield made
+            rows = pa.Table.from_batches([rows])
+            made, held = groups(rows if held is None else pa.concat_tables([held, rows]), False)
+            yield from made
+        if held is not None:
+            yield from groups(held, True)[0]
 
     return near.mapInArrow(run, "key long, add long, root long")
 
@@ -252,7 +254,8 @@ def near_vectors(
     """
     require(vectors, vec_id, vector, *([label] if label else []))
     cols = [F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(label).cast("string") if label else F.lit("")).alias("group")]
-    rows = keyed(vectors.select(*cols), "row").toDF("id", "v", "group", "row")
+    # Only vectors of one label and one length meet.
+    rows = keyed(vectors.select(*cols), "row").toDF("id", "v", "group", "row").withColumn("group", F.concat(F.size("v").cast("string"), F.lit(" "), "group"))
     part = F.col("id").isNotNull() & F.col("group").isNotNull() & sound(F.col("v")) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     # Equal vectors are told by 128 bits of hash.
     hashes = [F.xxhash64(F.lit(k), F.col("v")).alias(f"h{k}") for k in (0, 1)]
