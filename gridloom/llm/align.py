@@ -14,12 +14,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from gridloom.llm.common import batch, blocks, materialize, require, scan_parts, tidy
+from gridloom.llm.common import batch, blocks, bucketed, materialize, require, scan_parts, tidy
 
-#: Characters of a block of documents, and tokens that one partition of the token tables holds.
-SPAN, TOKENS = 1 << 24, 1 << 20
+#: Characters of a block of documents, rows that are packed at a time, and id pairs that are broadcast at most.
+SPAN, HELD, PAIRS = 1 << 25, 1 << 18, 1 << 19
 #: A part of a text ends before spaces, unless white space (or the sign that stands for it in pieces) comes before them, or nothing after.
 MARK = "▁"
 SEAM = re.compile(rf"(?<=[^\s{MARK}])(?= +[^ ])")
@@ -37,12 +38,17 @@ class Side:
 
     def __init__(self, path: str):
         self.adds_space = path.endswith(".model")
+        self.faithful = False
         if self.adds_space:
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
             single = [self.model.is_byte(i) for i in range(len(pieces))]
             self.bytes = [bytes([int(p[3:5], 16)]) if one else p.replace(MARK, " ").encode() for p, one in zip(pieces, single, strict=True)]
             self.seams = not any(re.search(rf"[^\s{MARK}][ {MARK}]", p) for p in pieces)
+            spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto()).normalizer_spec
+            # Nothing is rewritten but spaces, and what has no piece is spelled in bytes.
+            plain = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix and spec.escape_whitespaces
+            self.faithful = plain and sum(single) == 256
         else:
             self.model = Tokenizer.from_file(path)
             self.model.encode_special_tokens = True
@@ -51,14 +57,14 @@ class Side:
             self.bytes = [b""] * (max(words.values(), default=-1) + 1)
             for word, i in words.items():
                 self.bytes[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
+            self.faithful = self.model.normalizer is None and all(c in words for c in letters)
             self.seams = not any(re.search(rf"[^\s{MARK}] ", b.decode("utf-8", "replace")) for b in self.bytes)
-        self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int32)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
         """Ids of a space and each part."""
         if self.adds_space:
             return self.model.encode(parts, num_threads=1)
-        return [e.ids for e in self.model.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
 
 
 @lru_cache(maxsize=4)
@@ -66,14 +72,12 @@ def side(path: str) -> Side:
     return Side(path)
 
 
-def spelled(parts: list[str], a: Side, b: Side) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-    """Ids of each part by either tokenizer, and whether both spell a space and the part exactly."""
-    first, second = a.encode(parts), b.encode(parts)
-    sound = []
-    for p, x, y in zip(parts, first, second, strict=True):
-        want = (" " + p).encode()
-        sound.append(b"".join([a.bytes[i] for i in x]) == want and b"".join([b.bytes[i] for i in y]) == want)
-    return first, second, sound
+def spelled(parts: list[str], a: Side, b: Side) -> np.ndarray:
+    """Whether both tokenizers spell a space and the part exactly. Pieces of a faithful model do unless the part has their sign for a space."""
+    if a.faithful and b.faithful:
+        return np.array([MARK not in p for p in parts], dtype=bool)
+    same = [[b"".join([s.bytes[i] for i in x]) == (" " + p).encode() for p, x in zip(parts, s.encode(parts), strict=True)] for s in (a, b)]
+    return np.logical_and(*(np.array(x, dtype=bool) for x in same))
 
 
 class Numbers(dict):
@@ -122,17 +126,13 @@ def parts_of(docs: DataFrame, first: str, second: str, span: int) -> DataFrame:
             parts = list(numbers)
             sound = np.empty(len(parts), bool)
             for s in range(0, len(parts), 10_000):
-                sound[s : s + 10_000] = spelled(parts[s : s + 10_000], a, b)[2]
+                sound[s : s + 10_000] = spelled(parts[s : s + 10_000], a, b)
             if not sound.all():
                 lists = [x if sound[x].all() else x[:0] for x in lists]
             n = np.bincount(np.concatenate(lists), minlength=len(parts)) if lists else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, lists)])
             table = pa.table([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists)))], schema=whole)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole) as to:
-                to.write_table(table)
-            data = zstandard.ZstdCompressor(level=3).compress(memoryview(sink.getvalue()))
-            yield batch(kind, block=[block], docs=[data], part=[None], at=[None], n=[None])
+            yield batch(kind, block=[block], docs=[sealed(table)], part=[None], at=[None], n=[None])
             kept = np.flatnonzero(n)
             for s in range(0, len(kept), 50_000):
                 at = kept[s : s + 50_000]
@@ -144,38 +144,85 @@ def parts_of(docs: DataFrame, first: str, second: str, span: int) -> DataFrame:
 
 
 def encoded(parts: DataFrame, first: str, second: str) -> DataFrame:
-    """sid, part, n, and a, a_len, b, b_len: ids and lengths in bytes of the tokens of a space and each part."""
-    kind = pa.schema([("sid", pa.int64()), ("part", pa.string()), ("n", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("a", "a_len", "b", "b_len")]])
+    """part, n, and a, b: ids of the tokens of a space and each part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = side(first), side(second)
-        for rows in batches:
-            x, y, _ = spelled(rows.column("part").to_pylist(), a, b)
-            yield batch(kind, sid=rows.column("sid"), part=rows.column("part"), n=rows.column("n"), a=x, a_len=[a.lengths[i] for i in x], b=y, b_len=[b.lengths[i] for i in y])
+    @F.arrow_udf("struct<a: array<int>, b: array<int>>")
+    def ids(texts: pa.Array) -> pa.Array:
+        lists = [pa.array(side(p).encode(texts.to_pylist()), pa.list_(pa.int32())) for p in (first, second)]
+        return pa.StructArray.from_arrays(lists, names=["a", "b"])
 
-    return parts.mapInArrow(run, "sid long, part string, n long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
+    return parts.withColumn("t", ids("part")).select("part", "n", "t.a", "t.b")
 
 
-def token_links(tokens: DataFrame) -> DataFrame:
-    """sid, n, end, a_own, b_own, gid, a, b: one row for each pair of overlapping tokens of the texts in tokens(sid, n, a, a_len, b, b_len).
+def lengths(spark: SparkSession, *paths: str) -> DataFrame:
+    """side, id, len: how many bytes each token of each vocabulary has."""
+    rows = [(k, i, len(b)) for k, p in enumerate(paths) for i, b in enumerate(side(p).bytes)]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], names=["side", "id", "len"]))
 
-    Lengths are summed up to ends, and the ends of both sides joined: each distinct end closes one overlap, of the tokens of either side
-    that end there (a_own, b_own) or next after it. Ends of both sides are cuts; their running count, from the end, numbers the groups.
-    """
-    spark = tokens.sparkSession
-    total = tokens.agg(F.sum(F.size("a").cast("long") + F.size("b"))).first()[0] or 0
-    dealt = tokens.repartition(max(scan_parts(spark), -(-total // TOKENS)), "sid")
-    order = W.partitionBy("sid").orderBy("pos")
 
-    def ends(c: str) -> DataFrame:
-        each = dealt.select("sid", "n", F.posexplode(F.arrays_zip(c, f"{c}_len")).alias("pos", "t"))
-        return each.select("sid", "n", F.sum(f"t.{c}_len").over(order).alias("end"), F.col(f"t.{c}").alias(f"{c}_own"))
+def token_links(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """part, n, n_a, n_b, groups, text, links: the tokens a, b of each of tokens(part, n, a, b), laid upon each other.
 
-    joined = ends("a").join(ends("b").withColumnRenamed("n", "n_b"), ["sid", "end"], "full")
-    back = W.partitionBy("sid").orderBy(F.col("end").desc())
+    Tokens are exploded, and their lengths summed up to ends. The ends of both sides are joined by part and end: each distinct end closes one
+    overlap, of the tokens of either side that end there or next after it. Ends of both sides are cuts; their running
+    count, from the end, numbers the groups. links: the id pair of each overlap; text: the groups, `a1,a2|b1;a3|b2,b3`.
+
+    Both sides lie in one exchange by part, so the join is a grouping by part and end, and needs none of its own. The broadcast has a row per id.
+    """
+    tagged = lambda c, k: F.transform(c, lambda i: F.struct(F.lit(k).alias("side"), i.alias("id")))
+    each = tokens.repartition(scan_parts(tokens.sparkSession), "part").select("part", "n", F.posexplode(F.concat(tagged("a", 0), tagged("b", 1))).alias("pos", "t"))
+    each = each.select("part", "n", "pos", "t.side", "t.id").join(F.broadcast(vocabulary), ["side", "id"])
+    ends = each.select("part", "n", "side", "id", F.sum("len").over(W.partitionBy("part", "side").orderBy("pos")).alias("end"))
+    own = {c: F.max(F.when(F.col("side") == k, F.col("id"))).alias(f"{c}_own") for k, c in enumerate("ab")}
+    joined = ends.groupBy("part", "end").agg(F.max("n").alias("n"), *own.values())
+    back = W.partitionBy("part").orderBy(F.col("end").desc())
     common = F.when(F.col("a_own").isNotNull() & F.col("b_own").isNotNull(), 1)
-    filled = [F.last(f"{c}_own", ignorenulls=True).over(back).alias(c) for c in "ab"]
-    return joined.select("sid", F.coalesce("n", "n_b").alias("n"), "end", "a_own", "b_own", F.count(common).over(back).alias("gid"), *filled)
+    links = joined.select("part", "n", "end", "a_own", "b_own", F.count(common).over(back).alias("gid"), *[F.last(f"{c}_own", ignorenulls=True).over(back).alias(c) for c in "ab"])
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{c}_own").isNotNull(), F.struct("end", f"{c}_own")))), lambda t: t[f"{c}_own"].cast("string")), ",")
+    groups = links.groupBy("part", "gid").agg(F.max("n").alias("n"), F.concat(listed("a"), F.lit("|"), listed("b")).alias("text"), F.collect_list(F.struct("a", "b")).alias("links"), *[F.count(f"{c}_own").alias(f"n_{c}") for c in "ab"])
+    whole = groups.groupBy("part").agg(F.max("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in "ab"], F.count(F.lit(1)).alias("groups"), F.array_sort(F.collect_list(F.struct((-F.col("gid")).alias("k"), "text", "links"))).alias("g"))
+    return whole.select("part", "n", "n_a", "n_b", "groups", F.array_join(F.transform("g", lambda x: x["text"]), ";").alias("text"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
+
+
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+ANSWERS = pa.schema([("at", pa.int32()), *[(c, pa.int64()) for c in ("n_a", "n_b", "groups", "links", "best", "counts")], ("text", pa.string())])
+
+
+def sealed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as to:
+        to.write_table(table)
+    return zstandard.ZstdCompressor(level=9).compress(memoryview(sink.getvalue()))
+
+
+def opened(column: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_buffer())).read_all() for x in column]
+
+
+def packed_answers(rows: DataFrame) -> DataFrame:
+    """asker, told: what a task has for each block, packed, some rows at a time."""
+    columns = ["asker", *ANSWERS.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).sort_by("asker")
+            held.clear()
+            asker = table.column("asker").to_numpy()
+            cuts = [0, *(np.flatnonzero(asker[1:] != asker[:-1]) + 1).tolist(), len(asker)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch(kind, asker=[int(asker[s])], told=[sealed(table.slice(s, e - s).select(ANSWERS.names).cast(ANSWERS))])
+
+        kind = pa.schema([("asker", pa.int64()), ("told", pa.binary())])
+        for part in batches:
+            held.append(part)
+            if sum(x.num_rows for x in held) >= HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return rows.select(*columns).mapInArrow(run, "asker long, told binary")
 
 
 def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -195,46 +242,43 @@ def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text
     distinct part; no token, and no text, is shuffled by document. A part of any length is a group of its own, in sorted runs that can spill.
     """
     require(docs, doc_id, text)
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = materialize(parts_of(rows, first, second, span), "parts")
-    asked = cuts.filter("docs IS NULL").select("block", "part", "at", "n")
-    distinct = asked.groupBy("part").agg(F.sum("n").alias("n")).withColumn("sid", F.monotonically_increasing_id())
-    tokens = materialize(encoded(distinct, first, second), "tokens")
-    # Both sides of the join are dealt by sid already; that is enough for a join on sid and end.
-    with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        links = materialize(token_links(tokens.drop("part")), "links")
-    pairs = materialize(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    with setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
+        # A task's blocks go to files of their own, so that what is asked for can come to them.
+        cuts = bucketed(parts_of(rows, first, second, span), "parts", scan_parts(spark), "block")
+        asked = cuts.filter("docs IS NULL").select(F.col("block").alias("asker"), "part", "at", "n")
+        distinct = asked.groupBy("part").agg(F.sum("n").alias("n"))
+        found = token_links(encoded(distinct, first, second), lengths(spark, first, second))
+        linked = bucketed(found, "links", scan_parts(spark), "part")
+    exploded = linked.select("part", "n", F.explode("links").alias("l")).select("part", "n", "l.a", "l.b")
+    pairs = materialize(exploded.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     best = pairs.groupBy("b").agg(F.max("count").alias("best"))
     ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("long").alias("best"))
-    # Links in order of end within a group; groups from the last.
-    owned = lambda c: F.array_sort(F.collect_list(F.when(F.col(f"{c}_own").isNotNull(), F.struct("end", f"{c}_own"))))
-    listed = lambda c: F.array_join(F.transform(owned(c), lambda t: t[f"{c}_own"].cast("string")), ",")
-    groups = links.join(ranked, ["a", "b"]).groupBy("sid", "gid")
-    groups = groups.agg(F.count(F.lit(1)).alias("links"), F.sum("best").alias("best"), F.sum("count").alias("counts"), F.concat(listed("a"), F.lit("|"), listed("b")).alias("text"))
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("gid")).alias("k"), "text"))), lambda g: g["text"]), ";")
-    found = groups.groupBy("sid").agg(F.count(F.lit(1)).alias("groups"), F.sum("links").alias("links"), F.sum("best").alias("best"), F.sum("counts").alias("counts"), text_of.alias("text"))
-    told = tokens.select("sid", "part", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(found, "sid").drop("sid")
-    answers = asked.select(F.col("block").alias("asker"), "part", "at").join(told, "part").drop("part")
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    kind = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in numbers], ("groups", pa.string())])
-
-    def finish(packed: pa.Table, told: pa.Table) -> pa.Table:
+    ranked = F.broadcast(ranked) if pairs.count() <= PAIRS else ranked
+    scores = exploded.join(ranked, ["a", "b"]).groupBy("part").agg(F.count(F.lit(1)).alias("links"), F.sum("best").alias("best"), F.sum("count").alias("counts"))
+    told = linked.select("part", "n_a", "n_b", "groups", "text").join(scores, "part")
+    answers = packed_answers(asked.select("asker", "part", "at").join(told, "part").drop("part"))
+    kind = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in NUMBERS], ("groups", pa.string())])
+
+    def finish(held: pa.Table, told: pa.Table) -> pa.Table:
         """A block's documents, from the rows of its parts."""
-        rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.column("docs")[0].as_buffer())).read_all().combine_chunks()
+        rows = opened(held.column("docs"))[0].combine_chunks()
+        told = pa.concat_tables(opened(told.column("told"))) if told.num_rows else ANSWERS.empty_table()
         at = told.column("at").to_numpy()
         size = int(at.max(initial=-1)) + 1
         lists = rows.column("at").combine_chunks()
         ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        texts = np.empty(size, object)
+        texts[at] = told.column("text").to_pylist()
         out = {}
-        for name, c in zip(numbers, ("n_a", "n_b", "groups", "links", "best", "counts"), strict=True):
+        for name, c in zip(NUMBERS, ("n_a", "n_b", "groups", "links", "best", "counts"), strict=True):
             value = np.zeros(size, np.int64)
             value[at] = told.column(c).to_numpy()
             sums = np.concatenate([[0], np.cumsum(value[flat])])
             out[name] = sums[ends[1:]] - sums[ends[:-1]]
-        texts = np.empty(size, object)
-        texts[at] = told.column("text").to_pylist()
         joined = [";".join(texts[flat[s:e]].tolist()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        return tidy(pa.table([rows.column("doc_id"), *[pa.array(out[c]) for c in numbers], pa.array(joined, pa.string())], schema=kind))
+        return tidy(pa.table([rows.column("doc_id"), *[pa.array(out[c]) for c in NUMBERS], pa.array(joined, pa.string())], schema=kind))
 
     held = cuts.filter("docs IS NOT NULL").select("block", "docs")
-    return held.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(finish, "doc_id long, " + ", ".join(f"{c} long" for c in numbers) + ", groups string")
+    return held.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(finish, "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string")

@@ -49,6 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *by: str) -> DataFrame:
+    """Writes df, dealt by columns to so many partitions, as a bucketed table in the shared folder: groupings and joins by these columns need no exchange of it."""
+    spark = df.sparkSession
+    known = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{known}"
+    WRITTEN.append(path)
+    df.write.option("path", path).bucketBy(buckets, *by).saveAsTable(known)
+    return spark.table(known)
+
+
 def sweep(spark: SparkSession, since: int = 0, keep: str = "") -> None:
     """Deletes the tables written by materialize, but for the first `since` and `keep`. Results that still read them must be used up before."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

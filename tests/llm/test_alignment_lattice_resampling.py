@@ -66,7 +66,7 @@ def test_alignment(spark, span):
     frame = spark.createDataFrame([(*r, *EXTRA) for r in rows], f"doc_id long, text string, {CLASH}").repartition(3)
     got = sorted((tuple(r) for r in align.align(frame, A, B, span=span).collect()), key=repr)
     assert got == plain_alignment(rows)
-    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true"
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
 
 
 def test_alignment_of_long_texts_and_empty_tables(spark):
@@ -96,15 +96,13 @@ def test_parts_are_spelled_as_whole_texts_are():
             assert [i for x in s.encode(parts) for i in x] == s.encode([text])[0]
 
 
-def test_tokens_are_dealt_once_and_their_links_once(spark):
-    rows = spark.createDataFrame([(1, 1, [1, 2], [1, 2], [3], [3])], "sid long, n long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-    with align.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        out = align.token_links(rows)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        found = sorted(tuple(r) for r in out.select("end", "a_own", "b_own", "gid", "a", "b").collect())
-    # Both sides by sid, where the join finds them, and its rows once more for the windows: a full join doesn't say how its rows lie.
-    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_NUM") == 2
-    assert found == [(1, 1, None, 1, 1, 3), (3, 2, 3, 1, 2, 3)]
+def test_tokens_are_dealt_once(spark):
+    rows = spark.createDataFrame([("x", 1, [1, 2], [3])], "part string, n long, a array<int>, b array<int>")
+    sizes = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 3)], "side int, id int, len int")
+    out = align.token_links(rows, sizes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+    assert [r.asDict(True) for r in out.collect()] == [{"part": "x", "n": 1, "n_a": 2, "n_b": 1, "groups": 1, "text": "1,2|3", "links": [{"a": 2, "b": 3}, {"a": 1, "b": 3}]}]
 
 
 def plain_near(rows, least=0.93):
