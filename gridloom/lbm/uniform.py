@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.lbm.lattice import C19, CENTER, OPPOSITE_19, W19, Cavity
+from gridloom.operators import packed
 from gridloom.operators.halo import SIZE, blockwise, shift
 from gridloom.plans.checkpoint import cut
 from gridloom.sources.cells import dense
@@ -126,6 +127,51 @@ def step_blocks(cells: DataFrame, omega: float, size: int = SIZE) -> DataFrame:
     return blockwise(cells, ["kind", "wall", "f"], kernel, T.StructType(fields), size)
 
 
+PULLED = Stencil(tuple(tuple(-a for a in c) for c in C19 if any(c)))
+
+
+def sent(name: str, step: tuple[int, int, int]) -> list[int] | None:
+    """Of the populations, those that cells pull from a block that lies against the step, and those that walls there give back."""
+    if name != "f":
+        return None
+    along = [q for q, c in enumerate(C19) if all(a == s for a, s in zip(c, step, strict=True) if s)]
+    return sorted({*along, *(OPPOSITE_19[q] for q in along)})
+
+
+def pack(cells: DataFrame, size: int = packed.SIZE) -> packed.Packed:
+    return packed.pack(cells, ["kind", "wall", "f"], size, {"f": Q})
+
+
+def relax(omega: float) -> packed.Kernel:
+    """Streaming, moments and collision on packed blocks."""
+    c, w = np.array(C19, float), np.array(W19)
+
+    def kernel(h: packed.Halo) -> dict[str, np.ndarray]:
+        wall, bulk = h.at("wall"), h.at(None) & (h.at("kind") == BULK)
+        g = np.empty_like(h.at("f"))
+        for q, d in enumerate(C19):
+            source, back = tuple(-a for a in d), OPPOSITE_19[q]
+            if q == CENTER:
+                g[..., q] = h.at("f", component=q)
+            else:
+                g[..., q] = np.where(wall >> q & 1, h.at("f", component=back) + h.at("f", source, back), h.at("f", source, q))
+        g = g[bulk]
+        rho = g.sum(1, keepdims=True)
+        u = g @ c / rho
+        cu = u @ c.T
+        eq = rho * w * (1.0 + 3.0 * cu + 4.5 * cu * cu - 1.5 * (u * u).sum(1, keepdims=True))
+        out = h.at("f").copy()
+        out[bulk] = (1.0 - omega) * g + omega * eq
+        return {"f": out}
+
+    return kernel
+
+
+def run_packed(table: packed.Packed, omega: float, steps: int) -> packed.Packed:
+    """steps in a row on a packed table: only the populations that cross a face are shuffled, blocks stay where they are."""
+    return packed.iterate(table, steps, relax(omega), [table.field("f")], ["f"], PULLED, sent, ["kind", "wall"], ["kind", "wall"])
+
+
 def run(cells: DataFrame, omega: float, steps: int, cut_every: int = 5, blocks: bool = False) -> DataFrame:
     """steps in a row, by columns or on packed blocks; every few of them the state is written to the shared folder."""
     for k in range(steps):

@@ -7,6 +7,7 @@ Grids are views of the driver's tables: orders is a box of 25 x 25 cells per pla
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -511,6 +512,7 @@ r AS (SELECT m.*, c.level IS NOT NULL AS refined FROM m LEFT JOIN (SELECT DISTIN
 
 #: Cells with the place of their parent in columns, so that levels are joined on plain equality.
 _UP = "u AS (SELECT *, level + 1 AS up, x - x % (2 << level) AS px, y - y % (2 << level) AS py, z - z % (2 << level) AS pz, 2 << level AS step FROM v)"
+_MLM, _UPM = (re.sub(r"\b([fmu]|l0|l1|l2) AS \(", r"\1 AS MATERIALIZED (", c) for c in (_ML, _UP))
 _TO_UP = "b.level = a.up AND b.x = a.px AND b.y = a.py AND b.z = a.pz"
 
 
@@ -534,13 +536,13 @@ def _(spark, sf_dir):
     return multires.children(m, "w").select(*multires.LEVEL_COORDS, "children", "child_sum")
 
 
-@register("g096_parents", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM u a LEFT JOIN v b ON {_TO_UP}")
+@register("g096_parents", f"WITH {_MLM}, v AS MATERIALIZED (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UPM} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM u a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).withColumn("w", F.col("level") * 1000 + F.col("x") + F.col("y") + F.col("z"))
     return multires.with_parent(m, "w").select(*multires.LEVEL_COORDS, "parent_value", "has_parent")
 
 
-@register("g097_uncles", f"WITH {_ML}, v AS (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UP}, t AS (SELECT * REPLACE (px + step AS px, pz - step AS pz) FROM u) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM t a LEFT JOIN v b ON {_TO_UP}")
+@register("g097_uncles", f"WITH {_MLM}, v AS MATERIALIZED (SELECT *, level * 1000 + x + y + z AS w FROM m), {_UPM}, t AS MATERIALIZED (SELECT * REPLACE (px + step AS px, pz - step AS pz) FROM u) SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(b.w AS INTEGER) AS parent_value, b.w IS NOT NULL AS has_parent FROM t a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).withColumn("w", F.col("level") * 1000 + F.col("x") + F.col("y") + F.col("z"))
     return multires.with_parent(m, "w", (1, 0, -1)).select(*multires.LEVEL_COORDS, "parent_value", "has_parent")
@@ -559,7 +561,7 @@ def _(spark, sf_dir):
     return multires.accumulate_to_parents(m, "w")
 
 
-@register("g147_write_children", f"WITH {_ML}, v AS (SELECT * FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(b.level, a.level) AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
+@register("g147_write_children", f"WITH {_MLM}, v AS MATERIALIZED (SELECT * FROM m), {_UPM} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(coalesce(b.level, a.level) AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = levels(spark).drop("refined").withColumn("w", F.col("level"))
     return multires.write_children(m, "w")
@@ -912,7 +914,7 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, [multires.load(m, 1, 3, "w", k).select(F.lit(k).alias("mode"), *COORDS, v.cast("long").alias("value")) for k, v in values.items()])
 
 
-@register("g100_level_field", f"WITH {_ML}, v AS (SELECT *, 10 * (level + 1) AS w FROM m), {_UP} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(a.w + CASE WHEN a.level = 0 THEN 7 WHEN a.level = 1 THEN coalesce(b.w, 0) ELSE 0 END AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
+@register("g100_level_field", f"WITH {_MLM}, v AS MATERIALIZED (SELECT *, 10 * (level + 1) AS w FROM m), {_UPM} SELECT a.level, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(a.z AS INTEGER) AS z, CAST(a.w + CASE WHEN a.level = 0 THEN 7 WHEN a.level = 1 THEN coalesce(b.w, 0) ELSE 0 END AS INTEGER) AS w FROM u a LEFT JOIN v b ON {_TO_UP}")
 def _(spark, sf_dir):
     m = multires.new_field(levels(spark).drop("refined"), [10, 20, 30], "w")
     m = multires.on_level(m, 1, 3, "w", "w", lambda r: F.col("w") + F.coalesce("parent_value", F.lit(0)), multires.STENCIL_UP)
@@ -938,6 +940,9 @@ def _(spark, sf_dir):
     return level_flow.centre_line(m, LEVELS, "x", "u", 0.5)
 
 
+from gridloom import block_queries  # noqa: E402, F401  It registers its own queries here.
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
