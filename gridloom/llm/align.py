@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from gridloom.llm.common import batch, blocks, bucketed, materialize, require, scan_parts, tidy
 
 #: Characters of a block of documents, rows that are packed at a time, and id pairs that are broadcast at most.
-SPAN, HELD, PAIRS = 1 << 25, 1 << 18, 1 << 19
+SPAN, HELD, PAIRS = 1 << 25, 1 << 17, 1 << 19
 #: A part of a text ends before spaces, unless white space (or the sign that stands for it in pieces) comes before them, or nothing after.
 MARK = "▁"
 SEAM = re.compile(rf"(?<=[^\s{MARK}])(?= +[^ ])")
@@ -161,11 +161,11 @@ def lengths(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def token_links(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """part, n, n_a, n_b, groups, text, links: the tokens a, b of each of tokens(part, n, a, b), laid upon each other.
+    """part, n, end, a_own, b_own, gid, a, b: the tokens of each of tokens(part, n, a, b), laid upon each other; a row for each link.
 
     Tokens are exploded, and their lengths summed up to ends. The ends of both sides are joined by part and end: each distinct end closes one
     overlap, of the tokens of either side that end there or next after it. Ends of both sides are cuts; their running
-    count, from the end, numbers the groups. links: the id pair of each overlap; text: the groups, `a1,a2|b1;a3|b2,b3`.
+    count, from the end, numbers the groups.
 
     Both sides lie in one exchange by part, so the join is a grouping by part and end, and needs none of its own. The broadcast has a row per id.
     """
@@ -178,10 +178,57 @@ def token_links(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     back = W.partitionBy("part").orderBy(F.col("end").desc())
     common = F.when(F.col("a_own").isNotNull() & F.col("b_own").isNotNull(), 1)
     links = joined.select("part", "n", "end", "a_own", "b_own", F.count(common).over(back).alias("gid"), *[F.last(f"{c}_own", ignorenulls=True).over(back).alias(c) for c in "ab"])
-    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{c}_own").isNotNull(), F.struct("end", f"{c}_own")))), lambda t: t[f"{c}_own"].cast("string")), ",")
-    groups = links.groupBy("part", "gid").agg(F.max("n").alias("n"), F.concat(listed("a"), F.lit("|"), listed("b")).alias("text"), F.collect_list(F.struct("a", "b")).alias("links"), *[F.count(f"{c}_own").alias(f"n_{c}") for c in "ab"])
-    whole = groups.groupBy("part").agg(F.max("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in "ab"], F.count(F.lit(1)).alias("groups"), F.array_sort(F.collect_list(F.struct((-F.col("gid")).alias("k"), "text", "links"))).alias("g"))
-    return whole.select("part", "n", "n_a", "n_b", "groups", F.array_join(F.transform("g", lambda x: x["text"]), ";").alias("text"), F.flatten(F.transform("g", lambda x: x["links"])).alias("links"))
+    # A part's links lie together, the last first.
+    return links.sortWithinPartitions("part", F.col("end").desc())
+
+
+LINKED = pa.schema([("part", pa.string()), ("n", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "groups")], ("text", pa.string()), *[(c, pa.list_(pa.int32())) for c in "ab"]])
+
+
+def by_part(links: DataFrame) -> DataFrame:
+    """part, n, n_a, n_b, groups, text, a, b: a row for each part of links, sorted as token_links does, with its groups `a1,a2|b1;a3|b2,b3` as text and the links' ids as lists."""
+
+    def close(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+        """The parts that are whole, and the rows of the part that may go on."""
+        codes = rows.column("part").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        end = rows.num_rows if last else int(starts[-1])
+        starts = starts if last else starts[:-1]
+        if not len(starts):
+            return None, rows
+        whole = rows.slice(0, end)
+        a_own, b_own = (whole.column(f"{c}_own").to_pylist() for c in "ab")
+        gid = whole.column("gid").to_numpy()
+        texts, n_a, n_b = [], [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
+            first, second, groups = [], [], []
+            for k in range(e - 1, s - 1, -1):
+                if a_own[k] is not None:
+                    first.append(str(a_own[k]))
+                if b_own[k] is not None:
+                    second.append(str(b_own[k]))
+                if k == s or gid[k - 1] != gid[k]:
+                    groups.append((first, second))
+                    first, second = [], []
+            texts.append(";".join([",".join(x) + "|" + ",".join(y) for x, y in groups]))
+            n_a.append(sum([len(x) for x, _ in groups]))
+            n_b.append(sum([len(y) for _, y in groups]))
+        offsets = pa.array(np.append(starts, end), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, whole.column(c).combine_chunks()) for c in "ab"]
+        out = [whole.column("part").take(pa.array(starts)).combine_chunks(), whole.column("n").take(pa.array(starts)).combine_chunks(), *[pa.array(x, pa.int64()) for x in (n_a, n_b, gid[np.append(starts[1:], end) - 1])], pa.array(texts, pa.string()), *lists]
+        return pa.RecordBatch.from_arrays(out, schema=LINKED), rows.slice(end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in batches:
+            part = pa.Table.from_batches([part])
+            made, held = close(part if held is None else pa.concat_tables([held, part]), False)
+            if made is not None:
+                yield made
+        if held is not None and held.num_rows:
+            yield close(held, True)[0]
+
+    return links.mapInArrow(run, "part string, n long, n_a long, n_b long, groups long, text string, a array<int>, b array<int>")
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -250,8 +297,8 @@ def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text
         asked = cuts.filter("docs IS NULL").select(F.col("block").alias("asker"), "part", "at", "n")
         distinct = asked.groupBy("part").agg(F.sum("n").alias("n"))
         found = token_links(encoded(distinct, first, second), lengths(spark, first, second))
-        linked = bucketed(found, "links", scan_parts(spark), "part")
-    exploded = linked.select("part", "n", F.explode("links").alias("l")).select("part", "n", "l.a", "l.b")
+        linked = bucketed(by_part(found), "links", scan_parts(spark), "part")
+    exploded = linked.select("part", "n", F.explode(F.arrays_zip("a", "b")).alias("l")).select("part", "n", "l.a", "l.b")
     pairs = materialize(exploded.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     best = pairs.groupBy("b").agg(F.max("count").alias("best"))
     ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("best")).cast("long").alias("best"))
@@ -271,14 +318,12 @@ def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text
         ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         texts = np.empty(size, object)
         texts[at] = told.column("text").to_pylist()
-        out = {}
-        for name, c in zip(NUMBERS, ("n_a", "n_b", "groups", "links", "best", "counts"), strict=True):
-            value = np.zeros(size, np.int64)
-            value[at] = told.column(c).to_numpy()
-            sums = np.concatenate([[0], np.cumsum(value[flat])])
-            out[name] = sums[ends[1:]] - sums[ends[:-1]]
-        joined = [";".join(texts[flat[s:e]].tolist()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        return tidy(pa.table([rows.column("doc_id"), *[pa.array(out[c]) for c in NUMBERS], pa.array(joined, pa.string())], schema=kind))
+        value = np.zeros((size, len(NUMBERS)), np.int64)
+        for k, c in enumerate(("n_a", "n_b", "groups", "links", "best", "counts")):
+            value[at, k] = told.column(c).to_numpy()
+        sums = np.array([value[flat[s:e]].sum(0) for s, e in zip(ends[:-1], ends[1:], strict=True)]).reshape(-1, len(NUMBERS))
+        joined = pa.array((";".join(texts[flat[s:e]].tolist()) for s, e in zip(ends[:-1], ends[1:], strict=True)), pa.string())
+        return tidy(pa.table([rows.column("doc_id"), *[pa.array(sums[:, k]) for k in range(len(NUMBERS))], joined], schema=kind))
 
     held = cuts.filter("docs IS NOT NULL").select("block", "docs")
     return held.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(finish, "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups string")

@@ -101,8 +101,10 @@ def test_tokens_are_dealt_once(spark):
     sizes = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 3)], "side int, id int, len int")
     out = align.token_links(rows, sizes)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("REPARTITION_BY_NUM") == 1
-    assert [r.asDict(True) for r in out.collect()] == [{"part": "x", "n": 1, "n_a": 2, "n_b": 1, "groups": 1, "text": "1,2|3", "links": [{"a": 2, "b": 3}, {"a": 1, "b": 3}]}]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Sort [") == 2
+    links = [tuple(r) for r in out.select("end", "a_own", "b_own", "gid", "a", "b").collect()]
+    assert links == [(3, 2, 3, 1, 2, 3), (1, 1, None, 1, 1, 3)]
+    assert [r.asDict() for r in align.by_part(out).collect()] == [{"part": "x", "n": 1, "n_a": 2, "n_b": 1, "groups": 1, "text": "1,2|3", "a": [2, 1], "b": [3, 3]}]
 
 
 def plain_near(rows, least=0.93):
