@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from gridloom.lbm import uniform
 from gridloom.lbm.lattice import C19, OPPOSITE_19, W19
-from gridloom.operators import packed
+from gridloom.operators import packed, stencils
 from gridloom.queries import G, S6, SPARSE, _RING, around, folded, height, orders, register, sparse, values
+from gridloom.solver import cg
 from gridloom.spec import COORDS
 
 
@@ -60,6 +61,22 @@ def laplace_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.unpack(packed.iterate(table, 5, lambda h: {"v": np.fmod(laplace(h)["v"], 1000)}, table.fields, ["v"]))
 
 
+_FREE = "w % 3 = 1 AND z > 0 AND z < top"
+
+
+@register("g125_poisson_orders", f"WITH {G} SELECT x, y, z, CASE WHEN {_FREE} THEN 0.0::DOUBLE ELSE (v % 40 - 20)::DOUBLE END AS value FROM g CROSS JOIN (SELECT max(z) AS top FROM g)")
+def poisson_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poisson's problem on all orders; plates at both ends and cells of some customers are fixed. What is left of the equation in free cells, u in fixed ones."""
+    cells = orders(spark, sf_dir)
+    free = F.expr(_FREE.replace("top", str(height(cells) - 1)))
+    field = cells.select(*COORDS, F.when(free, 0.0).otherwise(F.col("v") % 40 - 20).cast("double").alias("u"), (F.col("v") % 7 - 3).cast("double").alias("b"), free.cast("int").alias("boundary"))
+    solved, end = cg.solve(field, parameters=cg.Parameters(relative=1e-9))
+    if end.status != "converged":
+        raise RuntimeError(f"the solver ended with {end}")
+    left = stencils.laplace_matvec(solved.join(field.select(*COORDS, "b", "boundary"), list(COORDS)), "u", "boundary", carry=["b"])
+    return left.select(*COORDS, (F.when(F.col("boundary") == 1, F.round(F.col("value") - F.col("b"), 5)).otherwise(F.col("u")) + 0.0).alias("value"))
+
+
 def box_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A closed box as high as the orders reach: its lid at the last y, its fluid disturbed by the prices."""
     cells = orders(spark, sf_dir)

@@ -6,11 +6,12 @@ what finer cells send to a coarse neighbour. Positions are in finest units; a ce
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +132,107 @@ def senders(cells: DataFrame, level: int, c: Sequence) -> DataFrame:
     return rows
 
 
+#: Coarse cells along the side of a block of two levels.
+SIDE = 8
+Boxes = dict[str, np.ndarray]
+
+
+def two_levels(cells: DataFrame, level: int, reach: int, columns: Sequence[str], kernel: Callable[[Boxes, Boxes], Boxes], target: int, column: str) -> DataFrame:
+    """All cells, with a column of one level set by a kernel that sees a level and the one above it in blocks. One shuffle.
+
+    A block is SIDE coarse cells wide and holds the cells of both levels in it, and those within `reach` coarse cells around. The kernel gets
+    boxes [z, y, x] of the level and of the one above (`there` tells which cells exist; columns are 0 elsewhere), and returns values and
+    `set`, in the target level's box. Only cells in the block are given back, so each once; other levels pass by.
+    """
+    w, side, names = 1 << level, SIDE << (level + 1), cells.columns
+    margin = reach << (level + 1)
+    own = [F.floor(F.col(c) / side).cast("int") for c in COORDS]
+    span = F.when(F.col("level") == level, w).otherwise(2 * w)
+    near = []
+    for c, b in zip(COORDS, own, strict=True):
+        at = F.pmod(F.col(c), F.lit(side))
+        near.append(F.filter(F.array(b, F.when(at < margin, b - 1), F.when(at + span > side - margin, b + 1)), lambda v: v.isNotNull()))
+    both = cells.filter(F.col("level").isin(level, level + 1))
+    rest = [c for c in cells.columns if c not in (*LEVEL_COORDS, *columns)]
+    rows = both.select("*", *[b.alias(f"_h{c}") for b, c in zip(own, COORDS, strict=True)])
+    for c, b in zip(COORDS, near, strict=True):
+        rows = rows.withColumn(f"_b{c}", F.explode(b))
+    home = reduce(lambda a, b: a & b, [F.col(f"_b{c}") == F.col(f"_h{c}") for c in COORDS])
+    # What a block only reads of its neighbours travels without the columns that no kernel reads.
+    rows = rows.select(*[f"_b{c}" for c in COORDS], home.alias("_home"), *LEVEL_COORDS, *columns, *[F.when(home, F.col(c)).alias(c) for c in rest])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low = np.array([k.as_py() * side - margin for k in key])
+        levels, home = table.column("level").to_numpy(), table.column("_home").to_numpy(zero_copy_only=False)
+        place = np.stack([table.column(c).to_numpy() for c in COORDS], axis=1) - low
+        widths = {c: len(table.column(c)[0]) for c in columns if pa.types.is_list(table.column(c).type)}
+        found: list[tuple[Boxes, tuple[np.ndarray, ...], np.ndarray]] = []
+        for k in (0, 1):
+            rows = np.flatnonzero(levels == level + k)
+            n = (side + 2 * margin) >> (level + k)
+            at = tuple(place[rows, a] >> (level + k) for a in (2, 1, 0))
+            box = {"there": np.zeros((n, n, n), bool)}
+            box["there"][at] = True
+            for c in columns:
+                data = table.column(c).take(pa.array(rows)).combine_chunks()
+                data = data.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), widths[c]) if c in widths else data.to_numpy(zero_copy_only=False)
+                box[c] = np.zeros((n, n, n, *data.shape[1:]), data.dtype)
+                box[c][at] = data
+            found.append((box, at, rows))
+        made = kernel(found[0][0], found[1][0])
+        _box, at, rows = found[target - level]
+        old = table.column(column)
+        width = made["value"].shape[-1]
+        values = np.zeros((table.num_rows, width))
+        known = np.flatnonzero(np.asarray(old.combine_chunks().is_valid()))
+        values[known] = old.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        values[rows] = np.where(made["set"][at], made["value"][at], values[rows])
+        new = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+        return table.set_column(table.column_names.index(column), column, new).select(names).filter(pa.array(home))
+
+    done = rows.groupBy(*[f"_b{c}" for c in COORDS]).applyInArrow(run, cells.schema)
+    return cells.filter(~F.col("level").isin(level, level + 1)).unionByName(done)
+
+
+def moved(a: np.ndarray, d: Sequence[int]) -> np.ndarray:
+    """What lies at an offset (x, y, z) from each place of a box [z, y, x]; nothing beyond its faces."""
+    out = np.zeros_like(a)
+    to = tuple(slice(max(0, -o), a.shape[k] - max(0, o)) for k, o in enumerate(reversed(d)))
+    of = tuple(slice(max(0, o), a.shape[k] - max(0, -o)) for k, o in enumerate(reversed(d)))
+    out[to] = a[of]
+    return out
+
+
+def spread(a: np.ndarray) -> np.ndarray:
+    """A coarse box at the places of the finer one."""
+    for axis in range(3):
+        a = np.repeat(a, 2, axis=axis)
+    return a
+
+
 def store_fine(cells: DataFrame, level: int, c: Sequence) -> DataFrame:
     """Adds unrefined cells' populations that a coarse neighbour will pull to the refined coarse cell that it pulls from."""
-    rows = senders(cells, level, c).filter("NOT refined")
-    rows = rows.join(named(cells, "f_"), at("f_", F.lit(level), "k"), "left_semi")
-    sums = rows.groupBy(*[f"s{n}" for n in COORDS], F.col("d.q").alias("q")).agg(F.sum(F.element_at("o", F.col("d.q") + 1)).alias("v"))
-    return add_at(cells, level + 1, sums, len(c), "o")
+
+    def kernel(fine: Boxes, coarse: Boxes) -> Boxes:
+        add, got = np.zeros_like(coarse["o"]), np.zeros((*coarse["there"].shape, 1), bool)
+        sender, cover = fine["there"] & ~fine["refined"], spread(coarse["there"])
+        for q, d in enumerate(c):
+            if not any(d):
+                continue
+            back = tuple(-a for a in d)
+            sends = sender & cover & ~moved(fine["there"], d) & moved(spread(coarse["there"] & moved(coarse["there"], back)), d)
+            for parity in np.ndindex(2, 2, 2):
+                # Of a fine cell with this parity along (x, y, z): the step from its parent to the cell that is sent to.
+                step = tuple((i + a) // 2 - a for i, a in zip(parity, d, strict=True))
+                pick = tuple(slice(i, None, 2) for i in reversed(parity))
+                on = (sends & moved(fine["there"], step))[pick]
+                if on.any():
+                    home = tuple(-a for a in step)
+                    add[..., q] += moved(np.where(on, fine["o"][(*pick, q)], 0.0), home)
+                    got[..., 0] |= moved(on, home)
+        return {"value": coarse["o"] + add, "set": got}
+
+    return two_levels(cells, level, 2, ["refined", "o"], kernel, level + 1, "o")
 
 
 def add_at(cells: DataFrame, level: int, sums: DataFrame, n: int, column: str) -> DataFrame:
@@ -169,30 +265,28 @@ def stream(cells: DataFrame, level: int, c: Sequence, fine_store: bool = True) -
     Each population is pulled from the position that it comes from: an unrefined cell of this level (bounced back if that
     isn't bulk), a refined one's gathered share, or else the coarser cell that covers it. What none gives stays.
     """
-    w = 1 << level
-    own = (F.col("level") == level) & ~F.col("refined")
-    rows = cells.filter(own).select(*LEVEL_COORDS, "kind", F.col("o").alias("own"), F.explode(directions(c, -1)).alias("d"))
-    rows = rows.select("*", *[(F.col(n) + F.col(f"d.d{n}") * w).cast("int").alias(f"p{n}") for n in COORDS])
-    rows = rows.select("*", *covering("p", F.lit(level)), *[(F.floor(F.col(n) / (2 * w)) * (2 * w)).cast("int").alias(f"m{n}") for n in COORDS])
-    rows = rows.join(named(cells, "a_", "kind", "refined", "o", "weight"), at("a_", F.lit(level), "p"), "left")
-    rows = rows.join(named(cells, "b_", "o"), at("b_", F.lit(level + 1), "u"), "left")
-    rows = rows.join(named(cells, "e_").withColumn("e_in", F.lit(True)), at("e_", F.lit(level + 1), "m"), "left")
-    q = F.col("d.q") + 1
-    back = F.element_at(F.array(*[F.lit(opposite(c, k) + 1) for k in range(len(c))]), q)
-    bulk = F.col("kind") == BULK
-    share = F.element_at("a_weight", q) if fine_store else F.lit(0.5)
-    value = (
-        F.when(F.col("a_level").isNotNull() & F.col("a_refined"), F.element_at("a_o", q) * share)
-        .when(F.col("a_level").isNotNull() & bulk & (F.col("a_kind") == BULK), F.element_at("a_o", q))
-        .when(F.col("a_level").isNotNull() & bulk, F.element_at("own", back) + F.element_at("a_o", back))
-        .when(F.col("a_level").isNull() & F.col("e_in") & F.col("b_level").isNotNull(), F.element_at("b_o", q))
-    )
-    pulled = rows.select(*LEVEL_COORDS, q.alias("q"), value.alias("v")).filter("v IS NOT NULL").groupBy(*LEVEL_COORDS).agg(F.map_from_entries(F.collect_list(F.struct("q", "v"))).alias("_new"))
-    joined = cells.join(pulled, list(LEVEL_COORDS), "left")
-    rest = c.index((0, 0, 0)) + 1
-    center = F.when(bulk, F.element_at("o", rest)).otherwise(F.element_at("f", rest))
-    merged = F.transform("f", lambda v, k: F.when(k + 1 == rest, center).otherwise(F.coalesce(F.try_element_at("_new", k + 1), v)))
-    return joined.withColumn("f", F.when(own, F.when(F.col("_new").isNull(), F.transform("f", lambda v, k: F.when(k + 1 == rest, center).otherwise(v))).otherwise(merged)).otherwise(F.col("f"))).select(*cells.columns)
+
+    def kernel(fine: Boxes, coarse: Boxes) -> Boxes:
+        own = fine["there"] & ~fine["refined"]
+        bulk = own & (fine["kind"] == BULK)
+        cover, o = spread(coarse["there"]), fine["o"]
+        value, some = np.zeros_like(o), np.zeros(o.shape, bool)
+        for q, d in enumerate(c):
+            if not any(d):
+                value[..., q], some[..., q] = o[..., q], bulk
+                continue
+            source, back = tuple(-a for a in d), opposite(c, q)
+            there, refined = moved(fine["there"], source), moved(fine["refined"], source)
+            flows = moved(fine["kind"] == BULK, source)
+            share = moved(fine["weight"][..., q], source) if fine_store else 0.5
+            above = own & ~there & cover & moved(cover, source)
+            pulled = moved(o[..., q], source)
+            v = np.where(refined, pulled * share, np.where(flows, pulled, o[..., back] + moved(o[..., back], source)))
+            value[..., q] = np.where(above, moved(spread(coarse["o"][..., q]), source), v)
+            some[..., q] = above | (there & ((own & refined) | bulk))
+        return {"value": value, "set": some & own[..., None]}
+
+    return two_levels(cells, level, 1, ["refined", "kind", "o", "weight"], kernel, level, "f")
 
 
 def collide(cells: DataFrame, level: int, levels: int, omega0: float, c: Sequence, w: Sequence[float], kernel=collide_bgk) -> DataFrame:

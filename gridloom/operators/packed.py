@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -304,17 +304,35 @@ def step(
     only: Callable[[str, Offset], Sequence[int] | None] | None = None,
     keep: Sequence[str] = (),
     own: Sequence[str] = (),
+    totals: Sequence[str] = (),
 ) -> Packed:
+    """step_with_totals without the totals."""
+    return step_with_totals(table, kernel, writes, reads, stencil, only, keep, own, totals)[0]
+
+
+def step_with_totals(
+    table: Packed,
+    kernel: Kernel,
+    writes: Sequence[Field],
+    reads: Sequence[str],
+    stencil: Stencil = S6,
+    only: Callable[[str, Offset], Sequence[int] | None] | None = None,
+    keep: Sequence[str] = (),
+    own: Sequence[str] = (),
+    totals: Sequence[str] = (),
+) -> tuple[Packed, dict[str, float]]:
     """The next table: what the kernel makes of the columns that it reads through the stencil, and the columns to keep as they are.
 
     The kernel gets boxes of several blocks with their halos, and returns boxes [block, z, y, x] for `writes`; cells that don't exist stay so.
-    own: columns that it reads in the cell itself only; they are 0 in halos, and aren't sent.
+    own: columns that it reads in the cell itself only; they are 0 in halos, and aren't sent. totals: names of numbers per block that the kernel
+    returns beside its boxes; their sums over all blocks are gathered while the table is written, in the same job.
     """
     size, radius = table.size, stencil.radius()
     steps, kept = directions(stencil), [table.field(c) for c in keep]
     fields, inner = [table.field(c) for c in reads], [table.field(c) for c in own]
     made = tuple([*writes, *kept])
-    out = arrow_of(made)
+    out = pa.schema([*arrow_of(made), *[(c, pa.float64()) for c in totals]])
+    kind = T.StructType([*schema_of(made), *[T.StructField(c, T.DoubleType()) for c in totals]])
 
     def pick(f: Field, step: Offset) -> list[int]:
         chosen = only(f.name, step) if only else None
@@ -360,14 +378,18 @@ def step(
             for f in writes:
                 box = np.where(here.reshape(*here.shape, *([1] if f.card else [])), result[f.name], 0).astype(f.dtype)
                 arrays.append(lists(box))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in BLOCK], part.column("active"), *arrays, *[part.column(f.name) for f in kept]], schema=out)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in BLOCK], part.column("active"), *arrays, *[part.column(f.name) for f in kept], *[pa.array(result[c], pa.float64()) for c in totals]], schema=out)
 
     columns = list(dict.fromkeys([*reads, *own, *keep]))
     rows = joined(table, reads, stencil, only).select(*BLOCK, "active", *columns, "_faces")
     # A batch of rows is as large as what is taken in at a time.
     each = size**3 * (1 + sum(table.field(c).dtype.itemsize * table.field(c).width for c in columns))
     with setting(table.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, BYTES // each))):
-        return replace(table, table=bucketed(rows.mapInArrow(run, schema_of(made)), "packed", table.buckets, *BLOCK), fields=made)
+        rows, seen = rows.mapInArrow(run, kind), Observation()
+        if totals:
+            rows = rows.observe(seen, *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in totals]).drop(*totals)
+        after = replace(table, table=bucketed(rows, "packed", table.buckets, *BLOCK), fields=made)
+    return after, dict(seen.get) if totals else {}
 
 
 def iterate(table: Packed, steps: int, kernel: Kernel, writes: Sequence[Field], reads: Sequence[str], stencil: Stencil = S6, only=None, keep: Sequence[str] = (), own: Sequence[str] = ()) -> Packed:
