@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.checkpoint import cut
+from gridloom.plans.checkpoint import bucketed
 from gridloom.operators.stencils import gather
 from gridloom.sources.cells import dense
 from gridloom.spec import COORDS, S6, S27, GridSpec, Stencil
@@ -40,8 +40,8 @@ def local_index(level: Column | str = "level") -> Column:
     return i + 2 * j + 4 * k
 
 
-def build(spark: SparkSession, grid: GridSpec, active: Sequence[Column], balanced: bool = True, culled: bool = False) -> DataFrame:
-    """level, x, y, z, refined. active: a predicate on x, y, z for each level.
+def build(spark: SparkSession, grid: GridSpec, active: Sequence[Column | DataFrame], balanced: bool = True, culled: bool = False) -> DataFrame:
+    """level, x, y, z, refined. active: for each level a predicate on x, y, z, or a frame with the places that are to be covered at this level.
 
     A level's active cells are completed to whole blocks of eight, and each block's parent becomes active.
     """
@@ -50,7 +50,10 @@ def build(spark: SparkSession, grid: GridSpec, active: Sequence[Column], balance
     for level, predicate in enumerate(active):
         w = 1 << level
         box = GridSpec(-(-grid.nx // w), -(-grid.ny // w), -(-grid.nz // w))
-        own = dense(spark, box).select(*[(F.col(c) * w).alias(c) for c in COORDS]).filter(predicate)
+        if isinstance(predicate, DataFrame):
+            own = predicate.select(*[(F.floor(F.col(c) / w) * w).cast("int").alias(c) for c in COORDS]).distinct()
+        else:
+            own = dense(spark, box).select(*[(F.col(c) * w).alias(c) for c in COORDS]).filter(predicate)
         if parents is not None:
             own = own.unionByName(parents)
         blocks = own.select(*[(F.floor(F.col(c) / (2 * w)) * (2 * w)).cast("int").alias(c) for c in COORDS]).distinct()
@@ -78,47 +81,59 @@ def with_refined(cells: DataFrame) -> DataFrame:
     return cells.join(parents, list(LEVEL_COORDS), "left").withColumn("refined", F.coalesce("_r", F.lit(False))).drop("_r")
 
 
-def balance(cells: DataFrame, grid: GridSpec, depth: int, rounds: int = 32) -> DataFrame:
+def balance(cells: DataFrame, grid: GridSpec, depth: int, rounds: int = 64, trace: list[int] | None = None) -> DataFrame:
     """Adds blocks until neighbours differ by one level at most.
 
-    Every cell asks that the parents of its 26 neighbours exist one level up; what is missing is added with its siblings and
-    ancestors, and the step is repeated until nothing is added.
+    Every cell asks that the parents of its 26 neighbours exist one level up; what is missing is added with its siblings and ancestors. What
+    a cell asks for depends on that cell alone, so in each round only the cells added last ask. Each round's cells are a bucketed table, and what
+    is asked for is held against all of them where they lie: one exchange a round, of what the last cells ask for. trace: gets the number of cells
+    that asked in each round. An empty grid stays so.
     """
+    spark = cells.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    corners = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, COORDS, strict=True)]) for o in ((i, j, k) for k in (0, 1) for j in (0, 1) for i in (0, 1))])
     around = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, COORDS, strict=True)]) for o in S27])
-    have = cut(cells.distinct(), "levels")
+    box = reduce(lambda a, b: a & b, [(F.col(c) >= 0) & (F.col(c) < size) for c, size in zip(COORDS, (grid.nx, grid.ny, grid.nz), strict=True)])
+    parts: list[DataFrame] = []
+
+    def added(new: DataFrame) -> int:
+        """Writes the cells that no part has, and counts them in the same job."""
+        seen = Observation()
+        new = new.select(*LEVEL_COORDS).repartition(n, *LEVEL_COORDS).distinct()
+        for part in parts:
+            new = new.join(part, list(LEVEL_COORDS), "left_anti")
+        parts.append(spark.table(bucketed(new.observe(seen, F.count(F.lit(1)).alias("n")), "levels", n, *LEVEL_COORDS)))
+        return seen.get["n"]
+
+    count = added(cells)
     for _ in range(rounds):
-        w = width()
-        near = have.filter(F.col("level") < depth - 1).select("level", *COORDS, F.explode(around).alias("o"))
-        near = near.select("level", *[(F.col(c) + F.col(f"o.d{c}") * w).cast("int").alias(c) for c in COORDS])
-        box = F.lit(True)
-        for c, n in zip(COORDS, (grid.nx, grid.ny, grid.nz), strict=True):
-            box = box & (F.col(c) >= 0) & (F.col(c) < n)
+        if not count:
+            return reduce(DataFrame.unionByName, parts)
+        if trace is not None:
+            trace.append(count)
+        near = parts[-1].filter(F.col("level") < depth - 1).select("level", *COORDS, F.explode(around).alias("o"))
+        near = near.select("level", *[(F.col(c) + F.col(f"o.d{c}") * width()).cast("int").alias(c) for c in COORDS])
         asked = near.filter(box).select(*parent_coords()).distinct().select(F.col("p_level").alias("level"), *[F.col(f"p_{c}").alias(c) for c in COORDS])
         # What is asked for at a level below the top comes as a whole block.
         span = width(F.col("level") + 1)
         blocks = asked.filter(F.col("level") < depth - 1).select("level", *[(F.floor(F.col(c) / span) * span).cast("int").alias(c) for c in COORDS]).distinct()
-        corner = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, COORDS, strict=True)]) for o in ((i, j, k) for k in (0, 1) for j in (0, 1) for i in (0, 1))])
-        filled = blocks.select("level", *COORDS, F.explode(corner).alias("o")).select("level", *[(F.col(c) + F.col(f"o.d{c}") * width()).cast("int").alias(c) for c in COORDS]).filter(box)
-        new = asked.filter(F.col("level") == depth - 1).unionByName(filled).distinct().join(have, list(LEVEL_COORDS), "left_anti")
-        new = cut(new, "levels")
-        if not new.limit(1).count():
-            return have
-        have = cut(have.unionByName(new), "levels")
+        filled = blocks.select("level", *COORDS, F.explode(corners).alias("o")).select("level", *[(F.col(c) + F.col(f"o.d{c}") * width()).cast("int").alias(c) for c in COORDS]).filter(box)
+        count = added(asked.filter(F.col("level") == depth - 1).unionByName(filled))
     raise RuntimeError("no balance after all rounds")
 
 
 def cull(cells: DataFrame, grid: GridSpec) -> DataFrame:
-    """Drops a refined cell all of whose neighbours in the box are refined too."""
+    """Drops a refined cell all of whose neighbours in the box are refined too.
+
+    Refined cells tell their neighbours so, and these count; counts are summed up before the shuffle. A cell is closed if as many told it as the box has cells around it.
+    """
     around = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, COORDS, strict=True)]) for o in S27.without_center()])
     w = width()
-    near = cells.filter("refined").select("level", *COORDS, F.explode(around).alias("o"))
-    near = near.select("level", *COORDS, *[(F.col(c) + F.col(f"o.d{c}") * w).cast("int").alias(f"n{c}") for c in COORDS])
-    for c, n in zip(COORDS, (grid.nx, grid.ny, grid.nz), strict=True):
-        near = near.filter((F.col(f"n{c}") >= 0) & (F.col(f"n{c}") < n))
-    flags = cells.select(F.col("level").alias("_l"), *[F.col(c).alias(f"_{c}") for c in COORDS], F.col("refined").alias("_r"))
-    same = (F.col("level") == F.col("_l")) & (F.col("nx") == F.col("_x")) & (F.col("ny") == F.col("_y")) & (F.col("nz") == F.col("_z"))
-    open_ = near.join(flags, same, "left").filter(~F.coalesce("_r", F.lit(False))).select(*LEVEL_COORDS).distinct()
-    closed = cells.filter("refined").join(open_, list(LEVEL_COORDS), "left_anti").select(*LEVEL_COORDS)
+    refined = cells.filter("refined").select(*LEVEL_COORDS)
+    told = refined.select("level", *COORDS, F.explode(around).alias("o")).select("level", *[(F.col(c) + F.col(f"o.d{c}") * w).cast("int").alias(c) for c in COORDS])
+    told = told.groupBy(*LEVEL_COORDS).agg(F.count(F.lit(1)).alias("_told"))
+    places = reduce(lambda a, b: a * b, [1 + (F.col(c) - w >= 0).cast("int") + (F.col(c) + w < n).cast("int") for c, n in zip(COORDS, (grid.nx, grid.ny, grid.nz), strict=True)])
+    closed = refined.join(told, list(LEVEL_COORDS), "left").filter(F.coalesce("_told", F.lit(0)) == places - 1).select(*LEVEL_COORDS)
     return cells.join(closed, list(LEVEL_COORDS), "left_anti")
 
 

@@ -940,7 +940,7 @@ def _(spark, sf_dir):
     return level_flow.centre_line(m, LEVELS, "x", "u", 0.5)
 
 
-from gridloom import block_queries  # noqa: E402, F401  It registers its own queries here.
+from gridloom import block_queries, level_queries  # noqa: E402, F401  They register their own queries here.
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
