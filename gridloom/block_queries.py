@@ -11,6 +11,7 @@ from gridloom.lbm.lattice import C19, OPPOSITE_19, W19
 from gridloom.operators import packed, stencils
 from gridloom.queries import G, S6, SPARSE, _RING, around, folded, height, orders, register, sparse, values
 from gridloom.solver import cg
+from gridloom.sources import mesh
 from gridloom.spec import COORDS
 
 
@@ -61,6 +62,17 @@ def laplace_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.unpack(packed.iterate(table, 5, lambda h: {"v": np.fmod(laplace(h)["v"], 1000)}, table.fields, ["v"]))
 
 
+_OUT = " + ".join(f"pow(greatest(abs({c} - 10.3) - 6.0, 0), 2)" for c in "xyz")
+
+
+@register("g020_mesh_orders", f"WITH {G} SELECT x, y, z, greatest(abs(x - 10.3), abs(y - 10.3), abs(z - 10.3)) < 6 AS inside, round(CASE WHEN greatest(abs(x - 10.3), abs(y - 10.3), abs(z - 10.3)) < 6 THEN 6 - greatest(abs(x - 10.3), abs(y - 10.3), abs(z - 10.3)) ELSE sqrt({_OUT}) END::DOUBLE, 6) + 0.0::DOUBLE AS distance FROM g")
+def mesh_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against a cube of triangles, each face a net of sixteen squares."""
+    points, faces = mesh.net(4)
+    rows = mesh.with_mesh(orders(spark, sf_dir), mesh.fit(points, (10.3, 10.3, 10.3), 12.0), faces)
+    return rows.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
 _FREE = "w % 3 = 1 AND z > 0 AND z < top"
 
 
