@@ -36,6 +36,11 @@ MARKS = frozenset(
     "footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted promotion related replies "
     "search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that beside one of those don't change what a name means; with any other word (`share-price`) the name is no mark.
+LAYOUT = frozenset(
+    "area article bar block bottom box col column container content cookies div element global group holder inner item items left level link links list main nav outer page panel "
+    "policy popular post posts primary region right row secondary section site slot stories text top unit wrap wrapper zone".split()
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: An open element of these is closed by the start of one of those.
@@ -81,15 +86,17 @@ def mark(tag: str, attributes: str, inner: bool) -> int:
     words = MARKS - {"header"} if inner else MARKS
     if tag in ("html", "body") or "=" not in attributes:
         return 0
-    named = any(words & set(re.split(r"[^a-z0-9]+", "".join(value).lower())) for _, *value in ATTRIBUTE.findall(attributes))
-    return BY_WORD if named else 0
+    names = [set(re.findall(r"[a-z]+", name)) for _, *value in ATTRIBUTE.findall(attributes) for name in "".join(value).lower().split()]
+    return BY_WORD if any(n & words and n <= words | LAYOUT for n in names) else 0
 
 
 def settle(root: Node) -> None:
     """Decides which marked elements are noise, with all that is in them.
 
-    A mark doesn't count on an element that holds the page's longest main or article (one without a mark of its own), or, by word
-    and without such a main or article, most of the page's text; density decides there.
+    A mark doesn't count on an element that holds the page's longest main or article (one without a mark of its own). Without such a main or
+    article density decides: where the element with the largest sum, in the whole page but its scripts, lies under elements that are
+    marked by a word, or one of its marked parts is denser than all unmarked ones together, these marks don't count, nor does one on an element
+    that is as dense as the threshold on the way from there to the body.
     """
     nodes, stack = [], [root]
     while stack:
@@ -100,17 +107,35 @@ def settle(root: Node) -> None:
                 p.noise = p.mark == HARD
                 if not p.noise:
                     stack.append(p)
-    for n in reversed(nodes):
-        n.chars = sum(len("".join(p.split())) if isinstance(p, str) else 0 if p.noise else p.chars for p in n.parts)
+    measure(nodes)
     texts = [n for n in nodes if n.tag in ("main", "article") and not n.mark and n.chars]
-    held, around = max(texts, key=lambda n: (n.tag == "main", n.chars), default=None), set()
-    n = held
-    while n is not None:
-        around.add(id(n))
-        n = n.up
+    held, free = max(texts, key=lambda n: (n.tag == "main", n.chars), default=None), set()
+    if held is not None:
+        free = {id(n) for n in upward(held)}
+    else:
+        body = next((n for n in nodes if n.tag == "body"), root)
+        path = upward(densest(body), body)
+        parts = [p for p in path[0].parts if isinstance(p, Node) and not p.noise]
+        named = max((p.density for p in parts if p.mark == BY_WORD), default=0.0)
+        if any(n.mark == BY_WORD for n in path) or named > sum(p.density for p in parts if not p.mark):
+            limit = min(n.density for n in path)
+            free = {id(n) for n in nodes if n.mark == BY_WORD and n.chars and (n in path or n.density >= limit)}
     for n in nodes:
-        most = held is None and n.mark == BY_WORD and 2 * n.chars > root.chars
-        n.noise = n.up is not None and n.up.noise or bool(n.mark) and n.tag not in ("main", "article") and not (id(n) in around or most)
+        n.noise = n.up is not None and n.up.noise or bool(n.mark) and n.tag not in ("main", "article") and id(n) not in free
+
+
+def upward(node: Node | None, end: Node | None = None) -> list[Node]:
+    """An element and what it lies in, as far as `end`."""
+    found = []
+    while node is not None:
+        found.append(node)
+        node = None if node is end else node.up
+    return found
+
+
+def densest(body: Node) -> Node:
+    """The element with the largest sum of densities among those that may hold a text."""
+    return max((n for n in order(body) if n.tag in HOLDERS), key=lambda n: (n.total, n.chars), default=body)
 
 
 def parse(page: str) -> Node:
@@ -181,6 +206,7 @@ def order(root: Node) -> list[Node]:
 def measure(nodes: list[Node]) -> None:
     for n in reversed(nodes):
         n.chars = sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        n.link_chars = n.tags = n.link_tags = 0
         for p in n.parts:
             if isinstance(p, Node) and not p.noise:
                 n.chars += p.chars
@@ -204,15 +230,11 @@ def content(root: Node) -> set[int]:
     nodes = order(root)
     measure(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = order(body)
-    top = max((n for n in inside if n.tag in HOLDERS), key=lambda n: (n.total, n.chars))
+    top = densest(body)
     if top.total <= 0:
         return {id(body)}
-    path, limit, n = {id(top)}, top.density, top
-    while n is not body and n.up is not None:
-        n = n.up
-        path.add(id(n))
-        limit = min(limit, n.density)
+    way = upward(top, body)
+    path, limit = {id(n) for n in way}, min(n.density for n in way)
     chosen, stack = {id(top)}, [body]
     while stack:
         n = stack.pop()

@@ -121,3 +121,82 @@ def test_pages(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(frame).collect())
     assert got == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, "", 0)]
     assert html.extract(frame.limit(0)).count() == 0
+
+
+WORDS = "A sentence of the article that goes on for a while. "
+
+
+@pytest.mark.parametrize("names", [("social-science", "related-study"), ("share", "related"), ("widget", "share-links"), ("plain", "widget")])
+def test_text_in_two_marked_parts(names):
+    halves = [f'<div class="{n}"><p>{WORDS * 5}{k}</p><p>{WORDS * 4}{k}</p></div>' for k, n in enumerate(names)]
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{''.join(halves)}</body></html>"
+    text = html.main_text(page)
+    marked = [n for n in names if n in ("widget",)]
+    assert text.count(WORDS.strip()) >= (9 if names == ("plain", "widget") else 18) and "Home" not in text and (marked or text.count("\n") == 3)
+
+
+def test_names_that_only_hold_a_mark():
+    inside = f'<p>{WORDS * 4}</p><div class="share-price">12.50</div><figure class="ad-hoc-chart">A chart.</figure><div class="ad">Buy!</div><div class="share-links">Tell all</div><div id="related-posts">More</div><p>{WORDS * 3}</p>'
+    text = html.main_text(f"<html><body><article>{inside}</article></body></html>")
+    assert "12.50" in text and "A chart." in text and "Buy!" not in text and "Tell all" not in text and "More" not in text
+
+
+def plain_choice(root):
+    """The selection with recursion over a plain tree, in the words of the method."""
+    nodes = html.order(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+
+    def inner(n):
+        return [p for p in n.parts if isinstance(p, html.Node) and not p.noise]
+
+    def count(n):
+        """Characters, link characters, tags and link tags below n."""
+        own = sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        found = [count(p) for p in inner(n)]
+        chars = own + sum(f[0] for f in found)
+        return chars, chars if n.tag == "a" else sum(f[1] for f in found), sum(f[2] + 1 for f in found), sum(f[3] + (p.tag == "a") for f, p in zip(found, inner(n), strict=True))
+
+    page = count(nodes[0])
+
+    def density(n):
+        c, lc, t, lt = count(n)
+        base = max(math.e, math.log(c / max(1, c - lc) * lc + page[1] / max(1, page[0]) * c + math.e))
+        ratio = c / max(1, lc) * max(1, t) / max(1, lt)
+        return c / max(1, t) * (math.log(ratio) / math.log(base) if ratio > 1 else 0.0)
+
+    def total(n):
+        return sum(density(p) for p in inner(n))
+
+    below = lambda n: [n, *[x for p in inner(n) for x in below(p)]]
+    best = max((n for n in below(body) if n.tag in html.HOLDERS), key=lambda n: (round(total(n), 9), count(n)[0]))
+    if total(best) <= 0:
+        return {id(body)}
+    way = [best]
+    while way[-1] is not body:
+        way.append(way[-1].up)
+    limit, chosen = min(density(n) for n in way), {id(best)}
+
+    def look(n):
+        if id(n) in chosen:
+            return
+        if n not in way and density(n) >= limit - 1e-12 and count(n)[0]:
+            chosen.add(id(max((x for x in below(n) if x is n or x.tag in html.HOLDERS), key=lambda x: (round(total(x), 9), x is n))))
+            return
+        for p in inner(n):
+            look(p)
+
+    look(body)
+    return chosen
+
+
+def test_selection_is_that_of_a_plain_tree():
+    rng = random.Random(5)
+
+    def element(depth):
+        tag = rng.choice(["div", "p", "section", "a", "span", "td", "ul", "li", "article"])
+        inside = "".join(element(depth - 1) if depth and rng.random() < 0.6 else " ".join(["word"] * rng.randint(0, 40)) for _ in range(rng.randint(1, 4)))
+        return f"<{tag}>{inside}</{tag}>"
+
+    for _ in range(150):
+        root = html.parse(f"<html><body>{element(4)}{element(3)}<div>tail</div></body></html>")
+        assert html.content(root) == plain_choice(root)
