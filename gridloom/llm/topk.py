@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import batch, materialize, require, scan_parts
 
 QUERY_ROWS, ROWS = 512, 4096
-#: Lists that one merge step takes in, and blocks of either side in one cell of the grid of tiles.
-FAN, CELL = 16, 8
+#: Lists that one merge step takes in, and lists that a task holds at most.
+FAN, HELD = 16, 1024
+#: Tiles of one cell of the grid (a task's work), and bytes of queries that it holds at most.
+TILES, QUERY_BYTES = 1 << 14, 1 << 26
 BLOCK = "dims int, n int, ids binary, data binary"
 LISTS = "qb long, list int, ids binary, top binary, scores binary"
 LONG = np.iinfo(np.int64)
@@ -116,6 +118,18 @@ def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def grid(nq: int, nc: int, q_bytes: float, c_bytes: float, cores: int) -> tuple[int, int]:
+    """Groups of query blocks and of candidate blocks whose pairs are the cells.
+
+    A query block is sent once for each group of candidates, a candidate block once for each group of queries. The groups are as large as
+    a cell's tiles and the queries that a task can hold allow, and of such sizes that both sides cost as many bytes; with few tiles there are as many cells as cores.
+    """
+    side = max(1, round((TILES * q_bytes / c_bytes) ** 0.5)) if c_bytes else 1
+    queries = max(1, min(TILES // min(side, TILES), int(QUERY_BYTES // max(1, q_bytes))))
+    down = max(1, -(-nq // queries))
+    return down, max(1, -(-nc // max(1, TILES // queries)), min(nc, -(-cores // down)))
+
+
 def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best rows by integer product.
 
@@ -133,10 +147,10 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & sound(F.col("v")))
     q = blocks(rows.filter(F.col("id") % every == 0), QUERY_ROWS).withColumn("side", F.lit("q"))
     packed = materialize(q.unionByName(blocks(rows, ROWS).withColumn("side", F.lit("c"))), "vectors").withColumn("block", F.monotonically_increasing_id())
-    sizes = {r["side"]: r["n"] for r in packed.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nq, nc, cores = sizes.get("q", 0), sizes.get("c", 0), scan_parts(spark)
-    over = max(1, -(-nc // CELL), min(nc, cores))
-    down = max(1, -(-nq // CELL))
+    bytes_of = F.max(F.length("ids") + F.length("data"))
+    sizes = {r["side"]: (r["n"], r["size"]) for r in packed.groupBy("side").agg(F.count(F.lit(1)).alias("n"), bytes_of.alias("size")).collect()}
+    (nq, q_bytes), (nc, c_bytes) = sizes.get("q", (0, 0)), sizes.get("c", (0, 0))
+    down, over = grid(nq, nc, q_bytes, c_bytes, scan_parts(spark))
     put = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     queries = packed.filter("side = 'q'").select(
         F.col("block").alias("qb"), "dims", F.col("n").alias("m"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), put(down).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("over")
@@ -158,7 +172,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
                 scores = product(matrix(r["m"], r["dims"], r["q"]), matrix(r["n"], r["dims"], r["data"]))
                 found, key = select(scores, q_ids, c_ids, k), (r["qb"], r["over"])
                 held[key] = (r["q_ids"], merge(held[key][1], found) if key in held else found)
-            if len(held) > 4 * CELL:
+            if len(held) > HELD:
                 yield out(held)
                 held = {}
         yield out(held)

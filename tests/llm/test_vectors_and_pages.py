@@ -37,6 +37,19 @@ def test_top_k(spark, monkeypatch, scale):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_cells_grow_with_what_a_task_holds():
+    """A billion vectors of 64 components and 20 million queries: copies of both sides in proportion to the square root of the work, not to its eighth."""
+    q_bytes, c_bytes = 512 * (8 + 128), 4096 * (8 + 128)
+    nq, nc = 20_000_000 // 512, 10**9 // 4096
+    down, over = topk.grid(nq, nc, q_bytes, c_bytes, 4000)
+    assert -(-nq // down) * q_bytes <= topk.QUERY_BYTES and -(-nq // down) * -(-nc // over) <= topk.TILES * 1.05
+    moved = nq * over * q_bytes + nc * down * c_bytes
+    assert moved < 40e12 and moved * 20 < nq * (nc // 8) * q_bytes + nc * (nq // 8) * c_bytes
+    assert topk.grid(3, 20, 1000.0, 8000.0, 12) == (1, 12) and topk.grid(0, 0, 0, 0, 12) == (1, 1)
+    wide = topk.grid(1000, 1000, 1 << 25, 1 << 28, 12)
+    assert wide[0] == 500
+
+
 ARTICLE = "<article><header><h1>Title &amp; more</h1></header><p>First  paragraph\nwith <b>bold</b> and <a href='x'>link</a>, long enough to count as text of a page.</p><p>Second paragraph.<br>After a break it goes on for quite some words.</p></article>"
 PAGE = f"""<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a = "</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div class="main">{ARTICLE}</div><aside>Related things</aside><form>Name <input></form><div id="comments"><p>First! A reader's remark that is long.</p></div><footer>&copy; 2020</footer></body></html>"""
