@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.plans.checkpoint import cut
 from gridloom.spec import COORDS
 
 
@@ -26,22 +28,36 @@ def slab_bounds(nz: int, slabs: int) -> list[tuple[int, int]]:
     return out
 
 
+def running_counts(cells: DataFrame) -> DataFrame:
+    """z, upto: how many cells lie in each plane that has some, and below it.
+
+    Planes are dealt by ranges of z and summed up there; a range starts with what the ranges before it have, one row per range.
+    """
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planes = cut(cells.groupBy("z").agg(F.count(F.lit(1)).alias("n")), "planes")
+    dealt = cut(planes.repartitionByRange(n, "z").select("z", "n", F.spark_partition_id().alias("part")), "planes", planes)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.sum("n").over(W.partitionBy("part").orderBy("z"))
+    return dealt.join(ranges, "part").select("z", (within + F.col("start")).alias("upto"))
+
+
 def sparse_bounds(cells: DataFrame, slabs: int, least: int = 3) -> list[tuple[int, int]]:
-    """Slabs of about equal numbers of active cells, at least `least` planes each; from one count per plane."""
-    planes = sorted((r["z"], r["n"]) for r in cells.groupBy("z").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per plane
-    if not planes or planes[-1][0] - planes[0][0] + 1 < least * slabs:
+    """Slabs of about equal numbers of active cells, at least `least` planes each.
+
+    A slab ends with the first plane by which it holds its share, found in the running counts of planes. The driver sees one row per slab, however many planes there are.
+    """
+    counts = cut(running_counts(cells), "planes")
+    first, last, total = counts.agg(F.min("z"), F.max("z") + 1, F.max("upto")).first()
+    if first is None or last - first < least * slabs:
         raise ValueError("too few planes for the slabs")
-    share = -(-sum(n for _, n in planes) // slabs)
-    first, last = planes[0][0], planes[-1][0] + 1
-    cuts, held = [first], 0
-    for z, n in planes:
-        held += n
-        if held >= share and len(cuts) < slabs:
-            cuts.append(z + 1)
-            held = 0
+    share, cuts, held = -(-total // slabs), [first], 0
     while len(cuts) < slabs:
-        cuts.append(last)
+        found = counts.filter(F.col("upto") >= held + share).agg(F.min(F.struct("z", "upto")).alias("p")).first()["p"]
+        cuts.append(last if found is None else found["z"] + 1)
+        held = total if found is None else found["upto"]
     cuts.append(last)
+    # From the end, then from the start: no slab is thinner than allowed.
     for k in range(slabs - 1, 0, -1):
         cuts[k] = min(cuts[k], cuts[k + 1] - least)
     for k in range(1, slabs):
