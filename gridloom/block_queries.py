@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from gridloom.lbm.lattice import C19, OPPOSITE_19, W19
 from gridloom.operators import packed, stencils
 from gridloom.queries import G, S6, SPARSE, _RING, around, folded, height, orders, register, sparse, values
 from gridloom.solver import cg
-from gridloom.sources import mesh
-from gridloom.spec import COORDS
+from gridloom.plans.checkpoint import shared_folder
+from gridloom.sources import mesh, pieces
+from gridloom.spec import COORDS, GridSpec
 
 
 @register("g003_packed_table", f"""WITH {SPARSE} SELECT CAST(x // 8 AS INTEGER) AS bx, CAST(y // 8 AS INTEGER) AS "by", CAST(z // 8 AS INTEGER) AS bz, count(*) AS active, CAST(sum(v) AS BIGINT) AS v, CAST(sum(w * (x % 8 + y % 8 * 8 + z % 8 * 64)) AS BIGINT) AS w FROM s GROUP BY ALL""")
@@ -62,6 +65,19 @@ def laplace_iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.unpack(packed.iterate(table, 5, lambda h: {"v": np.fmod(laplace(h)["v"], 1000)}, table.fields, ["v"]))
 
 
+_HEAD = """'<?xml version="1.0"?>' || chr(10) || '<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">' || chr(10) || '<ImageData WholeExtent="0 25 0 25 0 ' || any_value(nz) || '" Origin="0 0 0" Spacing="1 1 1">' || chr(10) || '<Piece Extent="0 25 0 25 ' || 8 * piece || ' ' || least(8 * piece + 8, any_value(nz)) || '">' || chr(10) || '<CellData>' || chr(10)"""
+_ARRAY = """'<DataArray type="Float64" Name="{0}" NumberOfComponents="{1}" format="ascii">' || chr(10) || string_agg({2} || chr(10), '' ORDER BY i) || '</DataArray>' || chr(10)"""
+
+
+@register("g014_image_pieces", f"WITH {G}, top AS (SELECT max(z) + 1 AS nz FROM g), c AS (SELECT i, CAST(i % 25 AS INTEGER) AS x, CAST(i // 25 % 25 AS INTEGER) AS y, CAST(i // 625 AS INTEGER) AS z, nz FROM top, range(nz * 625) t(i)), p AS (SELECT CAST(c.z // 8 AS INTEGER) AS piece, c.i, nz, coalesce(CAST(v AS VARCHAR), '-1') AS v, coalesce(CAST(w AS VARCHAR), '-1') AS w FROM c LEFT JOIN g USING (x, y, z)) SELECT piece, md5({_HEAD} || {_ARRAY.format('v', 1, 'v')} || {_ARRAY.format('pair', 2, chr(118) + " || ' ' || w")} || '</CellData>' || chr(10) || '</Piece>' || chr(10) || '</ImageData>' || chr(10) || '</VTKFile>' || chr(10)) AS digest FROM p GROUP BY piece")
+def image_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as an image in pieces of eight planes, read back."""
+    cells = orders(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/image-{uuid.uuid4().hex}"
+    pieces.write_pieces(folder, cells, GridSpec(25, 25, height(cells)), {"v": ["v"], "pair": ["v", "w"]}, 8, -1.0)
+    return pieces.read_pieces(spark, folder).select("piece", F.md5("content").alias("digest"))
+
+
 _OUT = " + ".join(f"pow(greatest(abs({c} - 10.3) - 6.0, 0), 2)" for c in "xyz")
 
 
