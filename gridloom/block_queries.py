@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.lbm import uniform
 from gridloom.lbm.lattice import C19, OPPOSITE_19, W19
-from gridloom.operators import packed, stencils
+from gridloom.operators import connectivity, packed, stencils
 from gridloom.queries import G, S6, SPARSE, _RING, around, folded, height, orders, register, sparse, values
 from gridloom.solver import cg
 from gridloom.plans.checkpoint import shared_folder
@@ -105,6 +105,20 @@ def poisson_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(*COORDS, (F.when(F.col("boundary") == 1, F.round(F.col("value") - F.col("b"), 5)).otherwise(F.col("u")) + 0.0).alias("value"))
 
 
+@register("g087_stored_neighbours", f"WITH {SPARSE}, {values(S6)} SELECT n.x, n.y, n.z, CAST(o.slot AS INTEGER) AS slot, c.x AS nx, c.y AS ny, c.z AS nz FROM s n CROSS JOIN off o JOIN s c ON c.x = n.x + o.dx AND c.y = n.y + o.dy AND c.z = n.z + o.dz")
+def _(spark, sf_dir):
+    """The neighbour table of the orders that are left."""
+    return spark.table(connectivity.connect(sparse(spark, sf_dir), S6).table).drop(*connectivity.BLOCK)
+
+
+@register("g045_gathers_in_a_row", f"WITH {SPARSE}, {values(S6)}, p0 AS MATERIALIZED (SELECT x, y, z, v FROM s), {', '.join(_ROUND.format(k, k + 1) for k in range(3))} SELECT x, y, z, v FROM p3")
+def gathers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stencils in a row over a stored neighbour table."""
+    field = sparse(spark, sf_dir)
+    conn = connectivity.connect(field, S6, 3)
+    return connectivity.run(conn, field, "v", [lambda v, total, n: (v - n * total) % 1000] * 3)
+
+
 def box_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A closed box as high as the orders reach: its lid at the last y, its fluid disturbed by the prices."""
     cells = orders(spark, sf_dir)
