@@ -13,6 +13,8 @@ instead, each group to the shard of the bytes that all its strings have in commo
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -204,7 +206,8 @@ def send_strings(block: int, texts: list[str], ords: np.ndarray, mail: pa.Table,
     hot = [np.frombuffer(x, PLACE) for x, k in zip(mail.column("x").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == HOT]
     hot = np.sort(np.concatenate(hot), order=["row", "at"]) if hot else np.empty(0, PLACE)
     crowded = crowded_anchors(mail)
-    by_shard: list[dict[bytes, list]] = [{} for _ in range(shards)]
+    # Only the shards that this block has strings for; the corpus has many more.
+    by_shard: defaultdict[int, dict[bytes, list]] = defaultdict(dict)
     for i, pick in runs(hot["row"].astype(np.int64)):
         data = (texts[i] or "").encode("utf-8", "replace")
         at = hot["at"][pick].astype(np.int64)
@@ -223,9 +226,7 @@ def send_strings(block: int, texts: list[str], ords: np.ndarray, mail: pa.Table,
             if stop - start >= width:
                 by_shard[s].setdefault(data[start:stop], []).append((order, i, start))
     out, done_row, done_at, done_bits = [], [], [], []
-    for s, strings in enumerate(by_shard):
-        if not strings:
-            continue
+    for s, strings in sorted(by_shard.items()):
         least, keep = [], []
         for text, seen in strings.items():
             low = min(seen)[0]
