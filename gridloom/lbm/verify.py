@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Ghia, Ghia and Shin (1982), tables I and II; positions, then velocities by Reynolds number.
@@ -22,15 +21,19 @@ V_ALONG_X = {
 
 
 def interpolated(profile: DataFrame, points: DataFrame) -> DataFrame:
-    """points(pos, expected) with value: the profile's, linear between the samples around pos, constant beyond its ends."""
-    order = W.orderBy("pos")
-    spans = profile.select("pos", "value").select("*", F.lead("pos").over(order).alias("to"), F.lead("value").over(order).alias("next"), F.row_number().over(order).alias("k"))
-    low = F.when(F.col("k") == 1, F.lit(float("-inf"))).otherwise(F.col("pos"))
-    spans = spans.select(low.alias("low"), F.coalesce("to", F.lit(float("inf"))).alias("high"), F.col("pos").alias("p0"), F.coalesce("to", "pos").alias("p1"), F.col("value").alias("v0"), F.coalesce("next", "value").alias("v1"))
-    joined = F.broadcast(points).join(spans, (F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))  # 17 points
-    at = F.greatest(F.col("p0"), F.least(F.col("p1"), F.col("pos")))
-    slope = F.when(F.col("p1") > F.col("p0"), (at - F.col("p0")) / (F.col("p1") - F.col("p0"))).otherwise(0.0)
-    return joined.select("pos", "expected", (F.col("v0") + slope * (F.col("v1") - F.col("v0"))).alias("value"))
+    """points(pos, expected) with value: the profile's, linear between the samples around pos, constant beyond its ends.
+
+    Each sample is held against the points, a published table of 17; the nearest sample on either side of each is found by one grouping, which sums up
+    before its shuffle. Samples that are null take no part; with samples at one place, the largest value counts; without any there are no rows.
+    """
+    known = profile.filter("pos IS NOT NULL AND value IS NOT NULL").select(F.col("pos").alias("p"), F.col("value").alias("v"))
+    near = known.join(F.broadcast(points), F.lit(True))  # 17 points
+    low = F.max(F.when(F.col("p") <= F.col("pos"), F.struct("p", "v")))
+    high = F.min(F.when(F.col("p") > F.col("pos"), F.struct("p", (-F.col("v")).alias("w"))))
+    found = near.groupBy("pos", "expected").agg(low.alias("a"), high.alias("b"))
+    between = F.col("a.v") + (-F.col("b.w") - F.col("a.v")) * (F.col("pos") - F.col("a.p")) / (F.col("b.p") - F.col("a.p"))
+    value = F.when(F.col("a").isNull(), -F.col("b.w")).when(F.col("b").isNull(), F.col("a.v")).otherwise(between)
+    return found.select("pos", "expected", value.alias("value"))
 
 
 def worst_error(profile: DataFrame, reynolds: int, along: str = "y") -> DataFrame:
