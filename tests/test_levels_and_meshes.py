@@ -9,7 +9,7 @@ from gridloom.lbm.lattice import C19, W19
 from gridloom.operators import multires
 from gridloom.sources import cells as source
 from gridloom.sources import mesh
-from gridloom.spec import COORDS, S27, GridSpec
+from gridloom.spec import S27, GridSpec
 
 
 def plain_balance(cells, dims, depth):
