@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize, require, scan_parts
 
-#: Hashes have so many bits; one in SCALE of all possible values is retained.
-BITS, SCALE, WORDS = 40, 8, 5
+#: Hashes have so many bits; one in SCALE of all possible values is retained, but LEAST hashes of a text at least, if it has as many.
+BITS, SCALE, WORDS, LEAST = 40, 8, 5, 16
 
 
 def let(value: Column, then) -> Column:
@@ -21,8 +21,9 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     """The sorted distinct hashes of a text's shingles that lie below the threshold of 2^BITS / scale.
 
     Words are runs of anything but ASCII white space. A text of fewer words is one shingle as a whole, an empty one has
-    none. Where no hash lies below the threshold, the smallest is retained alone, so only empty texts have empty sketches.
-    A union of texts' sketches, cut at the threshold, is the sketch of the texts together.
+    none. Where fewer than LEAST hashes lie below the threshold, the LEAST smallest (all, if fewer) are retained, so short texts have a higher
+    threshold of their own, which `bound` reads off the sketch. A union of texts' sketches, cut at the least of their bounds, holds
+    every hash below it of the texts together.
     """
     split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     value = lambda h: F.shiftrightunsigned(h, 64 - BITS)
@@ -33,22 +34,34 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
         return F.when(F.size(w) >= words, long).otherwise(whole)
 
     def retain(h: Column) -> Column:
-        low = F.filter(h, lambda v: v < 2**BITS // scale)
-        least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)
-        return let(low, lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).otherwise(least))
+        low = F.array_sort(F.array_distinct(F.filter(h, lambda v: v < 2**BITS // scale)))
+        return let(low, lambda x: F.when(F.size(x) >= LEAST, x).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, LEAST)))
 
     return let(split, lambda w: let(hashes(w), retain))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def bound(a: Column, scale: int = SCALE) -> Column:
+    """All hashes of a text that lie below this are in its sketch: a sketch of fewer than LEAST holds all, a larger one those up to its last or to the threshold."""
+    return F.when(F.size(a) < LEAST, F.lit(2**BITS)).otherwise(F.greatest(F.element_at(a, -1) + 1, F.lit(2**BITS // scale)))
+
+
+def compared(a: Column, b: Column, scale: int, then) -> Column:
+    """then(hashes of a, hashes of b, both): each below the bounds of both sketches."""
+    least = F.least(bound(a, scale), bound(b, scale))
+    both = let(least, lambda m: F.array(F.filter(a, lambda v: v < m), F.filter(b, lambda v: v < m)))
+    return let(both, lambda x: then(F.size(x[0]), F.size(x[1]), F.size(F.array_intersect(x[0], x[1]))))
+
+
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated Jaccard similarity; two empty sketches are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
+    empty = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.when(empty, F.lit(1.0)).otherwise(compared(a, b, scale, lambda n, m, both: both / (n + m - both).cast("double")))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds; an empty sketch is held by any."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a).cast("double"))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b holds; an empty sketch is held by any, null where no hash of a lies below the bound of b."""
+    share = compared(a, b, scale, lambda n, _, both: F.when(n > 0, both / n.cast("double")))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(share)
 
 
 def as_text(a: Column) -> Column:
@@ -93,7 +106,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
     The edited form has the last quarter of the code points replaced by the first as many (or all) of the next document's
     text, by id. A null text counts as empty. Equal texts have equal fingerprints; repeated rows and repeated ids are rows
     of their own; null ids come last, by a hash of their texts; a lone document follows itself; an empty table gives no rows; other columns are
-    ignored. Beside Jaccard likeness the containments of the text in the edited and the next one are given.
+    ignored. Beside Jaccard likeness the containments of the text in the edited and the next one are given, null where the sketches can't tell.
     """
     require(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
@@ -108,8 +121,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("s")).alias("fingerprint"),
         as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("s"), F.col("e")).alias("near_edited"),
-        likeness(F.col("s"), F.col("next_s")).alias("near_next"),
-        containment(F.col("s"), F.col("e")).alias("in_edited"),
-        containment(F.col("s"), F.col("next_s")).alias("in_next"),
+        likeness(F.col("s"), F.col("e"), scale).alias("near_edited"),
+        likeness(F.col("s"), F.col("next_s"), scale).alias("near_next"),
+        containment(F.col("s"), F.col("e"), scale).alias("in_edited"),
+        containment(F.col("s"), F.col("next_s"), scale).alias("in_next"),
     )

@@ -210,7 +210,19 @@ def plain_sketch(t):
     w = [x.decode() for x in t.encode().split()]
     found = {hashed(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {hashed([" ".join(w)])} if w else set()
     low = sorted(h for h in found if h < 2**40 // 8)
-    return low or ([min(found)] if found else [])
+    return low if len(low) >= 16 else sorted(found)[:16]
+
+
+def plain_bound(a):
+    """Below it, a sketch has all hashes of its text."""
+    return 2**40 if len(a) < 16 else max(a[-1] + 1, 2**40 // 8)
+
+
+def plain_shares(a, b):
+    """Likeness of two sketches, and containment of the first in the second."""
+    below = min(plain_bound(a), plain_bound(b))
+    x, y = ({h for h in s if h < below} for s in (a, b))
+    return len(x & y) / len(x | y) if a or b else 1.0, 1.0 if not a else len(x & y) / len(x) if x else None
 
 
 def test_fingerprints(docs, odd, empty):
@@ -222,12 +234,35 @@ def test_fingerprints(docs, odd, empty):
         a, b, c = map(plain_sketch, (t, edited, after))
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].fingerprint == "".join(f"{h:010x}" for h in a)
-        for name, other in (("near_edited", b), ("near_next", c)):
-            union = set(a) | set(other)
-            assert abs(got[i][name] - (len(set(a) & set(other)) / len(union) if union else 1.0)) < 1e-9
+        for near, held, other in (("near_edited", "in_edited", b), ("near_next", "in_next", c)):
+            likeness, share = plain_shares(a, other)
+            assert abs(got[i][near] - likeness) < 1e-9
+            assert got[i][held] is None if share is None else abs(got[i][held] - share) < 1e-9
     assert sketch.fingerprints(empty).count() == 0 and sketch.fingerprints(odd).count() == 4
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Below LEAST shingles likeness is exact; beyond, an edited text is never without likeness, and a short text in a long one is unknown or right."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [*range(1, 41), *range(60, 400, 20)] * 2]
+    texts += [" ".join(rng.choice(words) for _ in range(3000))]
+    texts += [" ".join(texts[-1].split()[k : k + 30]) for k in range(0, 600, 30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} or {t}
+    for r in sketch.fingerprints(frame).collect():
+        t, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        a, b = shingles(t), shingles(edited)
+        if max(len(a), len(b)) < 16:
+            assert abs(r.near_edited - len(a & b) / len(a | b)) < 1e-9
+        assert r.near_edited > 0 or len(a) < 16
+    whole = frame.filter("doc_id = %d" % texts.index(max(texts, key=len))).select(F.col("text").alias("whole"))
+    parts = frame.filter(f"doc_id > {len(texts) - 21}").join(whole, F.expr("whole like concat('%', text, '%')"))
+    held = parts.select(sketch.containment(sketch.sketch(F.col("text")), sketch.sketch(F.col("whole"))).alias("c")).collect()
+    assert len(held) == 20 and {r.c for r in held} <= {None, 1.0} and any(r.c == 1.0 for r in held)
+
+
 def test_fingerprints_across_buckets(spark):
     ids = [5, 1023, 1024, 9000, 9001]
     frame = spark.createDataFrame([(i, f"text number {i} " * 4) for i in ids], "doc_id long, text string")
