@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,8 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Tables that this process has written and not deleted yet.
-WRITTEN: list[str] = []
+class Written(threading.local):
+    """Paths of tables; each thread of the driver has a list of its own, so runs in several threads don't delete each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __getitem__(self, at):
+        return self.paths[at]
+
+    def append(self, path: str) -> None:
+        self.paths.append(path)
+
+    def remove(self, path: str) -> None:
+        self.paths.remove(path)
+
+
+#: Tables that this thread has written and not deleted yet.
+WRITTEN = Written()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +80,7 @@ def bucketed(df: DataFrame, name: str, buckets: int, *by: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession, since: int = 0, keep: str = "") -> None:
-    """Deletes the tables written by materialize, but for the first `since` and `keep`. Results that still read them must be used up before."""
+    """Deletes the tables that this thread has written, but for the first `since` and `keep`. Results that still read them must be used up before."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in [w for w in WRITTEN[since:] if w != keep]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,6 +7,7 @@ import struct
 import sys
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
+from gridloom.llm.common import WRITTEN, materialize, sweep
 from test_documents import plain_classes, plain_gone, plain_joined, plain_model, text
 
 
@@ -109,6 +111,22 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "suffix-array dedup", "mixing sources", "best-fit packing"]
 
 
+def test_tables_of_two_runs(spark):
+    """A run in one thread leaves the tables of a run in another alone."""
+    here = materialize(spark.range(3), "here")
+
+    def other():
+        kept = materialize(spark.range(5), "kept")
+        since = len(WRITTEN)
+        gone = materialize(spark.range(7), "gone")
+        sweep(spark, since)
+        return kept.count(), gone.inputFiles()[0].removeprefix("file://"), since
+
+    with ThreadPoolExecutor(1) as pool:
+        n, gone, since = pool.submit(other).result()
+    assert (n, since) == (5, 1) and not Path(gone).exists() and here.count() == 3
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
