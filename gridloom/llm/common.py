@@ -166,7 +166,7 @@ def packed(rows: DataFrame, by: str, size: int) -> DataFrame:
             with pa.ipc.new_stream(sink, table.schema) as to:
                 to.write_table(table)
             data = zstandard.ZstdCompressor(level=7).compress(memoryview(sink.getvalue()))
-            yield batch(schema, block=[block], rows=[data])
+            yield tidy(batch(schema, block=[block], rows=[data]))
 
     return rows.mapInArrow(pack, "block long, rows binary")
 

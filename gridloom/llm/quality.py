@@ -121,9 +121,9 @@ def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
                 found, at = np.unique(both, return_inverse=True)
                 counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
                 if len(found) > 2_000_000:
-                    yield batch(schema, code=found, c=counts)
+                    yield tidy(batch(schema, code=found, c=counts))
                     found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        yield batch(schema, code=found, c=counts)
+        yield tidy(batch(schema, code=found, c=counts))
 
     return texts.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -233,20 +233,20 @@ def perplexities(docs: DataFrame, model: Model, block_chars: int = BLOCK_CHARS)
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "text", block_chars):
             parts = by_shard(names_of([t or "" for t in table.column(0).to_pylist()], order), shards)
-            yield batch(ask_schema, shard=[s for s, _ in parts], block=[block] * len(parts), names=[squeeze(n) for _, n in parts])
+            yield tidy(batch(ask_schema, shard=[s for s, _ in parts], block=[block] * len(parts), names=[squeeze(n) for _, n in parts]))
 
     def unite(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = np.empty(0, np.int64)
         for names in table.column("names").to_pylist():
             found = distinct(np.concatenate([found, unsqueeze(names)]))[0]
-        return pa.table({"code": found, "shard": pa.array(np.full(len(found), key[0].as_py(), np.int32))})
+        return tidy(pa.table({"code": found, "shard": pa.array(np.full(len(found), key[0].as_py(), np.int32))}))
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
         names, p = known.column("code").to_numpy(), known.column("p").to_numpy()
         by_name = np.argsort(names)
         names, logs = names[by_name], np.log(p[by_name]).astype("<f4")
         out = [planes(logs[np.searchsorted(names, unsqueeze(x))]) for x in asked.column("names").to_pylist()]
-        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "logs"])
+        return tidy(pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "logs"]))
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         table = unpacked(rows)
