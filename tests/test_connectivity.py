@@ -39,3 +39,13 @@ def test_three_in_a_row(spark, size):
     with setting(spark, connectivity.CO_PARTITION, "false"):
         plan = connectivity.chained(conn, table, cells, [fold] * 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 0 and plan.count("SortMergeJoin") + plan.count("HashJoin") >= 6
+
+
+def test_no_table_goes_through_the_driver(spark):
+    """Tables that look small in their files are merged where they lie, at the session's own limit for broadcasts too."""
+    cells = field(spark)
+    conn = connectivity.connect(cells, S6, 3)
+    table = connectivity.spread(conn, cells, "v")
+    with setting(spark, connectivity.CO_PARTITION, "false"):
+        plan = connectivity.chained(conn, table, cells, [lambda v, total, n: v - n * total] * 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 6
