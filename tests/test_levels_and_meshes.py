@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.lbm import multires as flow
 from gridloom.lbm.lattice import C19, W19
 from gridloom.operators import multires
+from gridloom.plans.checkpoint import setting
 from gridloom.sources import cells as source
 from gridloom.sources import mesh
 from gridloom.spec import S27, GridSpec
@@ -43,6 +44,17 @@ def test_only_the_cells_added_last_ask(spark):
     assert {tuple(r) for r in multires.balance(start.unionAll(start), grid, depth).collect()} == got
 
 
+def test_balanced_levels_that_are_too_large_for_a_broadcast(spark):
+    """What all rounds added is joined with its parents by a merge too."""
+    grid, marks = GridSpec(32, 32, 16), [F.col("x") < 3, F.lit(False), F.col("y") < 9, F.lit(True)]
+    got = {tuple(r) for r in multires.build(spark, grid, marks).collect()}
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        assert {tuple(r) for r in multires.build(spark, grid, marks).collect()} == got
+        assert multires.cull(multires.build(spark, grid, marks), grid).count() < len(got)
+    cells = {c[:4] for c in got}
+    assert cells == plain_balance(cells, (32, 32, 16), 4)
+
+
 def test_culled_cells_have_no_open_neighbour(spark):
     grid = GridSpec(16, 16, 8)
     cells = multires.build(spark, grid, [(F.col("x") < 12) & (F.col("y") > 3), F.lit(True)])
