@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
+from gridloom.plans.checkpoint import cut
 from gridloom.spec import COORDS, GridSpec
 
+#: What a BIGINT holds at most.
+LARGEST = 2**63 - 1
+
 
 def check_numbers(field: DataFrame, *columns: str) -> None:
     """Operands of a reduction must be numbers of one type."""
@@ -22,19 +26,37 @@ def check_numbers(field: DataFrame, *columns: str) -> None:
         raise TypeError(f"not numbers of one type: {({c: k.simpleString() for c, k in kinds.items()})}")
 
 
+def exact(field: DataFrame, column: str) -> Column:
+    """A column to reduce: whole numbers with 38 digits, since products and sums of them outgrow a BIGINT."""
+    c = F.col(column)
+    return c.cast("decimal(19,0)") if isinstance(field.schema[column].dataType, IntegralType) else c
+
+
+def total(value: Column) -> Column:
+    """The sum, 0 without rows; exact() values keep their 38 digits."""
+    return F.coalesce(F.sum(value), F.lit(0))
+
+
+def narrowed(sums: DataFrame, column: str) -> DataFrame:
+    """Few rows of whole sums, as BIGINT if all of them fit, else with the 38 digits that they need."""
+    sums = cut(sums.withColumn(column, F.col(column).cast("decimal(38,0)")), "sums")
+    large = not sums.filter(~F.col(column).between(-LARGEST - 1, LARGEST)).isEmpty()
+    return sums if large else sums.withColumn(column, F.col(column).cast("long"))
+
+
 def dot(field: DataFrame, a: str, b: str, out: str = "dot") -> DataFrame:
     check_numbers(field, a, b)
-    return field.agg(F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).alias(out))
+    return field.agg(total(exact(field, a) * exact(field, b)).alias(out))
 
 
 def norm2(field: DataFrame, a: str, out: str = "norm2") -> DataFrame:
     check_numbers(field, a)
-    return field.agg(F.sqrt(F.coalesce(F.sum(F.col(a) * F.col(a)), F.lit(0)).cast("double")).alias(out))
+    return field.agg(F.sqrt(total(exact(field, a) * exact(field, a)).cast("double")).alias(out))
 
 
 def absolute_sum(field: DataFrame, a: str, out: str = "abs_sum") -> DataFrame:
     check_numbers(field, a)
-    return field.agg(F.coalesce(F.sum(F.abs(a)), F.lit(0)).alias(out))
+    return field.agg(total(F.abs(exact(field, a))).alias(out))
 
 
 def in_range(field: DataFrame, grid: GridSpec, start: int, count: int) -> DataFrame:
@@ -77,7 +99,8 @@ def reduce_with(field: DataFrame, column: str, op: np.ufunc, neutral: float, out
 
 def by_view(field: DataFrame, value: Column, view: str = "data_view") -> DataFrame:
     """Sums per data view, and over all as STANDARD, from one aggregation."""
-    sums = field.select(F.col(view).alias("v"), value.alias("_x")).rollup("v").agg(F.coalesce(F.sum("_x"), F.lit(0)).alias("total"), F.grouping("v").alias("_g"))
+    rows = field.select(F.col(view).alias("v"), value.alias("_x"))
+    sums = rows.rollup("v").agg(total(exact(rows, "_x")).alias("total"), F.grouping("v").alias("_g"))
     return sums.select(F.when(F.col("_g") == 1, F.lit("STANDARD")).otherwise(F.col("v")).alias(view), "total")
 
 

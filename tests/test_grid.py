@@ -371,3 +371,15 @@ def test_plans_are_edited():
     assert [o.name for o in plan.remove("inner").add(op("d", (), ("k",))).flat()] == ["c", "d"] and not plan.edges()
     with pytest.raises(KeyError):
         plan.remove("nothing")
+
+
+def test_whole_sums_beyond_a_bigint(spark):
+    """Products and sums of whole numbers are exact, and BIGINT where they fit."""
+    big, n = 2**40, 5
+    field = spark.range(n).select(F.lit(big).alias("v"), F.lit(big).alias("w"), (F.col("id") % 2).cast("string").alias("data_view"))
+    assert reductions.narrowed(reductions.dot(field, "v", "w"), "dot").first().dot == n * big * big
+    views = reductions.narrowed(reductions.by_view(field.withColumn("v", F.lit(2**62)), F.col("v")), "total")
+    assert {r.data_view: r.total for r in views.collect()} == {"0": 3 * 2**62, "1": 2 * 2**62, "STANDARD": n * 2**62}
+    assert reductions.absolute_sum(field.withColumn("v", F.lit(-(2**62))), "v").first().abs_sum == n * 2**62
+    few = reductions.narrowed(reductions.dot(field.withColumns({"v": F.lit(2), "w": F.lit(-3)}), "v", "w"), "dot")
+    assert few.schema["dot"].dataType.simpleString() == "bigint" and few.first().dot == -6 * n
