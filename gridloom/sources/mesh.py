@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -92,8 +93,8 @@ def distance(cells: np.ndarray, triangles: np.ndarray) -> np.ndarray:
 
 
 POINTS = tuple(f"{v}{c}" for v in "abc" for c in COORDS)
-#: Cells along the side of a block, groups of triangles at most, and triangles that travel together.
-SIDE, CLUSTERS, PACK = 8, 4096, 512
+#: Cells along the side of a block, groups of triangles at most, triangles that travel together, and triangles at most (of 72 bytes) that go to all tasks.
+SIDE, CLUSTERS, PACK, EVERYWHERE = 8, 4096, 512, 100_000
 
 
 def triangles_of(spark: SparkSession, points: np.ndarray, faces: np.ndarray) -> DataFrame:
@@ -155,16 +156,42 @@ def apart(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray
     return np.linalg.norm(np.maximum(0, np.maximum(lows - high, low - highs)), axis=1)
 
 
+def spots(low: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Cells of a block by their places in it."""
+    p = places.astype(np.int64)
+    return low + np.stack([p % SIDE, p // SIDE % SIDE, p // SIDE**2], axis=1).astype(float)
+
+
+def pairwise(cells: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    """Distance from each cell to the triangle in the same row."""
+    dot = lambda u, v: np.einsum("ij,ij->i", u, v)
+    a, b, c = (triangles[:, k] for k in range(3))
+    p, ab, ac = cells - a, b - a, c - a
+    n = np.cross(ab, ac)
+    nn = dot(n, n)
+    flat = np.maximum(nn, 1e-300)
+    v, w = dot(np.cross(p, ac), n) / flat, dot(np.cross(ab, p), n) / flat
+    best = np.where((nn > 0) & (v >= 0) & (w >= 0) & (v + w <= 1), np.abs(dot(p, n)) / np.sqrt(flat), np.inf)
+    for s, e in ((a, b), (b, c), (c, a)):
+        d = e - s
+        t = np.clip(dot(cells - s, d) / np.maximum(dot(d, d), 1e-300), 0, 1)
+        best = np.minimum(best, np.linalg.norm(cells - (s + t[:, None] * d), axis=1))
+    return best
+
+
 def nearest(cells: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-    """distance(), but triangles come in order of the distance of their boxes, and end where none can be nearer."""
-    low, high = cells.min(0), cells.max(0)
-    least = apart(low, high, triangles.min(1), triangles.max(1))
+    """distance(), but a cell is held only against triangles whose box is no further from it than the nearest corner known."""
     best = np.full(len(cells), np.inf)
-    order = np.argsort(least, kind="stable")
-    for s in range(0, len(order), 16):
-        if least[order[s]] > best.max():
-            break
-        best = np.minimum(best, distance(cells, triangles[order[s : s + 16]]))
+    for s in range(0, len(triangles), 64):
+        some = triangles[s : s + 64]
+        at = cells[:, None]
+        least = np.linalg.norm(np.maximum(0, np.maximum(some.min(1) - at, at - some.max(1))), axis=2)
+        most = reduce(np.minimum, [np.linalg.norm(at - some[:, k], axis=2).min(1) for k in range(3)], best)
+        cell, triangle = np.nonzero(least <= most[:, None] * (1 + 1e-9))
+        if len(cell):
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            found = np.minimum.reduceat(pairwise(cells[cell], some[triangle]), starts)
+            best[cell[starts]] = np.minimum(best[cell[starts]], found)
     return best
 
 
@@ -184,21 +211,30 @@ def distances(cells: DataFrame, triangles: DataFrame) -> DataFrame:
         side *= 2
     keyed = keyed.withColumn("cluster", F.concat_ws(" ", "gx", "gy", "gz"))
     extent = [f(*[F.col(f"{v}{c}") for v in "abc"]) for f in (F.least, F.greatest) for c in COORDS]
-    boxes = keyed.groupBy("cluster").agg(*[F.min(e) for e in extent[:3]], *[F.max(e) for e in extent[3:]], *[F.first(f"a{c}") for c in COORDS]).collect()
+    boxes = keyed.groupBy("cluster").agg(*[F.min(e) for e in extent[:3]], *[F.max(e) for e in extent[3:]], *[F.first(f"a{c}") for c in COORDS], F.count(F.lit(1))).collect()
     names = [r[0] for r in boxes]
-    data = np.array([r[1:] for r in boxes], float).reshape(-1, 9)
+    data = np.array([r[1:10] for r in boxes], float).reshape(-1, 9)
     lows, highs, sure = data[:, :3], data[:, 3:6], data[:, 6:]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block once for every group of triangles that can be nearest to one of its cells."""
+        """Each block once for every group of triangles that can be nearest to one of its cells: of the groups that can for some place in it, those that no cell rules out."""
         for part in batches:
-            for row in part.column("cells"):
-                at = np.array([list(p.values()) for p in row.as_py()], float)
-                low, high = at.min(0), at.max(0)
-                corners = np.stack(np.meshgrid(*zip(low, high, strict=True), indexing="ij"), -1).reshape(-1, 3)
+            lists, origin = part.column("cells"), np.stack([part.column(f"b{c}").to_numpy() for c in COORDS], axis=1) * SIDE
+            places, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for k, low in enumerate(origin):
+                own = places[ends[k] : ends[k + 1]]
+                at = spots(low, own)
+                near, far = at.min(0), at.max(0)
+                corners = np.stack(np.meshgrid(*zip(near, far, strict=True), indexing="ij"), -1).reshape(-1, 3)
                 most = np.linalg.norm(corners[:, None] - sure, axis=2).max(0).min() if len(sure) else 0
-                found = np.flatnonzero(apart(low, high, lows, highs) <= most * (1 + 1e-9))
-                yield pa.RecordBatch.from_pydict({"cluster": [names[i] for i in found], "block": [at.astype("<f8").tobytes()] * len(found)}, schema=pa.schema([("cluster", pa.string()), ("block", pa.binary())]))
+                found = np.flatnonzero(apart(near, far, lows, highs) <= most * (1 + 1e-9))
+                least, bound = np.empty((len(found), len(at))), np.full(len(at), np.inf)
+                for i, g in enumerate(found):
+                    least[i] = apart(at, at, lows[g], highs[g])
+                    bound = np.minimum(bound, np.linalg.norm(at - sure[g], axis=1))
+                found = found[(least <= bound * (1 + 1e-9)).any(1)]
+                block = np.asarray(low, "<i4").tobytes() + own.astype("<i2").tobytes()
+                yield pa.RecordBatch.from_pydict({"cluster": [names[i] for i in found], "block": [block] * len(found)}, schema=pa.schema([("cluster", pa.string()), ("block", pa.binary())]))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted triangles, PACK of a group at most in a row."""
@@ -212,13 +248,21 @@ def distances(cells: DataFrame, triangles: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for block, pack in zip(part.column("block").to_pylist(), part.column("pack").to_pylist(), strict=True):
-                at = np.frombuffer(block, "<f8").reshape(-1, 3)
+                at = spots(np.frombuffer(block, "<i4", 3), np.frombuffer(block, "<i2", offset=12))
                 best = nearest(at, np.frombuffer(pack, "<f8").reshape(-1, 3, 3))
                 yield pa.RecordBatch.from_arrays([*[pa.array(at[:, k].astype(np.int32)) for k in range(3)], pa.array(best)], names=[*COORDS, "distance"])
 
-    blocks = cells.groupBy(*[F.floor(F.col(c) / SIDE).alias(f"b{c}") for c in COORDS]).agg(F.collect_list(F.struct(*COORDS)).alias("cells"))
-    pairs = blocks.select("cells").mapInArrow(choose, "cluster string, block binary")
+    n = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = reduce(lambda a, b: a + b, [F.pmod(F.col(c), F.lit(SIDE)) * SIDE**k for k, c in enumerate(COORDS)]).cast("short")
+    dealt = cells.select(*[F.floor(F.col(c) / SIDE).alias(f"b{c}") for c in COORDS], place.alias("at")).repartition(n, *[f"b{c}" for c in COORDS])
+    blocks = dealt.groupBy(*[f"b{c}" for c in COORDS]).agg(F.collect_list("at").alias("cells"))
+    pairs = blocks.mapInArrow(choose, "cluster string, block binary")
     packs = keyed.select("cluster", *POINTS).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(fold, "cluster string, pack binary")
+    # By group, blocks around a small mesh would meet in few tasks; its triangles go to the blocks instead.
+    if sum(r[10] for r in boxes) <= EVERYWHERE:
+        packs = F.broadcast(packs)
+    else:
+        pairs = pairs.repartition(n, "cluster")
     rows = pairs.join(packs, "cluster").select("block", "pack").mapInArrow(measure, "x int, y int, z int, distance double")
     return rows.groupBy(*COORDS).agg(F.min("distance").alias("distance"))
 

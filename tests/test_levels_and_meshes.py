@@ -133,3 +133,22 @@ def test_no_triangles(spark):
     assert len(rows) == 27 and not any(r.inside for r in rows) and all(r.distance == float("inf") for r in rows)
     line = mesh.with_mesh(cells, np.array([[0, 0, 0], [2, 0, 0], [1, 0, 0]], float), np.array([[0, 1, 2]])).collect()
     assert all(r.distance == pytest.approx(np.hypot(r.y, r.z)) and not r.inside for r in line)
+
+
+def test_blocks_around_a_small_mesh_stay_spread(spark):
+    """They aren't dealt by groups of triangles, and far cells are held against few of them; distances stay those of all triangles."""
+    points, faces = mesh.net(4)
+    at = mesh.fit(points, (10.3, 10.3, 10.3), 12.0)
+    rng = np.random.default_rng(3)
+    for low in (0.0, 40.0, 30000.0):
+        cells = rng.integers(-9, 30, (60, 3)) + np.array([0.0, 0.0, low])
+        assert np.allclose(mesh.nearest(cells, at[faces]), mesh.distance(cells, at[faces]), rtol=1e-12)
+    # Triangles without area are taken as lines or points.
+    thin = np.array([[[0, 0, 0], [4, 0, 0], [8, 0, 0]], [[1, 1, 1], [1, 1, 1], [1, 1, 1]]], float)
+    assert np.allclose(mesh.nearest(cells, thin), mesh.distance(cells, thin))
+    far = spark.range(8 * 8 * 400).selectExpr("int(id % 8) AS x", "int(id DIV 8 % 8) AS y", "int(id DIV 64) AS z")
+    made = mesh.distances(far, mesh.triangles_of(spark, at, faces))
+    assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.collect()
+    want = mesh.distance(np.array([r[:3] for r in rows], float), at[faces])
+    assert len(rows) == far.count() and np.allclose([r.distance for r in rows], want, rtol=1e-12)
