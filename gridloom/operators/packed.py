@@ -215,7 +215,10 @@ def chunks(batches: Iterator[pa.RecordBatch], fields: Sequence[Field], size: int
 
 
 def unpack(table: Packed, columns: Sequence[str] | None = None) -> DataFrame:
-    """x, y, z and columns of every cell; nothing is shuffled."""
+    """x, y, z and columns of every cell; nothing is shuffled.
+
+    Blocks go to Python by planes: how many rows it takes in at a time is the session's choice, which a block of many components is too large for.
+    """
     fields = [table.field(c) for c in columns] if columns is not None else list(table.fields)
     size = table.size
     kinds = schema_of(fields)
@@ -223,15 +226,19 @@ def unpack(table: Packed, columns: Sequence[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, fields, size):
-            block, at = np.nonzero(flags(part.column("active"), size**3))
-            local = (at % size, at // size % size, at // size**2)
-            arrays = [pa.array(part.column(b).to_numpy()[block] * size + v, pa.int32()) for b, v in zip(BLOCK, local, strict=True)]
+            n, plane = part.num_rows, part.column("_z").to_numpy()
+            active = flags(part.column("active"), size**3).reshape(n, size, size**2)[np.arange(n), plane]
+            row, at = np.nonzero(active)
+            local = (at % size, at // size, plane[row])
+            arrays = [pa.array(part.column(b).to_numpy()[row] * size + v, pa.int32()) for b, v in zip(BLOCK, local, strict=True)]
             for f in fields:
-                data = boxes(part.column(f.name), f, size).reshape(part.num_rows, size**3, *([f.card] if f.card else []))[block, at]
+                data = part.column(f.name).flatten().to_numpy(zero_copy_only=False).reshape(n, size**2, *([f.card] if f.card else []))[row, at]
                 arrays.append(lists(data) if f.card else pa.array(data))
             yield pa.RecordBatch.from_arrays(arrays, names=[*COORDS, *[f.name for f in fields]])
 
-    return table.frame().select(*BLOCK, "active", *[f.name for f in fields]).mapInArrow(run, out)
+    planes = table.frame().select(*BLOCK, "active", *[f.name for f in fields], F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_z"))
+    own = [F.slice(f.name, F.col("_z") * (size**2 * f.width) + 1, F.lit(size**2 * f.width)).alias(f.name) for f in fields]
+    return planes.select(*BLOCK, "active", "_z", *own).mapInArrow(run, out)
 
 
 def directions(stencil: Stencil) -> list[Offset]:

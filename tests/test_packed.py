@@ -127,3 +127,12 @@ def test_checkpoints_are_deleted_and_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="share"):
         checkpoint.shared_folder(Frame)
+
+
+def test_blocks_are_unpacked_by_planes(spark):
+    """A batch that Python takes in holds planes, so a block of many components needs an eighth of the memory."""
+    cells = spark.range(500).selectExpr("int(id % 10) AS x", "int(id DIV 10 % 10 - 3) AS y", "int(id DIV 100) AS z", "id AS v").filter("v % 7 <> 0").withColumn("f", F.array(F.col("v") * 1.0, F.col("v") * 2.0))
+    table = packed.pack(cells, ["v", "f"], 8, {"f": 2})
+    made = packed.unpack(table)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, cells.collect()))
+    assert "slice(" in made._jdf.queryExecution().optimizedPlan().toString()
