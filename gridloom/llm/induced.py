@@ -43,8 +43,8 @@ class BucketQueue:
         order = np.argsort(keys, kind="stable")
         keys, positions = keys[order], positions[order]
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, stops = np.r_[0, cuts], np.r_[cuts, len(keys)]
-        for key, i, j in zip(keys[starts].tolist(), starts.tolist(), stops.tolist(), strict=True):
+        at = [0, *cuts.tolist(), len(keys)]
+        for key, i, j in zip([int(keys[0]), *keys[cuts].tolist()], at, at[1:]):
             self.push(key, positions[i:j])
 
     def pop(self, key: int) -> np.ndarray:
@@ -63,15 +63,9 @@ class BucketQueue:
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last counts as smaller."""
-    n = len(text)
-    rises = np.ones(n, dtype=bool)
     change = np.flatnonzero(text[:-1] != text[1:])
-    if len(change):
-        following = np.searchsorted(change, np.arange(n))
-        known = following < len(change)
-        at = change[following[known]]
-        rises[known] = text[at] < text[at + 1]
-    return rises
+    lengths = np.diff(change, prepend=-1, append=len(text) - 1)
+    return np.repeat(np.append(text[change] < text[change + 1], True), lengths)
 
 
 def induce(text: np.ndarray, keys: int, rises: np.ndarray, seeds: np.ndarray, in_memory: int) -> np.ndarray:
@@ -111,22 +105,32 @@ def induce(text: np.ndarray, keys: int, rises: np.ndarray, seeds: np.ndarray, in
     return out
 
 
+def windows(text: np.ndarray) -> np.ndarray:
+    """The eight bytes of symbols from each place on, as a number; 0 stands beyond the end."""
+    padded = np.concatenate([text, np.zeros(8 // text.itemsize, text.dtype)])
+    return np.ndarray(len(text), "<u8", padded, strides=(text.itemsize,)).copy()
+
+
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first `depth` names at least."""
+    """Order of all suffixes by their first `depth` names at least. What stands alone already isn't sorted again."""
     n, width = len(names), 1
-    rank = names.astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    key, left = names[order], np.arange(n)
+    rank = np.empty(n, np.int64)  # where the first suffix stands that isn't told apart
     while True:
-        follow = np.full(n, -1, np.int64)
-        if width < n:
-            follow[:-width] = rank[width:]
-        key = rank * (n + 1) + follow + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        rank, width = new, 2 * width
-        if rank[order[-1]] == n - 1 or width >= depth:
+        new = np.ones(len(left), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        cuts = np.flatnonzero(new)
+        rank[order[left]] = np.repeat(left[cuts], np.diff(cuts, append=len(left)))
+        alone = new & np.append(new[1:], True)
+        left = left[~alone]
+        if not len(left) or width >= depth:
             return order
+        at = order[left]
+        ahead = at + width
+        key = rank[at] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        pick = np.argsort(key)
+        key, order[left], width = key[pick], at[pick], 2 * width
 
 
 def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_MEMORY) -> np.ndarray:
@@ -152,12 +156,14 @@ def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_ME
     length = stop[a] - a
     alike = length == stop[b] - b
     at = np.flatnonzero(alike)
-    k = 0
+    words, each, k = windows(text), 8 // text.itemsize, 0
+    masks = np.array([(1 << 8 * text.itemsize * i) - 1 for i in range(each + 1)], np.uint64)
     while len(at):
-        differ = text[a[at] + k] != text[b[at] + k]
+        mask = masks[np.minimum(length[at] + 1 - k, each)]
+        differ = (words[a[at] + k] ^ words[b[at] + k]) & mask != 0
         alike[at[differ]] = False
-        at = at[~differ & (length[at] > k)]
-        k += 1
+        k += each
+        at = at[~differ & (length[at] >= k)]
     names = np.cumsum(np.r_[0, ~alike])
     count = int(names[-1]) + 1
     if count < len(seeds):
@@ -166,7 +172,7 @@ def suffix_array(text: np.ndarray, keys: int, depth: int, in_memory: int = IN_ME
         reduced = name_of[seeds]
         if count < FEW:
             reduced = np.r_[reduced + 1, 0]
-            inner = suffix_array(reduced.astype(np.int32), count + 1, depth, in_memory)[1:]
+            inner = suffix_array(reduced.astype(np.int16), count + 1, depth, in_memory)[1:]
         else:
             inner = doubled(reduced, (depth + 1) // 2)  # a name stands for two symbols at least
         ordered = seeds[inner]

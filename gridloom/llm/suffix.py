@@ -1,9 +1,9 @@
 """Removal of repeated passages with sharded suffix arrays.
 
-Any string of 50 bytes holds an anchor: a short gram whose hash is the smallest of its surroundings, at the same place
-wherever the string occurs. Anchors that only one document has can't lie in a repeated string. Shards of the anchors'
+Any string of 50 bytes has an anchor: the first of its grams with the smallest hash, at the same place wherever the
+string occurs. Strings whose anchor only one document has can't be repeated. Shards of the anchors'
 hashes tell every block of documents which of its anchors other documents have too; for those, the block sends the
-bytes around them, each distinct string once, to the anchor's shard. The shard sorts the suffixes of all
+bytes that hold their strings, each distinct piece once, to the anchor's shard. So a start goes to one shard, once. The shard sorts the suffixes of all
 its strings by external induction, finds runs of suffixes that share 50 bytes with the common-prefix lengths, takes the
 smallest document of each run, and answers with the starts that an earlier document has.
 
@@ -43,16 +43,13 @@ CROWD, GROUP = 4096, 8
 SALTS = 16
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
+#: An anchor in a block: its strings start from `back` bytes before it on, at `more` places besides.
+ANCHOR = np.dtype([("row", "<u2"), ("back", "u1"), ("more", "u1"), ("at", "<u4")])
 
 
 def words_at(data: bytes) -> np.ndarray:
     """The eight bytes from each place on, as a number."""
-    n = len(data)
-    padded = np.frombuffer(data + bytes(8), np.uint8)
-    out = np.zeros(n, np.uint64)
-    for i in range(8):
-        out |= padded[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    return out
+    return np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,)).copy()
 
 
 def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -79,16 +76,22 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are the smallest, or one of the smallest, in some string of `width` bytes."""
+def anchors(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are the first smallest one in some string of `width` bytes; the first and last start of these strings."""
     if len(data) < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = gram_hashes(data)
     n = width - GRAM + 1
     least = slide(h, n, np.minimum)
-    edge = np.zeros(n - 1, np.uint64)
-    at = np.flatnonzero(slide(np.concatenate([edge, least, edge]), n, np.maximum) == h)
-    return at, h[at]
+    # The next start has another anchor if this one's lies at its start, or if a smaller gram comes in.
+    falls = least[1:] < least[:-1]
+    first = np.concatenate([[0], np.flatnonzero(falls | (h[: len(least) - 1] == least[:-1])) + 1])
+    value = least[first]
+    at = first + n - 1
+    look = np.flatnonzero(np.append(True, ~falls[first[1:] - 1]))
+    seen = np.ndarray((len(least), n), h.dtype, h, strides=(8, 8))[first[look]]
+    at[look] = first[look] + np.argmax(seen == value[look][:, None], axis=1)
+    return at, value, first, np.append(first[1:], len(least)) - 1
 
 
 def runs(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -107,6 +110,12 @@ def places(row: np.ndarray, at: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def spans(row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    out = np.empty(len(row), ANCHOR)
+    out["row"], out["at"], out["back"], out["more"] = row, at, at - low, high - low
+    return out.tobytes()
+
+
 def first_of_copies(n: int, mail: pa.Table) -> np.ndarray:
     own = np.ones(n, dtype=bool)
     own[[r for r, k in zip(mail.column("rid").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == COPY]] = False
@@ -116,15 +125,13 @@ def first_of_copies(n: int, mail: pa.Table) -> np.ndarray:
 def ask_anchors(block: int, texts: list[str], own: np.ndarray, ords: np.ndarray, shards: int, width: int) -> pa.Table:
     """Anchors of a block for the shards: those of one document (kind 0, with places), those of several (kind 1, once, with
     the number of their places; these go back to the block itself, kind 2, by way of any shard)."""
-    rows, ats, hashes = [], [], []
+    found = []
     for i in np.flatnonzero(own).tolist():
-        at, h = anchors((texts[i] or "").encode("utf-8", "replace"), width)
-        rows.append(np.full(len(at), i, np.int64))
-        ats.append(at)
-        hashes.append(h)
-    if not rows:
+        at, *more = anchors((texts[i] or "").encode("utf-8", "replace"), width)
+        found.append((np.full(len(at), i, np.int64), at, *more))
+    if not found:
         return to_table(ASK_SCHEMA, [])
-    row, at, h = map(np.concatenate, (rows, ats, hashes))
+    row, at, h, low, high = map(np.concatenate, zip(*found, strict=True))
     order = np.argsort(h, kind="stable")
     start = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.empty(0, bool)
     group = np.cumsum(start) - 1
@@ -136,12 +143,12 @@ def ask_anchors(block: int, texts: list[str], own: np.ndarray, ords: np.ndarray,
     solo = np.flatnonzero(~many)
     for shard, pick in runs((h[solo] % np.uint64(shards)).astype(np.int32)):
         pick = solo[pick]
-        out.append((shard, block, 0, (h[pick] >> np.uint64(32)).astype("<u4").tobytes(), places(row[pick], at[pick])))
+        out.append((shard, block, 0, (h[pick] >> np.uint64(32)).astype("<u4").tobytes(), spans(row[pick], at[pick], low[pick], high[pick])))
     once, each = np.unique(h[many], return_counts=True)
     for shard, pick in runs((once % np.uint64(shards)).astype(np.int32)):
         out.append((shard, block, 1, (once[pick] >> np.uint64(32)).astype("<u4").tobytes(), each[pick].astype("<u4").tobytes()))
     if many.any():
-        out.append((block % shards, block, 2, places(row[many], at[many]), b""))
+        out.append((block % shards, block, 2, spans(row[many], at[many], low[many], high[many]), b""))
     return to_table(ASK_SCHEMA, out)
 
 
@@ -155,7 +162,7 @@ def answer_anchors(rows: pa.Table, crowd: int = CROWD) -> pa.Table:
             out.append((b, HOT, 0, x.as_py(), b""))
             continue
         parts.append(np.frombuffer(x.as_py(), "<u4"))
-        places_.append(np.frombuffer(y.as_py(), PLACE) if k == 0 else np.zeros(len(parts[-1]), PLACE))
+        places_.append(np.frombuffer(y.as_py(), ANCHOR) if k == 0 else np.zeros(len(parts[-1]), ANCHOR))
         sources.append(np.full(len(parts[-1]), b, np.int64))
         known.append(np.full(len(parts[-1]), k == 1))
         counts.append(np.frombuffer(y.as_py(), "<u4") if k == 1 else np.ones(len(parts[-1]), "<u4"))
@@ -186,45 +193,41 @@ def crowded_anchors(mail: pa.Table) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def split_starts(data: bytes, at: int, shards: int, width: int):
-    """Shard, start and stop of the strings of each group of starts around an anchor.
+def split_starts(data: bytes, at: int, shards: int, width: int, low: int = 0, high: int | None = None):
+    """Shard, start and stop of the strings of each group of starts around an anchor, from low to high at most.
 
     A group's shard is that of the bytes which all its strings of `width` bytes hold, so a string goes to one shard from wherever it stands.
     """
     for first in range(at + GRAM - width, at + 1, GROUP):
         last = min(first + GROUP - 1, at)
-        start, stop = max(0, first), min(len(data), last + width)
+        start, stop = max(low, first), min(len(data), (last if high is None else min(last, high)) + width)
         if stop - start >= width:
             yield xxhash.xxh3_64_intdigest(data[last : first + width]) % shards, start, stop
 
 
 def send_strings(block: int, texts: list[str], ords: np.ndarray, mail: pa.Table, shards: int, width: int) -> pa.Table:
-    """The bytes around hot anchors, by shard: each distinct string once, with its smallest document's order and places.
+    """The strings of hot anchors, by shard: each distinct string once, with its smallest document's order and places.
 
     Other places of a string in the block are settled: a smaller document of the block has it.
     """
-    hot = [np.frombuffer(x, PLACE) for x, k in zip(mail.column("x").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == HOT]
-    hot = np.sort(np.concatenate(hot), order=["row", "at"]) if hot else np.empty(0, PLACE)
-    crowded = crowded_anchors(mail)
+    hot = [np.frombuffer(x, ANCHOR) for x, k in zip(mail.column("x").to_pylist(), mail.column("kind").to_pylist(), strict=True) if k == HOT]
+    hot = np.concatenate(hot) if hot else np.empty(0, ANCHOR)
+    hot = hot[np.argsort(hot["row"].astype(np.int64) << 32 | hot["at"])]
+    at = hot["at"].astype(np.int64)
+    low = at - hot["back"]
+    stop = low + hot["more"] + width
+    rows = [(i, (texts[i] or "").encode("utf-8", "replace"), p) for i, p in runs(hot["row"].astype(np.int64))]
+    grams = [np.frombuffer(data, np.uint8)[at[p][:, None] + np.arange(GRAM)] for _, data, p in rows]
+    hashes = gram_hashes_of(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+    where = hashes % np.uint64(shards)
+    split = np.isin(where << np.uint64(32) | hashes >> np.uint64(32), crowded_anchors(mail))
     # Only the shards that this block has strings for; the corpus has many more.
     by_shard: defaultdict[int, dict[bytes, list]] = defaultdict(dict)
-    for i, pick in runs(hot["row"].astype(np.int64)):
-        data = (texts[i] or "").encode("utf-8", "replace")
-        at = hot["at"][pick].astype(np.int64)
+    for i, data, p in rows:
         order = int(ords[i])
-        grams = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(GRAM)]
-        hashes = gram_hashes_of(grams)
-        where = hashes % np.uint64(shards)
-        if len(crowded):
-            split = np.isin(where << np.uint64(32) | hashes >> np.uint64(32), crowded)
-            for a in at[split].tolist():
-                for s, start, stop in split_starts(data, a, shards, width):
-                    by_shard[s].setdefault(data[start:stop], []).append((order, i, start))
-            at, where = at[~split], where[~split]
-        for a, s in zip(at.tolist(), where.tolist(), strict=True):
-            start, stop = max(0, a + GRAM - width), min(len(data), a + width)
-            if stop - start >= width:
-                by_shard[s].setdefault(data[start:stop], []).append((order, i, start))
+        for a, first, end, s, many in zip(*(c[p].tolist() for c in (at, low, stop, where, split)), strict=True):
+            for s, start, end in split_starts(data, a, shards, width, first, end - width) if many else [(s, first, end)]:
+                by_shard[s].setdefault(data[start:end], []).append((order, i, start))
     out, done_row, done_at, done_bits = [], [], [], []
     for s, strings in sorted(by_shard.items()):
         least, keep = [], []
@@ -289,11 +292,11 @@ def smallest_elsewhere(strings: list[bytes], orders: np.ndarray, width: int, in_
     owner[flat] = np.repeat(np.arange(len(strings)), counts)
     offset[flat] = flat - starts[owner[flat]]
     array = array[owner[array] >= 0]
-    run = np.cumsum(np.r_[True, ~common_prefix_at_least(data, array, width)]) - 1
-    least = np.full(int(run[-1]) + 1, LAST)
-    np.minimum.at(least, run, orders[owner[array]])
+    owner, offset = owner[array], offset[array]
+    first = np.flatnonzero(np.r_[True, ~common_prefix_at_least(data, array, width)])
+    least = np.minimum.reduceat(orders[owner], first)
     out = np.full((len(strings), int(counts.max())), LAST)
-    out[owner[array], offset[array]] = least[run]
+    out[owner, offset] = np.repeat(least, np.diff(first, append=len(array)))
     return out
 
 

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -438,6 +440,34 @@ def test_groups_of_starts_meet_in_one_shard():
         assert all((s, t) in own for s, t in whole if t in {t for _, t in own})
 
 
+@pytest.mark.parametrize("width", [50, 30])
+def test_a_start_is_sent_once(width):
+    """To the shard of the first smallest gram of its string, and to no other."""
+    rng = random.Random(width)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(600)), "ab" * 100, "a" * 90]
+    asked = [suffix.ask_anchors(b, texts, np.ones(3, bool), np.arange(3) + 3 * b, 1, width) for b in (0, 1)]
+    mail = suffix.answer_anchors(pa.concat_tables(asked))
+    sent = suffix.send_strings(1, texts, np.arange(3) + 3, mail.filter(pc.equal(mail["block"], 1)), 1, width)
+    starts = Counter()
+    for kind, x, y in zip(*(sent.column(c).to_pylist() for c in ("kind", "x", "y")), strict=True):
+        assert kind == 0
+        lengths, counts = np.frombuffer(x, "<u4").reshape(2, -1)
+        for (row, at), n in zip(np.frombuffer(y, suffix.PLACE).tolist(), np.repeat(lengths, counts).tolist(), strict=True):
+            starts.update((row, at + k) for k in range(n - width + 1))
+    assert starts == Counter((i, k) for i, t in enumerate(texts) for k in range(len(t) - width + 1))
+
+
+def test_suffixes_told_apart_are_not_sorted_again(monkeypatch):
+    from gridloom.llm import induced
+
+    names = np.r_[np.random.default_rng(2).permutation(5000), np.tile([7, 7, 9], 20)]
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda a, **how: sizes.append(len(a)) or sort(a, **how))
+    got = induced.doubled(names, 10**9)
+    assert got.tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+    assert len(sizes) > 3 and sum(sizes) < len(names) + 500
+
+
 def test_repeats_of_odd_tables(spark, odd, empty):
     assert suffix.remove_repeats(empty).count() == 0 and suffix.remove_repeats(odd).count() == 4
     long = "abcdefghij" * 12
