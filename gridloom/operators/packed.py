@@ -25,6 +25,8 @@ SIZE = 8
 BLOCK = ("bx", "by", "bz")
 #: Bytes of block values that a task takes in at a time.
 BYTES = 1 << 25
+#: Cells of a bucket, where their number says how many buckets a table has.
+CELLS = 1 << 17
 NUMPY = {"int": "<i4", "bigint": "<i8", "double": "<f8", "float": "<f4"}
 
 
@@ -141,6 +143,11 @@ def boxes(column: pa.Array, field: Field, size: int) -> np.ndarray:
     return data.reshape(len(column), size, size, size, *([field.card] if field.card else []))
 
 
+def buckets_for(spark: SparkSession, cells: int, least: int = 12) -> int:
+    """Buckets of about CELLS cells each, so that short iterations aren't mostly tasks without rows; the session's partitions at most."""
+    return min(max(least, -(-cells // CELLS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pack(cells: DataFrame, columns: Sequence[str], size: int = SIZE, components: dict[str, int] | None = None, buckets: int | None = None) -> Packed:
     """A packed table of cells(x, y, z, columns): the one time that cells are shuffled.
 
@@ -389,9 +396,9 @@ def step_with_totals(
 
     columns = list(dict.fromkeys([*reads, *own, *keep]))
     rows = joined(table, reads, stencil, only).select(*BLOCK, "active", *columns, "_faces")
-    # A batch of rows is as large as what is taken in at a time.
+    # A batch of rows is as large as what is taken in at a time, and faces are dealt into as many parts as the table has buckets.
     each = size**3 * (1 + sum(table.field(c).dtype.itemsize * table.field(c).width for c in columns))
-    with setting(table.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, BYTES // each))):
+    with setting(table.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, BYTES // each))), setting(table.spark, "spark.sql.shuffle.partitions", str(table.buckets)):
         rows, seen = rows.mapInArrow(run, kind), Observation()
         if totals:
             rows = rows.observe(seen, *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in totals]).drop(*totals)

@@ -1,6 +1,6 @@
 """Conjugate gradients for the Poisson problem on a grid.
 
-The state (u, r, w = A r, p, s = A p, boundary) lies in a packed block table. The recurrence is that with a single reduction: both sums
+The state (u, r, w = A r, p, s = A p, boundary, b) lies in a packed block table. The recurrence is that with a single reduction: both sums
 that an iteration needs belong to the new residual, so they are gathered while the new state is written. An iteration is one write,
 which shuffles nothing but faces, and survives lost executors; the table before it is dropped.
 """
@@ -90,33 +90,39 @@ def advance(alpha: float, beta: float, spacing: float) -> packed.Kernel:
 
 
 def solve(field: DataFrame, u: str = "u", b: str = "b", boundary: str = "boundary", h: float = 1.0, parameters: Parameters | None = None, size: int = packed.SIZE) -> tuple[DataFrame, Result]:
+    """solve_packed, with x, y, z and u of every cell."""
+    state, end = solve_packed(field, u, b, boundary, h, parameters, size)
+    return packed.unpack(state, ["u"]), end
+
+
+def solve_packed(field: DataFrame, u: str = "u", b: str = "b", boundary: str = "boundary", h: float = 1.0, parameters: Parameters | None = None, size: int = packed.SIZE, buckets: int | None = None) -> tuple[packed.Packed, Result]:
     """Solves (count x u - sum of neighbours) / h^2 = b in free cells (boundary = 1); fixed cells keep their u.
 
-    Returns x, y, z and u, and how the iteration ended. A search direction without curvature (0, or not a number) before the residual is
+    Returns a packed table with u, b and bd (the boundary), and how the iteration ended. A search direction without curvature (0, or not a number) before the residual is
     small enough is an error: the system has no solution, or its numbers no meaning. An empty grid converges at once.
     """
     prm = parameters or Parameters()
     cells = field.select(*COORDS, F.col(u).cast("double").alias("u"), F.col(b).cast("double").alias("b"), F.col(boundary).cast("int").alias("bd"))
-    given = packed.pack(cells, ["u", "b", "bd"], size)
-    state, seen = packed.step_with_totals(given, begin(h), STATE, ["u"], keep=["bd"], own=["b", "bd"], totals=["rr"])
+    given = packed.pack(cells, ["u", "b", "bd"], size, buckets=buckets)
+    state, seen = packed.step_with_totals(given, begin(h), STATE, ["u"], keep=["bd", "b"], own=["b", "bd"], totals=["rr"])
     given.drop()
 
     def move(alpha: float, beta: float) -> dict[str, float]:
         nonlocal state
-        after, sums = packed.step_with_totals(state, advance(alpha, beta, h), STATE, ["r", "w", "s"], keep=["bd"], own=["u", "p", "bd"], totals=["rr", "rw"])
+        after, sums = packed.step_with_totals(state, advance(alpha, beta, h), STATE, ["r", "w", "s"], keep=["bd", "b"], own=["u", "p", "bd"], totals=["rr", "rw"])
         state.drop()
         state = after
         return sums
 
     start = math.sqrt(seen["rr"])
     if start < 1e-30:
-        return packed.unpack(state, ["u"]), Result("converged", 0, start, start)
+        return state, Result("converged", 0, start, start)
     seen, residual, done, iteration = move(0.0, 0.0), start, None, 0
     alpha, beta = 0.0, 0.0
     while done is None:
         curvature = seen["rw"] - (beta * seen["rr"] / alpha if iteration else 0.0)
         if not curvature or math.isnan(curvature):
-            return packed.unpack(state, ["u"]), Result("error", iteration + 1, residual, start)
+            return state, Result("error", iteration + 1, residual, start)
         iteration += 1
         before, alpha = seen["rr"], seen["rr"] / curvature
         seen = move(alpha, beta)
@@ -125,4 +131,4 @@ def solve(field: DataFrame, u: str = "u", b: str = "b", boundary: str = "boundar
         done = status(residual, start, iteration, prm)
         if done is None and not seen["rr"]:
             done = "converged"
-    return packed.unpack(state, ["u"]), Result(done, iteration, residual, start)
+    return state, Result(done, iteration, residual, start)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import packed
 from gridloom.solver import cg
 from gridloom.sources import cells as source
 from gridloom.spec import COORDS, S6, GridSpec
@@ -68,3 +69,15 @@ def test_an_iteration_is_one_write(spark):
     context.setJobGroup("", "")
     # The faces' side of the shuffle is a job of its own under adaptive execution; the sums add none.
     assert seen[1] - seen[0] == 2 * 3
+
+
+def test_tables_have_as_many_parts_as_their_cells_need(spark):
+    """Not as many as the session's partitions: an iteration of few cells would be tasks without rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert packed.buckets_for(spark, 100) == 12 and packed.buckets_for(spark, 13 * packed.CELLS) == 13 and packed.buckets_for(spark, 10**9) == 24
+        table, end = cg.solve_packed(problem(spark), size=4, buckets=3)
+        assert end.status == "converged" and table.buckets == 3 and len(table.frame().inputFiles()) <= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
